@@ -1,5 +1,339 @@
-"""Report measures (d01-d21). Placeholder until written."""
+"""Report measures (d01-d21).
 
+The reference names these measures but ships no formula (its report file is not
+in the tree), so every definition here is ours and is stated in its docstring.
+``r`` is the daily return close / previous close - 1 (per ticker); "latest" is a
+ticker's last trading date.
 
-def registered(bars_src, markets_src, slicer):
-    return {}
+Most measures read one per-market table (``market_table``): the per-row returns,
+20-row volatility and year-to-date return are computed once with series windows,
+then one grouped aggregate (partial + final, so a large ticker collapses map-side)
+gives one row per market. Rankings over markets (percent_rank, ntile, rank) run
+over that table, one row per market, not over the rows.
+"""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from barlens.functions.dates import month_of, quarter_of, year_of
+from barlens.functions.numeric import exact_avg, safe_div, to_double
+from barlens.operators.windows import with_lag, with_sliding
+from barlens.sources.bars import dim_date
+
+# Fixed default weights of the composite score: returns, (low) volatility,
+# liquidity, trading activity.
+COMPOSITE_WEIGHTS = (0.4, 0.3, 0.2, 0.1)
+LIQUIDITY_LABELS = {1: "High", 2: "Medium", 3: "Low"}
+
+
+def _pos():
+    return F.when(F.col("Volume") > 0, F.col("Volume"))
+
+
+# ------------------------------------------------------------------ building blocks
+def daily_returns(bars: DataFrame, strategy=None) -> DataFrame:
+    """Adds Daily_Return = close / previous close - 1 per ticker."""
+    d = with_lag(bars, "Ticker", "TradeDate", "ClosePrice", "_prev", strategy=strategy)
+    return d.withColumn("Daily_Return", safe_div("ClosePrice", "_prev") - F.lit(1.0)).drop("_prev")
+
+
+def with_ytd(df: DataFrame) -> DataFrame:
+    """Adds YTD_Return = close / first close of the ticker's calendar year - 1.
+
+    The window is partitioned by (ticker, year): no partition exceeds one year."""
+    w = Window.partitionBy("Ticker", F.year("TradeDate")).orderBy("TradeDate")
+    return df.withColumn("YTD_Return", safe_div(F.col("ClosePrice"), F.first("ClosePrice").over(w)) - F.lit(1.0))
+
+
+def series_metrics(bars: DataFrame, strategy=None) -> DataFrame:
+    """Per row: Daily_Return, Rolling_Volatility_20 (stddev_samp of r over 20 rows), YTD_Return."""
+    d = daily_returns(bars, strategy)
+    d = with_sliding(d, "Ticker", "TradeDate",
+                     {"Rolling_Volatility_20": ("stddev", "Daily_Return", 20)}, strategy=strategy)
+    return with_ytd(d)
+
+
+def market_table(bars: DataFrame, strategy=None) -> DataFrame:
+    """One row per market: latest YTD return and 20-row volatility, return statistics,
+    volume statistics and the share of days with volume."""
+    d = series_metrics(bars, strategy)
+    return d.groupBy("Ticker", "IndexName").agg(
+        F.max_by("YTD_Return", "TradeDate").alias("YTD_Return"),
+        F.max_by("Rolling_Volatility_20", "TradeDate").alias("Volatility_20"),
+        F.avg("Daily_Return").alias("Average_Return"),
+        F.stddev_samp("Daily_Return").alias("Return_StdDev"),
+        F.min("Daily_Return").alias("Min_Return"),
+        F.max("Daily_Return").alias("Max_Return"),
+        (F.sum(_pos()).cast("double") / F.nullif(F.count(_pos()), F.lit(0))).alias("Average_Volume"),
+        F.max(_pos()).alias("Highest_Volume"),
+        F.min(_pos()).alias("Lowest_Volume"),
+        (F.count(_pos()).cast("double") / F.count(F.lit(1))).alias("Active_Share"),
+        F.sum("Volume").alias("Total_Volume"))
+
+
+def slice_bars(bars: DataFrame, markets: DataFrame | None = None, tickers: list[str] | None = None,
+               countries: list[str] | None = None, start: _dt.date | None = None,
+               end: _dt.date | None = None) -> DataFrame:
+    """d21 Dynamic slicers: optional tickers, countries and an inclusive date range,
+    applied before any measure. Ticker and date filters reach the parquet scan; the
+    country filter is a semi-join with the market dimension."""
+    b = bars
+    if tickers:
+        b = b.filter(F.col("Ticker").isin(list(tickers)))
+    if start is not None:
+        b = b.filter(F.col("TradeDate") >= F.lit(start))
+    if end is not None:
+        b = b.filter(F.col("TradeDate") <= F.lit(end))
+    if countries:
+        keep = markets.filter(F.col("Country").isin(list(countries))).select("Ticker")
+        b = b.join(keep, "Ticker", "left_semi")
+    return b
+
+
+# ------------------------------------------------------------------------- measures
+def d01_kpis(bars: DataFrame, markets: DataFrame) -> DataFrame:
+    """Total Countries, Trading Days, Highest/Lowest/Average Index Level, Total Volume."""
+    b = bars.join(markets.select("Ticker", "Country"), "Ticker", "left")
+    return b.agg(F.countDistinct("Country").alias("Total_Countries"),
+                 F.countDistinct("TradeDate").alias("Trading_Days"),
+                 F.max("ClosePrice").alias("Highest_Index_Level"),
+                 F.min("ClosePrice").alias("Lowest_Index_Level"),
+                 exact_avg("ClosePrice").alias("Average_Index_Level"),
+                 F.sum("Volume").alias("Total_Volume"))
+
+
+def d02_market_trend(bars: DataFrame) -> DataFrame:
+    """Average close per market and month."""
+    return bars.groupBy("Ticker", "IndexName", year_of().alias("Year"), month_of().alias("MonthNumber")) \
+        .agg(exact_avg("ClosePrice").alias("Average_Close"))
+
+
+def _flag_rows(mt: DataFrame, flags: list[tuple[str, F.Column]]) -> DataFrame:
+    """One output row per (market, flag that holds): no union, one pass."""
+    arr = F.array(*[F.when(cond, F.lit(name)) for name, cond in flags])
+    return mt.withColumn("Category", F.explode(F.filter(arr, lambda x: x.isNotNull())))
+
+
+def d03_best_worst(bars: DataFrame, strategy=None) -> DataFrame:
+    """Best and worst market by latest YTD return (rank 1 both ways, ties kept)."""
+    mt = market_table(bars, strategy).filter(F.col("YTD_Return").isNotNull())
+    mt = (mt.withColumn("_best", F.rank().over(Window.orderBy(F.col("YTD_Return").desc())))
+          .withColumn("_worst", F.rank().over(Window.orderBy(F.col("YTD_Return").asc()))))
+    out = _flag_rows(mt, [("Best", F.col("_best") == 1), ("Worst", F.col("_worst") == 1)])
+    return out.select("Category", "Ticker", "IndexName", "YTD_Return")
+
+
+def d04_volume_trend(bars: DataFrame) -> DataFrame:
+    """Total volume per market and month."""
+    return bars.groupBy("Ticker", "IndexName", year_of().alias("Year"), month_of().alias("MonthNumber")) \
+        .agg(F.sum("Volume").alias("Total_Volume"))
+
+
+def d05_regional(bars: DataFrame, markets: DataFrame, strategy=None) -> DataFrame:
+    """Per country: markets, average of the markets' latest YTD return, total volume."""
+    mt = market_table(bars, strategy).join(markets.select("Ticker", "Country"), "Ticker")
+    return mt.groupBy("Country").agg(F.count(F.lit(1)).alias("Markets"),
+                                     F.avg("YTD_Return").alias("Average_YTD_Return"),
+                                     F.sum("Total_Volume").alias("Total_Volume"))
+
+
+def d06_ytd_return(bars: DataFrame) -> DataFrame:
+    """Per row: close / first close of the ticker's calendar year - 1."""
+    return with_ytd(bars).select("TradeDate", "Ticker", "IndexName", "ClosePrice", "YTD_Return")
+
+
+def d07_breadth(bars: DataFrame, strategy=None) -> DataFrame:
+    """Per date: markets up, markets down, and up / (up + down)."""
+    d = with_lag(bars, "Ticker", "TradeDate", "ClosePrice", "_prev", strategy=strategy)
+    g = d.groupBy("TradeDate").agg(
+        F.sum(F.when(F.col("ClosePrice") > F.col("_prev"), 1).otherwise(0)).alias("Risers"),
+        F.sum(F.when(F.col("ClosePrice") < F.col("_prev"), 1).otherwise(0)).alias("Fallers"))
+    return g.withColumn("Breadth_Ratio", safe_div("Risers", F.col("Risers") + F.col("Fallers")))
+
+
+def d08_volume_kpis(bars: DataFrame) -> DataFrame:
+    """Average, highest and lowest volume per market over days with volume."""
+    pos = _pos()
+    return bars.groupBy("Ticker", "IndexName").agg(
+        (F.sum(pos).cast("double") / F.nullif(F.count(pos), F.lit(0))).alias("Average_Volume"),
+        F.max(pos).alias("Highest_Volume"), F.min(pos).alias("Lowest_Volume"))
+
+
+def d09_volume_share(bars: DataFrame) -> DataFrame:
+    """Each market's share of the total volume of all markets."""
+    v = bars.groupBy("Ticker", "IndexName").agg(F.sum("Volume").alias("Total_Volume"))
+    total = F.sum("Total_Volume").over(Window.partitionBy())
+    return v.withColumn("Volume_Share", safe_div(F.col("Total_Volume"), total))
+
+
+def d10_liquidity(bars: DataFrame) -> DataFrame:
+    """Liquidity rating: terciles of average volume (days with volume), High to Low."""
+    v = d08_volume_kpis(bars)
+    w = Window.orderBy(F.col("Average_Volume").desc_nulls_last(), F.col("Ticker").asc())
+    v = v.withColumn("Liquidity_Tier", F.ntile(3).over(w).cast("int"))
+    label = F.when(F.col("Liquidity_Tier") == 1, LIQUIDITY_LABELS[1]) \
+        .when(F.col("Liquidity_Tier") == 2, LIQUIDITY_LABELS[2]).otherwise(LIQUIDITY_LABELS[3])
+    return v.select("Ticker", "IndexName", "Average_Volume", "Liquidity_Tier", label.alias("Liquidity_Rating"))
+
+
+def d11_rolling_vol20(bars: DataFrame, strategy=None) -> DataFrame:
+    """Per row: r and the sample standard deviation of r over the last 20 rows (not annualised)."""
+    d = daily_returns(bars, strategy)
+    d = with_sliding(d, "Ticker", "TradeDate",
+                     {"Rolling_Volatility_20": ("stddev", "Daily_Return", 20)}, strategy=strategy)
+    return d.select("TradeDate", "Ticker", "IndexName", "Daily_Return", "Rolling_Volatility_20")
+
+
+def d12_volatility_by_country(bars: DataFrame, markets: DataFrame, strategy=None) -> DataFrame:
+    """Per country: markets, mean and highest of the markets' latest 20-row volatility."""
+    mt = market_table(bars, strategy).join(markets.select("Ticker", "Country"), "Ticker")
+    return mt.groupBy("Country").agg(F.count(F.lit(1)).alias("Markets"),
+                                     F.avg("Volatility_20").alias("Average_Volatility_20"),
+                                     F.max("Volatility_20").alias("Highest_Volatility_20"))
+
+
+def d13_risk_table(bars: DataFrame, strategy=None) -> DataFrame:
+    """Per market: mean, standard deviation, min and max of r, latest 20-row volatility."""
+    return market_table(bars, strategy).select("Ticker", "IndexName", "Average_Return", "Return_StdDev",
+                                               "Min_Return", "Max_Return", "Volatility_20")
+
+
+def d14_risk_score(bars: DataFrame, strategy=None) -> DataFrame:
+    """Risk score 0-100: percent rank of the latest 20-row volatility among markets."""
+    mt = market_table(bars, strategy)
+    w = Window.orderBy(F.col("Volatility_20").asc_nulls_first())
+    return mt.select("Ticker", "IndexName", "Volatility_20",
+                     (F.lit(100.0) * F.percent_rank().over(w)).alias("Risk_Score"))
+
+
+def d15_volume_growth(bars: DataFrame) -> DataFrame:
+    """Monthly volume against the market's previous month, in percent."""
+    m = bars.groupBy("Ticker", "IndexName", year_of().alias("Year"), month_of().alias("MonthNumber")) \
+        .agg(F.sum("Volume").alias("Monthly_Volume"))
+    w = Window.partitionBy("Ticker").orderBy("Year", "MonthNumber")
+    m = m.withColumn("Previous_Volume", F.lag("Monthly_Volume").over(w))
+    growth = to_double(F.col("Monthly_Volume") - F.col("Previous_Volume")) \
+        / F.nullif(to_double("Previous_Volume"), F.lit(0.0)) * F.lit(100.0)
+    return m.withColumn("Volume_Growth_Pct", growth)
+
+
+def d16_composite(bars: DataFrame, weights: tuple = COMPOSITE_WEIGHTS, strategy=None) -> DataFrame:
+    """Composite score 0-100 from percent ranks among markets:
+    w1 * pr(YTD return) + w2 * (1 - pr(volatility)) + w3 * pr(average volume)
+    + w4 * pr(share of days with volume)."""
+    mt = market_table(bars, strategy)
+
+    def pr(c):
+        return F.percent_rank().over(Window.orderBy(F.col(c).asc_nulls_first()))
+
+    w1, w2, w3, w4 = weights
+    score = F.lit(100.0) * (F.lit(w1) * pr("YTD_Return") + F.lit(w2) * (F.lit(1.0) - pr("Volatility_20"))
+                            + F.lit(w3) * pr("Average_Volume") + F.lit(w4) * pr("Active_Share"))
+    return mt.select("Ticker", "IndexName", "YTD_Return", "Volatility_20", "Average_Volume",
+                     "Active_Share", score.alias("Composite_Score"))
+
+
+def d17_ranking(bars: DataFrame, weights: tuple = COMPOSITE_WEIGHTS, strategy=None) -> DataFrame:
+    """Rank of markets by composite score (ties share a rank)."""
+    c = d16_composite(bars, weights, strategy)
+    w = Window.orderBy(F.col("Composite_Score").desc())
+    return c.select("Ticker", "IndexName", "Composite_Score", F.rank().over(w).cast("int").alias("Market_Rank"))
+
+
+_INSIGHTS = [  # (type, metric column, True = highest wins)
+    ("Best performer", "YTD_Return", True),
+    ("Worst performer", "YTD_Return", False),
+    ("Highest risk", "Risk_Score", True),
+    ("Lowest risk", "Risk_Score", False),
+    ("Most liquid", "Average_Volume", True),
+    ("Top ranked", "Composite_Score", True),
+]
+
+
+def d18_insights(bars: DataFrame, strategy=None) -> DataFrame:
+    """One sentence per insight, from the top or bottom market of a measure.
+
+    All insights come from one global aggregate of ``min_by`` over the per-market
+    table (partial aggregation, no sort, no union); ties go to the first ticker.
+    """
+    mt = d16_composite(bars, strategy=strategy)
+    risk = F.lit(100.0) * F.percent_rank().over(Window.orderBy(F.col("Volatility_20").asc_nulls_first()))
+    mt = mt.withColumn("Risk_Score", risk)
+    picks = []
+    for i, (_, col, high) in enumerate(_INSIGHTS):
+        key = F.when(F.col(col).isNotNull(),
+                     F.struct((-F.col(col) if high else F.col(col)).alias("k"), F.col("Ticker").alias("t")))
+        picks.append(F.min_by(F.struct("Ticker", "IndexName", F.col(col).cast("double").alias("v")), key)
+                     .alias(f"_i{i}"))
+    one = mt.agg(*picks)
+    rows = F.array(*[F.struct(F.lit(name).alias("Insight_Type"), F.col(f"_i{i}").alias("p"))
+                     for i, (name, _, _) in enumerate(_INSIGHTS)])
+    x = one.select(F.explode(rows).alias("x")).filter(F.col("x.p").isNotNull())
+    return x.select(F.col("x.Insight_Type").alias("Insight_Type"), F.col("x.p.Ticker").alias("Ticker"),
+                    F.col("x.p.IndexName").alias("IndexName"), F.col("x.p.v").alias("Metric_Value"),
+                    F.format_string("%s: %s (%s)", F.col("x.Insight_Type"), F.col("x.p.Ticker"),
+                                    F.col("x.p.IndexName")).alias("Insight"))
+
+
+def d19_drilldown(bars: DataFrame) -> DataFrame:
+    """Drill-down: ROLLUP(Ticker, Year, Quarter, Month) with the grouping level."""
+    b = bars.select("Ticker", year_of().alias("Year"), quarter_of().alias("Quarter"),
+                    month_of().alias("MonthNumber"), "ClosePrice", "Volume")
+    return (b.rollup("Ticker", "Year", "Quarter", "MonthNumber")
+            .agg(F.grouping_id("Ticker", "Year", "Quarter", "MonthNumber").cast("int").alias("Grouping_Level"),
+                 F.count(F.lit(1)).alias("Trading_Days"),
+                 exact_avg("ClosePrice").alias("Average_Close"),
+                 F.sum("Volume").alias("Total_Volume")))
+
+
+def d20_star(bars: DataFrame, markets: DataFrame) -> DataFrame:
+    """Fact rows joined to the market and date dimensions.
+
+    The date dimension has one row per trading date, bounded by the calendar span
+    of the data, so it is broadcast; the market join is left to the planner's
+    size check (one row per ticker can grow with the data)."""
+    dates = dim_date(bars)
+    f = bars.join(markets.select("Ticker", "Country"), "Ticker", "left").join(F.broadcast(dates), "TradeDate")
+    return f.select("TradeDate", "Ticker", "IndexName", "Country", "Year", "Quarter", "MonthNumber",
+                    "MonthName", "ClosePrice", "Volume")
+
+
+def d21_slicer(bars: DataFrame, markets: DataFrame, **slicer) -> DataFrame:
+    """The KPI row (d01) after the slicers."""
+    return d01_kpis(slice_bars(bars, markets, **slicer), markets)
+
+
+def registered(bars_src, markets_src, slicer: dict) -> dict:
+    def on(fn):
+        return lambda s, d: fn(bars_src(s, d))
+
+    def on_m(fn, **kw):
+        return lambda s, d: fn(bars_src(s, d), markets_src(s, d), **kw)
+
+    return {
+        "d01_kpis": on_m(d01_kpis),
+        "d02_market_trend": on(d02_market_trend),
+        "d03_best_worst": on(d03_best_worst),
+        "d04_volume_trend": on(d04_volume_trend),
+        "d05_regional": on_m(d05_regional),
+        "d06_ytd_return": on(d06_ytd_return),
+        "d07_breadth": on(d07_breadth),
+        "d08_volume_kpis": on(d08_volume_kpis),
+        "d09_volume_share": on(d09_volume_share),
+        "d10_liquidity": on(d10_liquidity),
+        "d11_rolling_vol20": on(d11_rolling_vol20),
+        "d12_volatility_by_country": on_m(d12_volatility_by_country),
+        "d13_risk_table": on(d13_risk_table),
+        "d14_risk_score": on(d14_risk_score),
+        "d15_volume_growth": on(d15_volume_growth),
+        "d16_composite": on(d16_composite),
+        "d17_ranking": on(d17_ranking),
+        "d18_insights": on(d18_insights),
+        "d19_drilldown": on(d19_drilldown),
+        "d20_star": on_m(d20_star),
+        "d21_slicer": on_m(d21_slicer, **slicer),
+    }
