@@ -305,35 +305,3 @@ def d20_star(bars: DataFrame, markets: DataFrame) -> DataFrame:
 def d21_slicer(bars: DataFrame, markets: DataFrame, **slicer) -> DataFrame:
     """The KPI row (d01) after the slicers."""
     return d01_kpis(slice_bars(bars, markets, **slicer), markets)
-
-
-def registered(bars_src, markets_src, slicer: dict) -> dict:
-    def on(fn):
-        return lambda s, d: fn(bars_src(s, d))
-
-    def on_m(fn, **kw):
-        return lambda s, d: fn(bars_src(s, d), markets_src(s, d), **kw)
-
-    return {
-        "d01_kpis": on_m(d01_kpis),
-        "d02_market_trend": on(d02_market_trend),
-        "d03_best_worst": on(d03_best_worst),
-        "d04_volume_trend": on(d04_volume_trend),
-        "d05_regional": on_m(d05_regional),
-        "d06_ytd_return": on(d06_ytd_return),
-        "d07_breadth": on(d07_breadth),
-        "d08_volume_kpis": on(d08_volume_kpis),
-        "d09_volume_share": on(d09_volume_share),
-        "d10_liquidity": on(d10_liquidity),
-        "d11_rolling_vol20": on(d11_rolling_vol20),
-        "d12_volatility_by_country": on_m(d12_volatility_by_country),
-        "d13_risk_table": on(d13_risk_table),
-        "d14_risk_score": on(d14_risk_score),
-        "d15_volume_growth": on(d15_volume_growth),
-        "d16_composite": on(d16_composite),
-        "d17_ranking": on(d17_ranking),
-        "d18_insights": on(d18_insights),
-        "d19_drilldown": on(d19_drilldown),
-        "d20_star": on_m(d20_star),
-        "d21_slicer": on_m(d21_slicer, **slicer),
-    }
