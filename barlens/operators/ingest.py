@@ -108,14 +108,19 @@ def new_keys(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.dropDuplicates(KEY).join(table.select(*KEY), KEY, "left_anti")
 
 
-def e07_append(table: DataFrame, rows: DataFrame, created_at: _dt.datetime | None = None) -> DataFrame:
-    """The table after appending the rows with unknown keys.
+def e07_new_rows(table: DataFrame, rows: DataFrame, created_at: _dt.datetime | None = None) -> DataFrame:
+    """Stored-layout rows for the keys not yet in ``table``.
 
     New keys continue after the table's largest PriceID (read with one small
-    aggregate); ``created_at`` stamps the batch (default: now).
-    """
+    aggregate, like the reference's high-water query); ``created_at`` stamps the
+    batch (default: now)."""
     fresh = new_keys(rows, table)
     top = table.agg(F.max("PriceID")).first()[0] or 0
     stamp = created_at if created_at is not None else _dt.datetime.now().replace(microsecond=0)
+    return stored(fresh, stamp, start=top)
+
+
+def e07_append(table: DataFrame, rows: DataFrame, created_at: _dt.datetime | None = None) -> DataFrame:
+    """The table after appending the rows with unknown keys."""
     return table.select("PriceID", *BAR_COLUMNS, "CreatedAt").unionByName(
-        stored(fresh, stamp, start=top))
+        e07_new_rows(table, rows, created_at))
