@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from barlens.functions.dates import month_of, quarter_of, year_of
 from barlens.functions.numeric import exact_avg, safe_div, to_double
-from barlens.operators.windows import with_lag, with_sliding
+from barlens.operators.windows import with_frames, with_lag
 from barlens.sources.bars import dim_date
 
 # Fixed default weights of the composite score: returns, (low) volatility,
@@ -35,10 +35,13 @@ def _pos():
 
 
 # ------------------------------------------------------------------ building blocks
-def daily_returns(bars: DataFrame, strategy=None) -> DataFrame:
-    """Adds Daily_Return = close / previous close - 1 per ticker."""
-    d = with_lag(bars, "Ticker", "TradeDate", "ClosePrice", "_prev", strategy=strategy)
-    return d.withColumn("Daily_Return", safe_div("ClosePrice", "_prev") - F.lit(1.0)).drop("_prev")
+def _returns_and_volatility(d: DataFrame, w) -> DataFrame:
+    """Within one series window: r from the previous close, then stddev_samp of r
+    over the last 20 rows (needs the 20 preceding rows in all)."""
+    d = d.withColumn("_prev", F.lag("ClosePrice").over(w))
+    d = d.withColumn("Daily_Return", safe_div("ClosePrice", "_prev") - F.lit(1.0))
+    return d.withColumn("Rolling_Volatility_20",
+                        F.stddev_samp("Daily_Return").over(w.rowsBetween(-19, 0))).drop("_prev")
 
 
 def with_ytd(df: DataFrame) -> DataFrame:
@@ -50,10 +53,9 @@ def with_ytd(df: DataFrame) -> DataFrame:
 
 
 def series_metrics(bars: DataFrame, strategy=None) -> DataFrame:
-    """Per row: Daily_Return, Rolling_Volatility_20 (stddev_samp of r over 20 rows), YTD_Return."""
-    d = daily_returns(bars, strategy)
-    d = with_sliding(d, "Ticker", "TradeDate",
-                     {"Rolling_Volatility_20": ("stddev", "Daily_Return", 20)}, strategy=strategy)
+    """Per row: Daily_Return, Rolling_Volatility_20, YTD_Return (one series pass + one
+    (ticker, year) window)."""
+    d = with_frames(bars, "Ticker", "TradeDate", 20, _returns_and_volatility, strategy=strategy)
     return with_ytd(d)
 
 
@@ -182,9 +184,7 @@ def d10_liquidity(bars: DataFrame) -> DataFrame:
 
 def d11_rolling_vol20(bars: DataFrame, strategy=None) -> DataFrame:
     """Per row: r and the sample standard deviation of r over the last 20 rows (not annualised)."""
-    d = daily_returns(bars, strategy)
-    d = with_sliding(d, "Ticker", "TradeDate",
-                     {"Rolling_Volatility_20": ("stddev", "Daily_Return", 20)}, strategy=strategy)
+    d = with_frames(bars, "Ticker", "TradeDate", 20, _returns_and_volatility, strategy=strategy)
     return d.select("TradeDate", "Ticker", "IndexName", "Daily_Return", "Rolling_Volatility_20")
 
 

@@ -6,14 +6,19 @@ holding a third of all rows would be one third of the work on one core. These
 helpers take a ``strategy``:
 
 * ``"plain"``: the window as written (one Exchange on the series key);
-* ``"blocked"`` (default): the series is cut into (series, year) blocks. What a
-  block needs from earlier blocks is computed on small per-block tables and joined
-  back: the carried running total/max/min, the count of earlier rows and dates for
-  ranks, and for ROWS frames of n rows the last n-1 earlier rows as a margin. The
-  big table is then windowed by (series, year), one Exchange, and no block holds
-  more than one year of one series plus the margin.
-
-Both strategies give the same rows; tests compare them.
+* ``"blocked"``: the series is cut into (series, year) blocks. What a block needs
+  from earlier blocks is computed on small per-block tables and joined back: the
+  carried running total/max/min, the count of earlier rows and dates for ranks,
+  and for ROWS frames of n rows the last n-1 earlier rows as a margin. The big
+  table is then windowed by (series, year), one Exchange, and no block holds more
+  than one year of one series plus the margin. It costs extra scans of the input
+  (block counts and block tails) and a few small shuffles.
+* ``"auto"`` (default): one size check, the row count of the largest series (a
+  partial aggregate, one number to the driver), picks ``plain`` when every series
+  fits in a task (``barlens.window.maxSeriesRows``, default 2,000,000 rows) and
+  ``blocked`` otherwise. The session conf ``barlens.window.strategy`` overrides.
+
+Both strategies give the same rows; tests compare them on edge cases.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from pyspark.sql import functions as F
 
 from barlens.functions.numeric import exact_avg, int_avg
 
-DEFAULT_STRATEGY = "blocked"
+DEFAULT_STRATEGY = "auto"
+MAX_SERIES_ROWS = 2_000_000
 BLOCK = "_blk"
 
 
@@ -38,8 +44,22 @@ def _w(part, order, desc: bool = False):
     return Window.partitionBy(*_parts(part)).orderBy(o)
 
 
-def _strategy(strategy):
-    return strategy or DEFAULT_STRATEGY
+def resolve_strategy(df: DataFrame, part, strategy: str | None = None) -> str:
+    """``plain`` or ``blocked`` for windows over ``df`` partitioned by ``part``."""
+    conf = df.sparkSession.conf
+    s = strategy or conf.get("barlens.window.strategy", DEFAULT_STRATEGY)
+    if s != "auto":
+        return s
+    limit = int(conf.get("barlens.window.maxSeriesRows", str(MAX_SERIES_ROWS)))
+    biggest = (df.groupBy(*_parts(part)).agg(F.count(F.lit(1)).alias("n"))
+               .agg(F.max("n")).first()[0]) or 0
+    return "blocked" if biggest > limit else "plain"
+
+
+def _strategy(strategy, df=None, part=None):
+    if strategy in ("plain", "blocked"):
+        return strategy
+    return resolve_strategy(df, part, strategy)
 
 
 # --------------------------------------------------------------------------- lag
@@ -68,7 +88,7 @@ def with_running(df: DataFrame, part, order: str, specs: dict, frame: str = "row
         return w.rowsBetween(Window.unboundedPreceding, 0) if frame == "rows" else w
 
     w = frame_of(_w(ps, order))
-    if _strategy(strategy) == "plain":
+    if _strategy(strategy, df, part) == "plain":
         return df.select("*", *[_RUN_FN[fn](vals[o]).over(w).alias(o) for o, (fn, _) in specs.items()])
     types = df.select(*[_RUN_FN[fn](vals[o]).over(w).alias(o)
                         for o, (fn, _) in specs.items()]).schema
@@ -123,9 +143,27 @@ def with_sliding(df: DataFrame, part, order: str, outs: dict, strategy=None) ->
     or (``"lag"``, column) for the previous row.
     """
     ps = _parts(part)
-    if _strategy(strategy) == "plain":
-        return df.select("*", *_slide_cols(outs, _w(ps, order)))
     m = max((s[2] if len(s) > 2 else 2) for s in outs.values()) - 1
+    return with_frames(df, ps, order, m, lambda d, w: d.select("*", *_slide_cols(outs, w)),
+                       strategy=strategy)
+
+
+def with_frames(df: DataFrame, part, order: str, margin: int, build, strategy=None) -> DataFrame:
+    """Run ``build(frame_df, window)`` where every row can see its ``margin``
+    preceding rows of the series.
+
+    ``window`` is the per-series window (partition, order) to use in ``build``;
+    ``frame_df`` may hold extra earlier rows (``_margin`` true) which are removed
+    afterwards. Plain: ``frame_df`` is ``df`` and the window is the series.
+    Blocked: the window is (series, year) and each block gets the last
+    ``margin`` rows before it, so ROWS frames up to ``margin`` PRECEDING (and
+    chains of them, e.g. a lag feeding a rolling statistic, within ``margin``
+    rows in total) are exact.
+    """
+    ps = _parts(part)
+    if _strategy(strategy, df, part) == "plain":
+        return build(df.withColumn("_margin", F.lit(False)), _w(ps, order)).drop("_margin")
+    m = margin
     blk = df.withColumn(BLOCK, F.year(order))
     # Last m rows of every block: a top-m per group, limited before its shuffle.
     tails = (blk.withColumn("_r", F.row_number().over(_w(ps + [BLOCK], order, desc=True)))
@@ -141,14 +179,14 @@ def with_sliding(df: DataFrame, part, order: str, outs: dict, strategy=None) ->
                                          (F.col("_end") - F.col("_n")).alias("p"))).over(nxt))
     # A tail row r rows from the end of its block is needed by a later block whose
     # first row is at most m rows after it.
-    margin = (tails.join(counts.select(*ps, BLOCK, "_end", "_next"), ps + [BLOCK])
-              .select("*", F.explode("_next").alias("_t"))
-              .filter((F.col("_r") - 1) + (F.col("_t.p") - F.col("_end")) <= m - 1)
-              .withColumn(BLOCK, F.col("_t.b"))
-              .drop("_r", "_end", "_next", "_t")
-              .withColumn("_margin", F.lit(True)))
-    allrows = blk.withColumn("_margin", F.lit(False)).unionByName(margin)
-    res = allrows.select("*", *_slide_cols(outs, _w(ps + [BLOCK], order)))
+    margin_rows = (tails.join(counts.select(*ps, BLOCK, "_end", "_next"), ps + [BLOCK])
+                   .select("*", F.explode("_next").alias("_t"))
+                   .filter((F.col("_r") - 1) + (F.col("_t.p") - F.col("_end")) <= m - 1)
+                   .withColumn(BLOCK, F.col("_t.b"))
+                   .drop("_r", "_end", "_next", "_t")
+                   .withColumn("_margin", F.lit(True)))
+    allrows = blk.withColumn("_margin", F.lit(False)).unionByName(margin_rows)
+    res = build(allrows, _w(ps + [BLOCK], order))
     return res.filter(~F.col("_margin")).drop(BLOCK, "_margin")
 
 
@@ -157,7 +195,7 @@ def with_ranks(df: DataFrame, part, order: str, row_number: str | None = None,
                rank: str | None = None, dense_rank: str | None = None, strategy=None) -> DataFrame:
     """ROW_NUMBER / RANK / DENSE_RANK over (PARTITION BY part ORDER BY order)."""
     ps = _parts(part)
-    if _strategy(strategy) == "plain":
+    if _strategy(strategy, df, part) == "plain":
         w = _w(ps, order)
         cols = [(row_number, F.row_number()), (rank, F.rank()), (dense_rank, F.dense_rank())]
         return df.select("*", *[e.over(w).alias(o) for o, e in cols if o])
@@ -186,7 +224,7 @@ def with_first_last(df: DataFrame, part, order: str, value: str,
     shuffle join whose skewed partitions adaptive execution splits).
     """
     ps = _parts(part)
-    if _strategy(strategy) == "plain":
+    if _strategy(strategy, df, part) == "plain":
         w = _w(ps, order)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         cols = [(first, F.first(value).over(w)), (last, F.last(value).over(whole))]

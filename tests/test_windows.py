@@ -105,6 +105,22 @@ def test_lag_matches_plain(edge):
 
 
 def test_blocked_plan_partitions_by_block(wide):
-    plan = W.with_sliding(wide, "s", "d", {"a7": ("avg", "v", 7)})._jdf.queryExecution() \
-        .executedPlan().toString()
+    plan = W.with_sliding(wide, "s", "d", {"a7": ("avg", "v", 7)}, strategy="blocked")._jdf \
+        .queryExecution().executedPlan().toString()
     assert "_blk" in plan and "hashpartitioning(s#" in plan
+
+
+def test_auto_picks_blocked_only_for_large_series(spark, wide):
+    assert W.resolve_strategy(wide, "s") == "plain"
+    spark.conf.set("barlens.window.maxSeriesRows", "10")
+    try:
+        assert W.resolve_strategy(wide, "s") == "blocked"
+    finally:
+        spark.conf.unset("barlens.window.maxSeriesRows")
+
+
+def test_chained_frames_match_plain(edge):
+    from barlens.operators.measures import _returns_and_volatility
+    e = edge.withColumnRenamed("v", "ClosePrice")
+    a, b = both(lambda d, s: W.with_frames(d, "s", "d", 20, _returns_and_volatility, strategy=s), e)
+    assert_df_equal(a, b)
