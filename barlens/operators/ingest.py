@@ -44,9 +44,16 @@ def e03_conform(feed: DataFrame, markets: DataFrame) -> DataFrame:
 
 
 def e04_incremental_rows(feed: DataFrame, loaded: DataFrame, markets: DataFrame,
-                         default_start: _dt.date) -> DataFrame:
-    """Conformed feed rows on or after each ticker's start date."""
-    starts = e02_start_date(e01_high_water_mark(loaded, markets), default_start)
+                         default_start: _dt.date, marks: DataFrame | None = None) -> DataFrame:
+    """Conformed feed rows on or after each ticker's start date.
+
+    ``marks`` (Ticker, LastTradeDate), when kept by the loader, replaces the scan
+    of ``loaded`` for the high-water marks."""
+    if marks is None:
+        marks = e01_high_water_mark(loaded, markets)
+    else:
+        marks = markets.select("Ticker").join(marks, "Ticker", "left")
+    starts = e02_start_date(marks, default_start)
     rows = e03_conform(feed, markets)
     return (rows.join(starts, "Ticker").filter(F.col("TradeDate") >= F.col("StartDate"))
             .select(*BAR_COLUMNS))
@@ -104,18 +111,27 @@ def stored(df: DataFrame, created_at: _dt.datetime | None = None, start: int = 0
 
 
 def new_keys(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows whose (TradeDate, Ticker) is not in ``table``, one row per key."""
-    return rows.dropDuplicates(KEY).join(table.select(*KEY), KEY, "left_anti")
+    """Rows whose (TradeDate, Ticker) is not in ``table``, one row per key.
+
+    The table is large and the batch small, so the table is semi-joined against
+    the batch keys first: the planner broadcasts the batch side when its size
+    check allows (else a shuffle join), and the table is streamed, never
+    shuffled. The anti-join then runs between two batch-sized sides.
+    """
+    rows = rows.dropDuplicates(KEY)
+    known = table.select(*KEY).join(rows.select(*KEY), KEY, "left_semi")
+    return rows.join(known, KEY, "left_anti")
 
 
-def e07_new_rows(table: DataFrame, rows: DataFrame, created_at: _dt.datetime | None = None) -> DataFrame:
+def e07_new_rows(table: DataFrame, rows: DataFrame, created_at: _dt.datetime | None = None,
+                 last_id: int | None = None) -> DataFrame:
     """Stored-layout rows for the keys not yet in ``table``.
 
-    New keys continue after the table's largest PriceID (read with one small
-    aggregate, like the reference's high-water query); ``created_at`` stamps the
-    batch (default: now)."""
+    New keys continue after ``last_id``, or after the table's largest PriceID
+    (read with one small aggregate, like the reference's high-water query);
+    ``created_at`` stamps the batch (default: now)."""
     fresh = new_keys(rows, table)
-    top = table.agg(F.max("PriceID")).first()[0] or 0
+    top = last_id if last_id is not None else (table.agg(F.max("PriceID")).first()[0] or 0)
     stamp = created_at if created_at is not None else _dt.datetime.now().replace(microsecond=0)
     return stored(fresh, stamp, start=top)
 

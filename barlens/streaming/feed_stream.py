@@ -30,31 +30,63 @@ from barlens.session import ensure_checkpoint_dir
 from barlens.sources.bars import DEFAULT_START
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame:
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        df = spark.read.parquet(path)
-        return df.select("PriceID", *BAR_COLUMNS, "CreatedAt")
-    except Exception:  # noqa: BLE001 - no table yet: start empty
-        return spark.createDataFrame([], STORED_BARS)
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - not written yet
+        return None
 
 
 def load_batch(batch: DataFrame, table_path: str, markets: DataFrame,
                default_start: _dt.date = DEFAULT_START, created_at: _dt.datetime | None = None) -> int:
-    """Append the new rows of one feed batch to the stored table; returns rows appended."""
+    """Append the new rows of one feed batch to the stored table; returns rows appended.
+
+    Two small side tables live inside the table folder (Spark's reader skips
+    folders starting with ``_``): ``_marks`` (last loaded date per ticker) and
+    ``_keys`` (last PriceID issued). With them a batch never scans the whole
+    table: the key check reads only the year partitions the batch touches.
+    Order of writes: keys, rows, marks. A crash after the keys leaves a gap in
+    PriceID (as an identity column does); a crash after the rows is repaired on
+    replay, because the key check finds the rows already there.
+    """
     spark = batch.sparkSession
-    table = _table(spark, table_path)
-    rows = ingest.e04_incremental_rows(batch, table, markets, default_start)
-    new = ingest.e07_new_rows(table, rows, created_at).withColumn("Year", F.year("TradeDate"))
-    # One micro-batch (bounded by maxFilesPerTrigger) is kept so that the count
-    # and the write do not compute it twice.
-    new = new.persist(StorageLevel.MEMORY_AND_DISK)
+    table = _read(spark, table_path)
+    if table is None:
+        table = spark.createDataFrame([], STORED_BARS).withColumn("Year", F.year("TradeDate"))
+    marks = _read(spark, f"{table_path}/_marks")
+    if marks is None:  # first run on an existing table: one scan builds the marks
+        marks = table.groupBy("Ticker").agg(F.max("TradeDate").alias("LastTradeDate"))
+    keys = _read(spark, f"{table_path}/_keys")
+    last_id = (keys.first()[0] if keys is not None
+               else table.agg(F.max("PriceID")).first()[0]) or 0
+
+    rows = ingest.e04_incremental_rows(batch, table, markets, default_start, marks=marks)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = new.count()
-        if n:
+        # The batch's years: at most one per calendar year of the batch.
+        years = [r[0] for r in rows.select(F.year("TradeDate")).distinct().collect()]
+        existing = table.filter(F.col("Year").isin(years)).select("PriceID", *BAR_COLUMNS, "CreatedAt")
+        new = ingest.e07_new_rows(existing, rows, created_at, last_id=last_id) \
+            .withColumn("Year", F.year("TradeDate")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = new.count()
+            if n == 0:
+                return 0
+            spark.createDataFrame([(last_id + n,)], "LastPriceID long") \
+                .write.mode("overwrite").parquet(f"{table_path}/_keys")
             new.write.mode("append").partitionBy("Year").parquet(table_path)
-        return n
+            fresh = new.groupBy("Ticker").agg(F.max("TradeDate").alias("LastTradeDate"))
+            updated = (marks.unionByName(fresh).groupBy("Ticker")
+                       .agg(F.max("LastTradeDate").alias("LastTradeDate")))
+            # Marks are one row per ticker; written to a new folder, then swapped in.
+            tmp = f"{table_path}/_marks_next"
+            updated.write.mode("overwrite").parquet(tmp)
+            spark.read.parquet(tmp).write.mode("overwrite").parquet(f"{table_path}/_marks")
+            return n
+        finally:
+            new.unpersist()
     finally:
-        new.unpersist()
+        rows.unpersist()
 
 
 def start_feed_load(spark: SparkSession, landing: str, table_path: str, markets: DataFrame,

@@ -83,3 +83,19 @@ def test_streaming_load_is_exactly_once(spark, scratch):
     again = spark.read.parquet(table)
     assert again.count() == 1402
     assert again.select("PriceID").distinct().count() == 1402
+
+
+def test_replay_after_crash_before_marks_appends_nothing(spark, scratch):
+    from barlens.streaming import load_batch
+    table = os.path.join(scratch, "table")
+    markets = dim_market(spark, SF001)
+    ingest.stored(history(spark, SF001)).withColumn("Year", F.year("TradeDate")) \
+        .write.partitionBy("Year").parquet(table)
+    assert load_batch(feed(spark, SF001), table, markets, created_at=STAMP) == 519
+    # Simulate a crash after the rows were written but before the marks were:
+    # put back the marks of the history alone and replay the same batch.
+    history(spark, SF001).groupBy("Ticker").agg(F.max("TradeDate").alias("LastTradeDate")) \
+        .write.mode("overwrite").parquet(os.path.join(table, "_marks"))
+    assert load_batch(feed(spark, SF001), table, markets, created_at=STAMP) == 0
+    t = spark.read.parquet(table)
+    assert t.count() == 1402 and t.select("PriceID").distinct().count() == 1402
