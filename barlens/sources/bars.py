@@ -103,6 +103,12 @@ def dim_market(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("r_name").alias("Country")))
 
 
+def dim_market_from(spark: SparkSession, markets: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Market dimension from an in-code mapping {ticker: (index name, country)}."""
+    from barlens.schema import DIM_MARKET
+    return spark.createDataFrame([(t, n, c) for t, (n, c) in markets.items()], DIM_MARKET)
+
+
 def dim_date(bars_df: DataFrame) -> DataFrame:
     """One row per trading date; its size is bounded by the calendar span."""
     return (bars_df.select("TradeDate").distinct()

@@ -45,3 +45,22 @@ def test_latest_snapshot_uses_group_limit(spark):
 def test_contribution_broadcasts_the_date_totals(spark):
     p = plan(rolling.q46_contribution(bars(spark, SF001)))
     assert "BroadcastHashJoin" in p and "Window" not in p
+
+
+def test_views_are_sql_addressable(spark):
+    from barlens.plans.views import preview, register_views
+    b = bars(spark, SF001)
+    names = register_views(spark, b)
+    assert "vw_MarketSummary" in names
+    assert spark.sql("SELECT count(*) FROM vw_MarketSummary").first()[0] == 5
+    p = spark.sql("SELECT * FROM vw_DailyPerformance WHERE Ticker = '2-HIGH'")._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "EqualTo(o_orderpriority,2-HIGH)" in p  # the ticker filter reaches the orders scan
+    top = preview(b, 3, ["TradeDate", "Ticker"], last=True).collect()
+    assert len(top) == 3 and top[0].TradeDate >= top[-1].TradeDate
+
+
+def test_market_dimension_from_mapping(spark):
+    from barlens.sources.bars import dim_market_from
+    m = dim_market_from(spark, {"T1": ("Index T1", "X"), "T2": ("Index T2", None)})
+    assert sorted(r.Ticker for r in m.collect()) == ["T1", "T2"]
