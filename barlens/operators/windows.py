@@ -51,9 +51,19 @@ def resolve_strategy(df: DataFrame, part, strategy: str | None = None) -> str:
     if s != "auto":
         return s
     limit = int(conf.get("barlens.window.maxSeriesRows", str(MAX_SERIES_ROWS)))
-    biggest = (df.groupBy(*_parts(part)).agg(F.count(F.lit(1)).alias("n"))
-               .agg(F.max("n")).first()[0]) or 0
-    return "blocked" if biggest > limit else "plain"
+    # The choice only affects speed (both strategies are exact), so it is kept per
+    # session and input plan; a changed input may reuse an older choice.
+    key = (id(df.sparkSession), df.semanticHash(), tuple(_parts(part)), limit)
+    if key not in _CHOICES:
+        biggest = (df.groupBy(*_parts(part)).agg(F.count(F.lit(1)).alias("n"))
+                   .agg(F.max("n")).first()[0]) or 0
+        if len(_CHOICES) > 256:
+            _CHOICES.clear()
+        _CHOICES[key] = "blocked" if biggest > limit else "plain"
+    return _CHOICES[key]
+
+
+_CHOICES: dict = {}
 
 
 def _strategy(strategy, df=None, part=None):
