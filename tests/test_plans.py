@@ -64,3 +64,20 @@ def test_market_dimension_from_mapping(spark):
     from barlens.sources.bars import dim_market_from
     m = dim_market_from(spark, {"T1": ("Index T1", "X"), "T2": ("Index T2", None)})
     assert sorted(r.Ticker for r in m.collect()) == ["T1", "T2"]
+
+
+def test_procedures_as_sql_table_functions(spark):
+    from barlens.operators import procedures as P
+    from barlens.plans.views import register_procedures
+    from tests.helpers import assert_df_equal
+    import datetime as dt
+    b = bars(spark, SF001)
+    register_procedures(spark, b)
+    assert_df_equal(spark.sql("SELECT * FROM sp_GetMarketHistory('2-HIGH')"), P.p1_market_history(b, "2-HIGH"))
+    assert_df_equal(spark.sql("SELECT * FROM sp_GetMarketByDateRange(DATE'1999-01-01', DATE'1999-12-31')"),
+                    P.p2_market_by_date_range(b, dt.date(1999, 1, 1), dt.date(1999, 12, 31)))
+    assert_df_equal(spark.sql("SELECT * FROM sp_GetTopPerformingMarkets(3)"), P.p4_top_markets(b, 3))
+    assert spark.sql("SELECT * FROM sp_GetLatestMarketSnapshot()").count() == 5
+    from barlens.operators import calendar as C
+    assert_df_equal(spark.sql("SELECT * FROM sp_GetMonthlyPerformance(1999)"), C.p5_monthly_performance(b, 1999))
+    assert spark.sql("SELECT * FROM sp_GetExecutiveSummary()").count() == 5
