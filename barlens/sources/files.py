@@ -17,10 +17,20 @@ def write_feed_files(feed_df: DataFrame, root: str, mode: str = "append") -> Non
     feed_df.select(*FEED_COLUMNS).write.mode(mode).partitionBy("Ticker").parquet(root)
 
 
-def read_feed_files(spark: SparkSession, root: str) -> DataFrame:
-    """All landed tickers in one read (the per-ticker loop becomes a file listing)."""
-    return (spark.read.schema(FEED).option("basePath", root).parquet(root)
-            .select(*FEED_COLUMNS))
+def read_feed_files(spark: SparkSession, root: str, start=None, end=None,
+                    tickers: list[str] | None = None) -> DataFrame:
+    """All landed tickers in one read (the per-ticker loop becomes a file listing).
+
+    ``start`` (inclusive) and ``end`` (exclusive, as the vendor's end date) bound
+    the dates; ``tickers`` prunes ticker folders. Both reach the scan."""
+    df = spark.read.schema(FEED).option("basePath", root).parquet(root)
+    if tickers:
+        df = df.filter(F.col("Ticker").isin(list(tickers)))
+    if start is not None:
+        df = df.filter(F.col("Date") >= F.lit(start))
+    if end is not None:
+        df = df.filter(F.col("Date") < F.lit(end))
+    return df.select(*FEED_COLUMNS)
 
 
 def write_bars(bars_df: DataFrame, path: str, mode: str = "append") -> None:

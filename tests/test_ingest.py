@@ -63,6 +63,10 @@ def test_feed_files_one_directory_per_ticker(spark, scratch):
     write_feed_files(feed(spark, SF001), root)
     assert len([d for d in os.listdir(root) if d.startswith("Ticker=")]) == 5
     assert_df_equal(read_feed_files(spark, root), feed(spark, SF001))
+    part = read_feed_files(spark, root, start=dt.date(1999, 1, 1), end=dt.date(2000, 1, 1), tickers=["2-HIGH"])
+    assert part.count() == feed(spark, SF001).filter("Ticker = '2-HIGH' AND year(Date) = 1999").count()
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Ticker" in plan
 
 
 def test_streaming_load_is_exactly_once(spark, scratch):
