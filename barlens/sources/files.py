@@ -34,7 +34,12 @@ def read_feed_files(spark: SparkSession, root: str, start=None, end=None,
 
 
 def write_bars(bars_df: DataFrame, path: str, mode: str = "append") -> None:
+    """Write bars partitioned by year. Each task sorts its rows by (Year, Ticker,
+    TradeDate) before writing: no shuffle, the partitioned writer's ordering is
+    already met, and row groups are clustered by ticker so their min/max
+    statistics let a ticker filter skip most of each file."""
     (bars_df.withColumn("Year", F.year("TradeDate"))
+     .sortWithinPartitions("Year", "Ticker", "TradeDate")
      .write.mode(mode).partitionBy("Year").parquet(path))
 
 
