@@ -19,7 +19,6 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.operators.windows import with_ranks
 from barlens.schema import BAR_COLUMNS, FEED_RENAMES
 
 KEY = ["TradeDate", "Ticker"]
@@ -90,17 +89,18 @@ def schema_profile(df: DataFrame) -> list[tuple[str, str]]:
 def with_price_id(df: DataFrame, start: int = 0) -> DataFrame:
     """Dense surrogate key 1..n (plus ``start``) in (Ticker, TradeDate) order.
 
-    Per-ticker counts -> exclusive running sum over tickers (one row per ticker)
-    -> joined back -> plus the row number within the ticker (blocked by year, so
-    a large ticker is split). No global sort of the rows.
+    Rows are counted per (Ticker, year) block; an exclusive running sum over the
+    block table (one row per ticker and year) gives each block's offset; the key
+    is the offset plus the row number inside the block. No global sort of the
+    rows and no window partition larger than one year of one ticker.
     """
-    counts = df.groupBy("Ticker").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("Ticker").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("Ticker", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    ranked = with_ranks(df, "Ticker", "TradeDate", row_number="_rn")
-    return (ranked.join(offs, "Ticker")
-            .withColumn("PriceID", (F.lit(start) + F.col("_off") + F.col("_rn")).cast("bigint"))
-            .drop("_off", "_rn"))
+    blocks = df.groupBy("Ticker", F.year("TradeDate").alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("Ticker", "_y").rowsBetween(Window.unboundedPreceding, -1)
+    offs = blocks.select("Ticker", "_y", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy("Ticker", "_y").orderBy("TradeDate")
+    return (df.withColumn("_y", F.year("TradeDate")).join(offs, ["Ticker", "_y"])
+            .withColumn("PriceID", (F.lit(start) + F.col("_off") + F.row_number().over(inner)).cast("bigint"))
+            .drop("_y", "_off"))
 
 
 def stored(df: DataFrame, created_at: _dt.datetime | None = None, start: int = 0) -> DataFrame:

@@ -19,6 +19,7 @@ from barlens.operators import (calendar, ingest, measures, procedures, quality,
                                rolling, summary)
 from barlens.sources import bars, bars_dirty, bars_wide, dim_market, feed, history
 from barlens.sources.bars import DEFAULT_START, HISTORY_BEFORE, HISTORY_MISSING_TICKER
+from barlens.session import ensure_checkpoint_dir
 from barlens.sources.files import read_bars
 
 # Fixed parameters of the registered calls.
@@ -97,7 +98,12 @@ def _new_rows(s: RawSources) -> DataFrame:
 
 
 def _e07(s: RawSources) -> DataFrame:
-    return ingest.e07_append(ingest.stored(s.history()), _new_rows(s), created_at=LOAD_STAMP)
+    # The loaded table exists at rest before an append: materialise it once in the
+    # shared checkpoint folder (reliable checkpoint) instead of re-deriving it in
+    # each of the three places the append reads it.
+    ensure_checkpoint_dir(s.spark)
+    table = ingest.stored(s.history()).checkpoint(eager=True)
+    return ingest.e07_append(table, _new_rows(s), created_at=LOAD_STAMP)
 
 
 def _b(fn, **kw):
