@@ -65,12 +65,15 @@ def main() -> None:
     if pats:
         jobs = [j for j in jobs if any(p in j[0] for p in pats)]
 
-    timings = {}
+    timings, failed = {}, {}
     for key, src, fn in jobs:
         def make(fn=fn, src=src):
             return fn(src)
-        _run(make)  # warm-up
-        timings[key] = round(statistics.median(_run(make) for _ in range(runs)), 4)
+        try:
+            _run(make)  # warm-up
+            timings[key] = round(statistics.median(_run(make) for _ in range(runs)), 4)
+        except Exception as e:  # noqa: BLE001 - report, keep benchmarking the rest
+            failed[key] = str(e)[:200]
 
     narrow_total = sum(v for k, v in timings.items() if not k.endswith(WIDE_SUFFIX))
     wide_total = sum(v for k, v in timings.items() if k.endswith(WIDE_SUFFIX))
@@ -87,6 +90,7 @@ def main() -> None:
         "cpus": cpus,
         "shuffle_partitions": parts,
         "spark": spark.version,
+        "failed": failed,
     }
     print(json.dumps(out))
     spark.stop()
