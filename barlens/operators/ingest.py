@@ -105,8 +105,9 @@ def with_price_id(df: DataFrame, start: int = 0) -> DataFrame:
 
 def stored(df: DataFrame, created_at: _dt.datetime | None = None, start: int = 0) -> DataFrame:
     """Rows in the stored layout: PriceID, the bar columns, CreatedAt."""
-    stamp = (F.lit(created_at).cast("timestamp_ntz") if created_at is not None
-             else F.lit(None).cast("timestamp_ntz"))
+    # Parsed from text straight into timestamp_ntz: no session time zone applies.
+    stamp = (F.to_timestamp_ntz(F.lit(created_at.strftime("%Y-%m-%d %H:%M:%S")))
+             if created_at is not None else F.lit(None).cast("timestamp_ntz"))
     return with_price_id(df, start).select("PriceID", *BAR_COLUMNS, stamp.alias("CreatedAt"))
 
 

@@ -38,10 +38,9 @@ def _pos():
 def _returns_and_volatility(d: DataFrame, w) -> DataFrame:
     """Within one series window: r from the previous close, then stddev_samp of r
     over the last 20 rows (needs the 20 preceding rows in all)."""
-    d = d.withColumn("_prev", F.lag("ClosePrice").over(w))
-    d = d.withColumn("Daily_Return", safe_div("ClosePrice", "_prev") - F.lit(1.0))
-    return d.withColumn("Rolling_Volatility_20",
-                        F.stddev_samp("Daily_Return").over(w.rowsBetween(-19, 0))).drop("_prev")
+    r = safe_div(F.col("ClosePrice"), F.lag("ClosePrice").over(w)) - F.lit(1.0)
+    d = d.select("*", r.alias("Daily_Return"))
+    return d.select("*", F.stddev_samp("Daily_Return").over(w.rowsBetween(-19, 0)).alias("Rolling_Volatility_20"))
 
 
 def with_ytd(df: DataFrame) -> DataFrame:

@@ -163,8 +163,8 @@ def with_frames(df: DataFrame, part, order: str, margin: int, build, strategy=No
     preceding rows of the series.
 
     ``window`` is the per-series window (partition, order) to use in ``build``;
-    ``frame_df`` may hold extra earlier rows (``_margin`` true) which are removed
-    afterwards. Plain: ``frame_df`` is ``df`` and the window is the series.
+    ``frame_df`` may hold extra earlier rows which are removed afterwards, so
+    ``build`` must only add columns. Plain: ``frame_df`` is ``df`` and the window is the series.
     Blocked: the window is (series, year) and each block gets the last
     ``margin`` rows before it, so ROWS frames up to ``margin`` PRECEDING (and
     chains of them, e.g. a lag feeding a rolling statistic, within ``margin``
@@ -172,7 +172,7 @@ def with_frames(df: DataFrame, part, order: str, margin: int, build, strategy=No
     """
     ps = _parts(part)
     if _strategy(strategy, df, part) == "plain":
-        return build(df.withColumn("_margin", F.lit(False)), _w(ps, order)).drop("_margin")
+        return build(df, _w(ps, order))
     m = margin
     blk = df.withColumn(BLOCK, F.year(order))
     # Last m rows of every block: a top-m per group, limited before its shuffle.
