@@ -66,6 +66,23 @@ def resolve_strategy(df: DataFrame, part, strategy: str | None = None) -> str:
 _CHOICES: dict = {}
 
 
+def materialize_if_derived(df: DataFrame) -> DataFrame:
+    """The blocked form reads its input three times (rows, block counts, block
+    tails). A stored table is simply scanned again; a derived input (a join or an
+    aggregate in its plan) is written once with a reliable checkpoint to the
+    shared checkpoint folder, persisted first so it is computed only once."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if "Join" not in plan and "Aggregate" not in plan:
+        return df
+    from pyspark import StorageLevel
+    from barlens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
+
+
 def _strategy(strategy, df=None, part=None):
     if strategy in ("plain", "blocked"):
         return strategy
@@ -102,6 +119,7 @@ def with_running(df: DataFrame, part, order: str, specs: dict, frame: str = "row
         return df.select("*", *[_RUN_FN[fn](vals[o]).over(w).alias(o) for o, (fn, _) in specs.items()])
     types = df.select(*[_RUN_FN[fn](vals[o]).over(w).alias(o)
                         for o, (fn, _) in specs.items()]).schema
+    df = materialize_if_derived(df)
     blk = df.withColumn(BLOCK, F.year(order)).select("*", *[vals[o].alias(f"_v_{o}") for o in specs])
     per = blk.groupBy(*ps, BLOCK).agg(*[_RUN_FN[fn](f"_v_{o}").alias(f"_b_{o}")
                                         for o, (fn, _) in specs.items()])
@@ -174,6 +192,7 @@ def with_frames(df: DataFrame, part, order: str, margin: int, build, strategy=No
     if _strategy(strategy, df, part) == "plain":
         return build(df, _w(ps, order))
     m = margin
+    df = materialize_if_derived(df)
     blk = df.withColumn(BLOCK, F.year(order))
     # Last m rows of every block: a top-m per group, limited before its shuffle.
     tails = (blk.withColumn("_r", F.row_number().over(_w(ps + [BLOCK], order, desc=True)))
@@ -209,6 +228,7 @@ def with_ranks(df: DataFrame, part, order: str, row_number: str | None = None,
         w = _w(ps, order)
         cols = [(row_number, F.row_number()), (rank, F.rank()), (dense_rank, F.dense_rank())]
         return df.select("*", *[e.over(w).alias(o) for o, e in cols if o])
+    df = materialize_if_derived(df)
     blk = df.withColumn(BLOCK, F.year(order))
     per = blk.groupBy(*ps, BLOCK).agg(F.count(F.lit(1)).alias("_n"),
                                       F.countDistinct(order).alias("_d"))
