@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.schema import BAR_COLUMNS, FEED, FEED_COLUMNS
+from pyspark.sql import types as T
+
+from barlens.schema import BAR_COLUMNS, FEED, FEED_COLUMNS, STORED_BARS
 
 
 def write_feed_files(feed_df: DataFrame, root: str, mode: str = "append") -> None:
@@ -43,7 +45,13 @@ def write_bars(bars_df: DataFrame, path: str, mode: str = "append") -> None:
      .write.mode(mode).partitionBy("Year").parquet(path))
 
 
+# The stored layout: key, bar columns, load stamp, and the year partition folder.
+STORED_FILE_SCHEMA = T.StructType(STORED_BARS.fields + [T.StructField("Year", T.IntegerType(), True)])
+
+
 def read_bars(spark: SparkSession, path: str, extra: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    cols = [c for c in (extra or []) if c in df.columns] + BAR_COLUMNS
-    return df.select(*cols)
+    """The stored bar table with its fixed schema (no footer reads to infer one).
+    Tables written without PriceID/CreatedAt read those as NULL; only the bar
+    columns (and ``extra``) are selected."""
+    df = spark.read.schema(STORED_FILE_SCHEMA).parquet(path)
+    return df.select(*(list(extra or []) + BAR_COLUMNS))
