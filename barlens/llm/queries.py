@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from barlens.llm import bpe, decontaminate, quality
+from barlens.llm import bpe, chat, decontaminate, licenses, line_dedup, near_dedup, pii, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_licenses": licenses.op4_licenses,
+    "op5_pii": pii.op5_pii,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_chat_formatting": chat.OP3_SQL,
+}
