@@ -1,7 +1,6 @@
 """Daily performance, returns and best/worst days (q19-q26, v1).
 
-The previous close is a per-series LAG (``windows.with_lag``, blocked by year by
-default). Best/worst day per index is ``row_number() ... = k``, which Spark plans
+The previous close is a per-series LAG (``windows.with_lag``). Best/worst day per index is ``row_number() ... = k``, which Spark plans
 with a WindowGroupLimit on both sides of the shuffle, so only k rows per index
 and map task cross the network however large one index is.
 """
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.numeric import pct_change, to_double
-from barlens.operators.windows import with_lag
+from barlens.operators.windows import with_frames_between, with_lag
 
 
 def _with_prev(bars: DataFrame, part: str = "IndexName", strategy=None) -> DataFrame:
@@ -116,8 +115,12 @@ def q26_worst_day_per_index_intended(bars: DataFrame, strategy=None) -> DataFram
     return _day_out(d.withColumn("_rnk", F.row_number().over(w)).filter(F.col("_rnk") == 1))
 
 
-def _v1(bars: DataFrame, intended: bool, strategy=None) -> DataFrame:
-    d = with_lag(bars, "Ticker", "TradeDate", "ClosePrice", "PreviousClose", strategy=strategy)
+def _v1(bars: DataFrame, intended: bool, strategy=None, start=None, end=None) -> DataFrame:
+    if start is None and end is None:
+        d = with_lag(bars, "Ticker", "TradeDate", "ClosePrice", "PreviousClose", strategy=strategy)
+    else:
+        d = with_frames_between(bars, "Ticker", "TradeDate", 1, lambda f, w: f.withColumn(
+            "PreviousClose", F.lag("ClosePrice").over(w)), start, end)
     c, p = F.col("ClosePrice"), F.col("PreviousClose")
     if intended:
         ret = pct_change(c, p)
@@ -130,9 +133,10 @@ def _v1(bars: DataFrame, intended: bool, strategy=None) -> DataFrame:
                     change.alias("MarketChange"))
 
 
-def v1_daily_performance(bars: DataFrame, strategy=None) -> DataFrame:
-    return _v1(bars, intended=False, strategy=strategy)
+def v1_daily_performance(bars: DataFrame, strategy=None, start=None, end=None) -> DataFrame:
+    """Every row with its previous close; with ``start``/``end`` only those dates."""
+    return _v1(bars, intended=False, strategy=strategy, start=start, end=end)
 
 
-def v1_daily_performance_intended(bars: DataFrame, strategy=None) -> DataFrame:
-    return _v1(bars, intended=True, strategy=strategy)
+def v1_daily_performance_intended(bars: DataFrame, strategy=None, start=None, end=None) -> DataFrame:
+    return _v1(bars, intended=True, strategy=strategy, start=start, end=end)

@@ -1,6 +1,6 @@
 """Running totals, moving averages, first/last, daily ranks, contribution (q37-q46, v2, v3).
 
-All series windows go through ``barlens.operators.windows`` (blocked by default).
+All series windows go through ``barlens.operators.windows``.
 q46's per-date total is an aggregate joined back by broadcast: the per-date table
 has at most one row per calendar day of the data's span, a bound that does not
 grow with the number of series or rows.
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.functions.numeric import safe_div
-from barlens.operators.windows import with_first_last, with_ranks, with_running, with_sliding
+from barlens.operators.windows import (with_first_last, with_frames_between, with_ranks, with_running,
+                                       with_slides, with_sliding)
 from barlens.schema import PRICE_SUM
 
 _BASE = ["TradeDate", "IndexName", "ClosePrice"]
@@ -87,10 +88,14 @@ def q46_contribution(bars: DataFrame) -> DataFrame:
                     .alias("PercentageContribution"))
 
 
-def v2_moving_averages(bars: DataFrame, strategy=None) -> DataFrame:
-    d = with_sliding(bars, "Ticker", "TradeDate",
-                     {"MovingAverage7": ("avg", "ClosePrice", 7),
-                      "MovingAverage30": ("avg", "ClosePrice", 30)}, strategy=strategy)
+def v2_moving_averages(bars: DataFrame, strategy=None, start=None, end=None) -> DataFrame:
+    """7- and 30-row averages; with ``start``/``end`` only those dates, from the rows in
+    the range and 29 before it."""
+    outs = {"MovingAverage7": ("avg", "ClosePrice", 7), "MovingAverage30": ("avg", "ClosePrice", 30)}
+    if start is None and end is None:
+        d = with_sliding(bars, "Ticker", "TradeDate", outs, strategy=strategy)
+    else:
+        d = with_frames_between(bars, "Ticker", "TradeDate", 29, lambda f, w: with_slides(f, outs, w), start, end)
     return d.select("TradeDate", "Ticker", "IndexName", "ClosePrice", "MovingAverage7", "MovingAverage30")
 
 

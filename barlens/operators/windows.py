@@ -1,92 +1,63 @@
 """Per-series window operators (lag, running, sliding, ranks, first/last).
 
-Every series window of the reference is ``PARTITION BY <ticker or index> ORDER BY
-TradeDate``. Written directly, Spark sends each series to one task, so a series
-holding a third of all rows would be one third of the work on one core. These
-helpers take a ``strategy``:
-
-* ``"plain"``: the window as written (one Exchange on the series key);
-* ``"blocked"``: the series is cut into (series, year) blocks. What a block needs
-  from earlier blocks is computed on small per-block tables and joined back: the
-  carried running total/max/min, the count of earlier rows and dates for ranks,
-  and for ROWS frames of n rows the last n-1 earlier rows as a margin. The big
-  table is then windowed by (series, year), one Exchange, and no block holds more
-  than one year of one series plus the margin. It costs extra scans of the input
-  (block counts and block tails) and a few small shuffles.
-* ``"auto"`` (default): one size check, the row count of the largest series (a
-  partial aggregate, one number to the driver), picks ``plain`` when every series
-  fits in a task (``barlens.window.maxSeriesRows``, default 2,000,000 rows) and
-  ``blocked`` otherwise. The session conf ``barlens.window.strategy`` overrides.
-
-Both strategies give the same rows; tests compare them on edge cases.
+Every series window is ``PARTITION BY <ticker or index> ORDER BY TradeDate``. A
+series has one row a trading day once the load has enforced its unique
+(TradeDate, Ticker) key, so the calendar bounds a ticker's partition and the
+window as written is the plan: one Exchange on the series key.
+
+* ``"plain"`` (default): that window.
+* ``"blocked"``, only where the caller asks for it: for series that the calendar
+  does not bound (many tickers under one index name, ticks). The series is cut
+  into (series, year) blocks; what a block needs from earlier blocks is computed
+  on small per-block tables and joined back: the carried running total/max/min,
+  the count of earlier rows and dates for ranks, and for ROWS frames of n rows
+  the last n-1 earlier rows as a margin. No block holds more than a year of one
+  series plus the margin. It reads its input several times: pass a stored table.
+
+Both give the same rows for any input, NULL keys included (block joins are
+null-safe). Rows of one date are ordered by Ticker as well in lag, ROWS frames,
+row numbers and first/last; RANGE frames and ranks go by the date alone.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.numeric import exact_avg, int_avg
 
-DEFAULT_STRATEGY = "auto"
-MAX_SERIES_ROWS = 2_000_000
 BLOCK = "_blk"
+TIE_BREAK = "Ticker"
 
 
 def _parts(part) -> list[str]:
     return [part] if isinstance(part, str) else list(part)
 
 
-def _w(part, order, desc: bool = False):
-    o = F.col(order).desc() if desc else F.col(order).asc()
-    return Window.partitionBy(*_parts(part)).orderBy(o)
-
-
-def resolve_strategy(df: DataFrame, part, strategy: str | None = None) -> str:
-    """``plain`` or ``blocked`` for windows over ``df`` partitioned by ``part``."""
-    conf = df.sparkSession.conf
-    s = strategy or conf.get("barlens.window.strategy", DEFAULT_STRATEGY)
-    if s != "auto":
-        return s
-    limit = int(conf.get("barlens.window.maxSeriesRows", str(MAX_SERIES_ROWS)))
-    # The choice only affects speed (both strategies are exact), so it is kept per
-    # session and input plan; a changed input may reuse an older choice.
-    key = (id(df.sparkSession), df.semanticHash(), tuple(_parts(part)), limit)
-    if key not in _CHOICES:
-        biggest = (df.groupBy(*_parts(part)).agg(F.count(F.lit(1)).alias("n"))
-                   .agg(F.max("n")).first()[0]) or 0
-        if len(_CHOICES) > 256:
-            _CHOICES.clear()
-        _CHOICES[key] = "blocked" if biggest > limit else "plain"
-    return _CHOICES[key]
-
-
-_CHOICES: dict = {}
-
-
-def materialize_if_derived(df: DataFrame) -> DataFrame:
-    """The blocked form reads its input three times (rows, block counts, block
-    tails). A stored table is simply scanned again; a derived input (a join or an
-    aggregate in its plan) is written once with a reliable checkpoint to the
-    shared checkpoint folder, persisted first so it is computed only once."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if "Join" not in plan and "Aggregate" not in plan:
-        return df
-    from pyspark import StorageLevel
-    from barlens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = kept.checkpoint(eager=True)
-    kept.unpersist()
-    return out
-
-
-def _strategy(strategy, df=None, part=None):
-    if strategy in ("plain", "blocked"):
-        return strategy
-    return resolve_strategy(df, part, strategy)
+def _ordering(df: DataFrame, order: str, tie: bool) -> list[str]:
+    return [order, TIE_BREAK] if tie and TIE_BREAK in df.columns and order != TIE_BREAK else [order]
+
+
+def _w(df: DataFrame, part, order: str, desc: bool = False, tie: bool = True):
+    cols = [F.col(c).desc() if desc else F.col(c).asc() for c in _ordering(df, order, tie)]
+    return Window.partitionBy(*_parts(part)).orderBy(*cols)
+
+
+def _is_blocked(strategy: str | None) -> bool:
+    if strategy not in (None, "plain", "blocked"):
+        raise ValueError(f"strategy must be 'plain' or 'blocked', not {strategy!r}")
+    return strategy == "blocked"
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join in which NULL keys match each other; the right keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_right_{i}" for i, k in enumerate(keys)})
+    same = None
+    for i, k in enumerate(keys):
+        one = F.col(k).eqNullSafe(F.col(f"_right_{i}"))
+        same = one if same is None else same & one
+    out = left.join(renamed, same, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_right_{i}" for i in range(len(keys))])
 
 
 # --------------------------------------------------------------------------- lag
@@ -114,20 +85,20 @@ def with_running(df: DataFrame, part, order: str, specs: dict, frame: str = "row
     def frame_of(w):
         return w.rowsBetween(Window.unboundedPreceding, 0) if frame == "rows" else w
 
-    w = frame_of(_w(ps, order))
-    if _strategy(strategy, df, part) == "plain":
+    rows = frame == "rows"
+    w = frame_of(_w(df, ps, order, tie=rows))
+    if not _is_blocked(strategy):
         return df.select("*", *[_RUN_FN[fn](vals[o]).over(w).alias(o) for o, (fn, _) in specs.items()])
     types = df.select(*[_RUN_FN[fn](vals[o]).over(w).alias(o)
                         for o, (fn, _) in specs.items()]).schema
-    df = materialize_if_derived(df)
     blk = df.withColumn(BLOCK, F.year(order)).select("*", *[vals[o].alias(f"_v_{o}") for o in specs])
     per = blk.groupBy(*ps, BLOCK).agg(*[_RUN_FN[fn](f"_v_{o}").alias(f"_b_{o}")
                                         for o, (fn, _) in specs.items()])
     wb = Window.partitionBy(*ps).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select(*ps, BLOCK, *[_RUN_FN[fn](f"_b_{o}").over(wb).alias(f"_c_{o}")
                                      for o, (fn, _) in specs.items()])
-    inner = frame_of(_w(ps + [BLOCK], order))
-    j = blk.join(carry, ps + [BLOCK], "left")
+    inner = frame_of(_w(df, ps + [BLOCK], order, tie=rows))
+    j = join_null_safe(blk, carry, ps + [BLOCK])
     outs = []
     for o, (fn, _) in specs.items():
         c, i = F.col(f"_c_{o}"), _RUN_FN[fn](f"_v_{o}").over(inner)
@@ -155,13 +126,14 @@ def _slide_expr(kind: str, col: str, w) -> Column:
     raise ValueError(kind)
 
 
-def _slide_cols(outs: dict, w):
+def with_slides(df: DataFrame, outs: dict, w) -> DataFrame:
+    """The columns of ``with_sliding`` over a given window."""
     cols = []
     for o, spec in outs.items():
         kind, col = spec[0], spec[1]
         n = spec[2] if len(spec) > 2 else None
         cols.append(_slide_expr(kind, col, w if kind == "lag" else w.rowsBetween(-(n - 1), 0)).alias(o))
-    return cols
+    return df.select("*", *cols)
 
 
 def with_sliding(df: DataFrame, part, order: str, outs: dict, strategy=None) -> DataFrame:
@@ -172,7 +144,7 @@ def with_sliding(df: DataFrame, part, order: str, outs: dict, strategy=None) ->
     """
     ps = _parts(part)
     m = max((s[2] if len(s) > 2 else 2) for s in outs.values()) - 1
-    return with_frames(df, ps, order, m, lambda d, w: d.select("*", *_slide_cols(outs, w)),
+    return with_frames(df, ps, order, m, lambda d, w: with_slides(d, outs, w),
                        strategy=strategy)
 
 
@@ -189,13 +161,12 @@ def with_frames(df: DataFrame, part, order: str, margin: int, build, strategy=No
     rows in total) are exact.
     """
     ps = _parts(part)
-    if _strategy(strategy, df, part) == "plain":
-        return build(df, _w(ps, order))
+    if not _is_blocked(strategy):
+        return build(df, _w(df, ps, order))
     m = margin
-    df = materialize_if_derived(df)
     blk = df.withColumn(BLOCK, F.year(order))
     # Last m rows of every block: a top-m per group, limited before its shuffle.
-    tails = (blk.withColumn("_r", F.row_number().over(_w(ps + [BLOCK], order, desc=True)))
+    tails = (blk.withColumn("_r", F.row_number().over(_w(df, ps + [BLOCK], order, desc=True)))
              .filter(F.col("_r") <= m))
     # Block table: rows up to the end of each block, and the next m blocks with
     # the number of rows before each of them.
@@ -208,14 +179,14 @@ def with_frames(df: DataFrame, part, order: str, margin: int, build, strategy=No
                                          (F.col("_end") - F.col("_n")).alias("p"))).over(nxt))
     # A tail row r rows from the end of its block is needed by a later block whose
     # first row is at most m rows after it.
-    margin_rows = (tails.join(counts.select(*ps, BLOCK, "_end", "_next"), ps + [BLOCK])
+    margin_rows = (join_null_safe(tails, counts.select(*ps, BLOCK, "_end", "_next"), ps + [BLOCK], "inner")
                    .select("*", F.explode("_next").alias("_t"))
                    .filter((F.col("_r") - 1) + (F.col("_t.p") - F.col("_end")) <= m - 1)
                    .withColumn(BLOCK, F.col("_t.b"))
                    .drop("_r", "_end", "_next", "_t")
                    .withColumn("_margin", F.lit(True)))
     allrows = blk.withColumn("_margin", F.lit(False)).unionByName(margin_rows)
-    res = build(allrows, _w(ps + [BLOCK], order))
+    res = build(allrows, _w(df, ps + [BLOCK], order))
     return res.filter(~F.col("_margin")).drop(BLOCK, "_margin")
 
 
@@ -224,22 +195,22 @@ def with_ranks(df: DataFrame, part, order: str, row_number: str | None = None,
                rank: str | None = None, dense_rank: str | None = None, strategy=None) -> DataFrame:
     """ROW_NUMBER / RANK / DENSE_RANK over (PARTITION BY part ORDER BY order)."""
     ps = _parts(part)
-    if _strategy(strategy, df, part) == "plain":
-        w = _w(ps, order)
-        cols = [(row_number, F.row_number()), (rank, F.rank()), (dense_rank, F.dense_rank())]
-        return df.select("*", *[e.over(w).alias(o) for o, e in cols if o])
-    df = materialize_if_derived(df)
+    if not _is_blocked(strategy):
+        by_row, by_date = _w(df, ps, order), _w(df, ps, order, tie=False)
+        cols = [(row_number, F.row_number().over(by_row)), (rank, F.rank().over(by_date)),
+                (dense_rank, F.dense_rank().over(by_date))]
+        return df.select("*", *[e.alias(o) for o, e in cols if o])
     blk = df.withColumn(BLOCK, F.year(order))
     per = blk.groupBy(*ps, BLOCK).agg(F.count(F.lit(1)).alias("_n"),
-                                      F.countDistinct(order).alias("_d"))
+                                      (F.countDistinct(order) + F.max(F.col(order).isNull().cast("int"))).alias("_d"))
     wb = Window.partitionBy(*ps).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select(*ps, BLOCK, F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_cn"),
                        F.coalesce(F.sum("_d").over(wb), F.lit(0)).alias("_cd"))
-    w = _w(ps + [BLOCK], order)
-    j = blk.join(carry, ps + [BLOCK], "left")
-    cols = [(row_number, F.row_number().over(w) + F.col("_cn")),
-            (rank, F.rank().over(w) + F.col("_cn")),
-            (dense_rank, F.dense_rank().over(w) + F.col("_cd"))]
+    by_row, by_date = _w(df, ps + [BLOCK], order), _w(df, ps + [BLOCK], order, tie=False)
+    j = join_null_safe(blk, carry, ps + [BLOCK])
+    cols = [(row_number, F.row_number().over(by_row) + F.col("_cn")),
+            (rank, F.rank().over(by_date) + F.col("_cn")),
+            (dense_rank, F.dense_rank().over(by_date) + F.col("_cd"))]
     return (j.select("*", *[e.cast("int").alias(o) for o, e in cols if o])
             .drop(BLOCK, "_cn", "_cd"))
 
@@ -250,22 +221,40 @@ def with_first_last(df: DataFrame, part, order: str, value: str,
     """FIRST_VALUE (default frame) and LAST_VALUE (whole partition) of ``value``.
 
     Blocked form: both are per-series aggregates (``min_by``/``max_by``) joined
-    back; the join is size-checked by the planner (broadcast when small, else a
-    shuffle join whose skewed partitions adaptive execution splits).
+    back; the planner broadcasts the per-series table when it is small, else a
+    shuffle join whose skewed partitions adaptive execution splits.
     """
     ps = _parts(part)
-    if _strategy(strategy, df, part) == "plain":
-        w = _w(ps, order)
+    if not _is_blocked(strategy):
+        w = _w(df, ps, order)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         cols = [(first, F.first(value).over(w)), (last, F.last(value).over(whole))]
         return df.select("*", *[e.alias(o) for o, e in cols if o])
+    key = F.struct(*_ordering(df, order, True))
     aggs = []
     if first:
-        aggs.append(F.min_by(value, order).alias(first))
+        aggs.append(F.min_by(value, key).alias(first))
     if last:
-        aggs.append(F.max_by(value, order).alias(last))
-    return df.join(df.groupBy(*ps).agg(*aggs), ps, "left")
+        aggs.append(F.max_by(value, key).alias(last))
+    return join_null_safe(df, df.groupBy(*ps).agg(*aggs), ps)
+
 
+def with_frames_between(df: DataFrame, part, order: str, margin: int, build, start=None, end=None) -> DataFrame:
+    """``with_frames`` for rows with start <= order <= end only.
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    The rows of the range and each series' last ``margin`` rows before it go into
+    the window; the margin is cut off afterwards. Finding it takes a top-``margin``
+    per series, limited in each task before its shuffle, so the window and its
+    shuffle hold the range and the margin, not the history.
+    """
+    ps = _parts(part)
+    inside = F.lit(True) if start is None else F.col(order) >= F.lit(start)
+    if end is not None:
+        inside = inside & (F.col(order) <= F.lit(end))
+    rows = df.filter(inside).withColumn("_margin", F.lit(False))
+    if start is not None:
+        last = F.row_number().over(_w(df, ps, order, desc=True))
+        earlier = (df.filter(F.col(order) < F.lit(start)).withColumn("_r", last)
+                   .filter(F.col("_r") <= margin).drop("_r"))
+        rows = rows.unionByName(earlier.withColumn("_margin", F.lit(True)))
+    return build(rows, _w(df, ps, order)).filter(~F.col("_margin")).drop("_margin")

@@ -108,17 +108,61 @@ def test_blocked_plan_partitions_by_block(wide):
     plan = W.with_sliding(wide, "s", "d", {"a7": ("avg", "v", 7)}, strategy="blocked")._jdf \
         .queryExecution().executedPlan().toString()
     assert "_blk" in plan and "hashpartitioning(s#" in plan
-    # The derived input (an aggregate of lineitem) was checkpointed once, not re-read per branch.
-    assert "lineitem" not in plan
 
 
-def test_auto_picks_blocked_only_for_large_series(spark, wide):
-    assert W.resolve_strategy(wide, "s") == "plain"
-    spark.conf.set("barlens.window.maxSeriesRows", "10")
+def test_no_job_runs_at_construction(spark, wide):
+    from barlens.operators import measures, rolling
+    bars_ = bars_wide(spark, SF001)
+    group = "construction"
+    spark.sparkContext.setJobGroup(group, group)
     try:
-        assert W.resolve_strategy(wide, "s") == "blocked"
+        for s in (None, "plain", "blocked"):
+            W.with_running(wide, "s", "d", {"x": ("sum", "v")}, strategy=s)
+            W.with_ranks(wide, "s", "d", "rn", "rk", "dr", strategy=s)
+        rolling.q39_ma7(bars_)
+        measures.d17_ranking(bars_)
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup(group) == []
     finally:
-        spark.conf.unset("barlens.window.maxSeriesRows")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def _odd_rows():
+    """NULL keys and dates, one index of two tickers with the same dates, ten years."""
+    rnd = random.Random(3)
+    rows = []
+    for k in range(60):
+        d = dt.date(2001 + k // 6, 1 + k % 6 * 2, 3)
+        for index, ticker in (("I", "A"), ("I", "B"), (None, "C"), ("J", "D")):
+            rows.append((index, ticker, d, Decimal(rnd.randint(1, 90)), rnd.randint(0, 5)))
+    return rows + [("I", "A", None, Decimal(7), 1), (None, "C", None, None, None)]
+
+
+def test_null_keys_shared_index_and_shuffled_rows(spark):
+    rows = _odd_rows()
+    schema = "IndexName string, Ticker string, TradeDate date, v decimal(18,4), n bigint"
+    frames = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        frames.append(spark.createDataFrame(rows, schema).repartition(5))
+    outs = {"a3": ("avg", "v", 3), "p": ("lag", "v")}
+    for build in (lambda d, s: W.with_sliding(d, "IndexName", "TradeDate", outs, strategy=s),
+                  lambda d, s: W.with_running(d, "IndexName", "TradeDate", {"s1": ("sum", "v")}, strategy=s),
+                  lambda d, s: W.with_running(d, "IndexName", "TradeDate", {"s1": ("sum", "v")}, "range", strategy=s),
+                  lambda d, s: W.with_ranks(d, "IndexName", "TradeDate", "rn", "rk", "dr", strategy=s),
+                  lambda d, s: W.with_first_last(d, "IndexName", "TradeDate", "v", "f", "l", strategy=s)):
+        plain, blocked = both(build, frames[0])
+        assert_df_equal(plain, blocked.select(*plain.columns))
+        assert_df_equal(plain, build(frames[1], None))
+
+
+def test_range_of_dates_sees_earlier_rows(spark):
+    from barlens.operators import measures, returns, rolling
+    b = bars_wide(spark, SF001)
+    lo, hi = dt.date(1999, 3, 1), dt.date(1999, 3, 31)
+    inside = F.col("TradeDate").between(F.lit(lo), F.lit(hi))
+    for fn in (returns.v1_daily_performance, rolling.v2_moving_averages, measures.d11_rolling_vol20):
+        assert_df_equal(fn(b, start=lo, end=hi), fn(b).filter(inside))
+        assert_df_equal(fn(b, end=lo), fn(b).filter(F.col("TradeDate") <= F.lit(lo)))
 
 
 def test_chained_frames_match_plain(edge):
