@@ -9,7 +9,11 @@ Most measures read one per-market table (``market_table``): the per-row returns,
 20-row volatility and year-to-date return are computed once with series windows,
 then one grouped aggregate (partial + final, so a large ticker collapses map-side)
 gives one row per market. Rankings over markets (percent_rank, ntile, rank) run
-over that table, one row per market, not over the rows.
+over that table, dealt to value ranges (``ranking``): no task gets all markets.
+
+Measures of the market table take the slicers of d21 (``slicer=``): tickers and
+countries cut before the series windows, dates after them, so the first return of
+a slice still has its previous close and YTD its first close of the year.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 
 from barlens.functions.dates import month_of, quarter_of, year_of
 from barlens.functions.numeric import exact_avg, safe_div, to_double
-from barlens.operators.windows import with_frames, with_lag
-from barlens.sources.bars import dim_date
+from barlens.operators.procedures import between_dates
+from barlens.operators.ranking import with_percent_ranks, with_rank, with_row_number
+from barlens.operators.windows import with_frames, with_frames_between, with_lag
+from barlens.sources.bars import date_columns
 
 # Fixed default weights of the composite score: returns, (low) volatility,
 # liquidity, trading activity.
@@ -59,10 +65,15 @@ def series_metrics(bars: DataFrame, strategy=None) -> DataFrame:
     return with_ytd(d)
 
 
-def market_table(bars: DataFrame, strategy=None) -> DataFrame:
+def market_table(bars: DataFrame, strategy=None, slicer: dict | None = None,
+                 markets: DataFrame | None = None) -> DataFrame:
     """One row per market: latest YTD return and 20-row volatility, return statistics,
     volume statistics and the share of days with volume."""
-    d = series_metrics(bars, strategy)
+    chosen = dict(slicer or {})
+    start, end = chosen.pop("start", None), chosen.pop("end", None)
+    d = series_metrics(slice_bars(bars, markets, end=end, **chosen), strategy)
+    if start is not None:
+        d = d.filter(F.col("TradeDate") >= F.lit(start))
     return d.groupBy("Ticker", "IndexName").agg(
         F.max_by("YTD_Return", "TradeDate").alias("YTD_Return"),
         F.max_by("Rolling_Volatility_20", "TradeDate").alias("Volatility_20"),
@@ -83,13 +94,9 @@ def slice_bars(bars: DataFrame, markets: DataFrame | None = None, tickers: list[
     """d21 Dynamic slicers: optional tickers, countries and an inclusive date range,
     applied before any measure. Ticker and date filters reach the parquet scan; the
     country filter is a semi-join with the market dimension."""
-    b = bars
+    b = between_dates(bars, start, end)
     if tickers:
         b = b.filter(F.col("Ticker").isin(list(tickers)))
-    if start is not None:
-        b = b.filter(F.col("TradeDate") >= F.lit(start))
-    if end is not None:
-        b = b.filter(F.col("TradeDate") <= F.lit(end))
     if countries:
         keep = markets.filter(F.col("Country").isin(list(countries))).select("Ticker")
         b = b.join(keep, "Ticker", "left_semi")
@@ -98,14 +105,20 @@ def slice_bars(bars: DataFrame, markets: DataFrame | None = None, tickers: list[
 
 # ------------------------------------------------------------------------- measures
 def d01_kpis(bars: DataFrame, markets: DataFrame) -> DataFrame:
-    """Total Countries, Trading Days, Highest/Lowest/Average Index Level, Total Volume."""
+    """Total Countries, Trading Days, Highest/Lowest/Average Index Level, Total Volume.
+
+    Rows are aggregated to (date, country) first; the distinct counts run over that
+    small table."""
     b = bars.join(markets.select("Ticker", "Country"), "Ticker", "left")
-    return b.agg(F.countDistinct("Country").alias("Total_Countries"),
-                 F.countDistinct("TradeDate").alias("Trading_Days"),
-                 F.max("ClosePrice").alias("Highest_Index_Level"),
-                 F.min("ClosePrice").alias("Lowest_Index_Level"),
-                 exact_avg("ClosePrice").alias("Average_Index_Level"),
-                 F.sum("Volume").alias("Total_Volume"))
+    days = b.groupBy("TradeDate", "Country").agg(
+        F.max("ClosePrice").alias("_high"), F.min("ClosePrice").alias("_low"), F.sum("ClosePrice").alias("_sum"),
+        F.count("ClosePrice").alias("_n"), F.sum("Volume").alias("_volume"))
+    return days.agg(F.countDistinct("Country").alias("Total_Countries"),
+                    F.countDistinct("TradeDate").alias("Trading_Days"),
+                    F.max("_high").alias("Highest_Index_Level"),
+                    F.min("_low").alias("Lowest_Index_Level"),
+                    (F.sum("_sum").cast("double") / F.nullif(F.sum("_n"), F.lit(0))).alias("Average_Index_Level"),
+                    F.sum("_volume").alias("Total_Volume"))
 
 
 def d02_market_trend(bars: DataFrame) -> DataFrame:
@@ -120,12 +133,14 @@ def _flag_rows(mt: DataFrame, flags: list[tuple[str, F.Column]]) -> DataFrame:
     return mt.withColumn("Category", F.explode(F.filter(arr, lambda x: x.isNotNull())))
 
 
-def d03_best_worst(bars: DataFrame, strategy=None) -> DataFrame:
-    """Best and worst market by latest YTD return (rank 1 both ways, ties kept)."""
-    mt = market_table(bars, strategy).filter(F.col("YTD_Return").isNotNull())
-    mt = (mt.withColumn("_best", F.rank().over(Window.orderBy(F.col("YTD_Return").desc())))
-          .withColumn("_worst", F.rank().over(Window.orderBy(F.col("YTD_Return").asc()))))
-    out = _flag_rows(mt, [("Best", F.col("_best") == 1), ("Worst", F.col("_worst") == 1)])
+def d03_best_worst(bars: DataFrame, strategy=None, **sliced) -> DataFrame:
+    """Best and worst market by latest YTD return (ties kept): those equal to the
+    greatest and the least, two numbers."""
+    mt = market_table(bars, strategy, **sliced)
+    ends = mt.withColumns({"_top": mt.agg(F.max("YTD_Return")).scalar(), "_low": mt.agg(F.min("YTD_Return")).scalar()})
+    ends = ends.filter((F.col("YTD_Return") == F.col("_top")) | (F.col("YTD_Return") == F.col("_low")))
+    out = _flag_rows(ends, [("Best", F.col("YTD_Return") == F.col("_top")),
+                            ("Worst", F.col("YTD_Return") == F.col("_low"))])
     return out.select("Category", "Ticker", "IndexName", "YTD_Return")
 
 
@@ -135,9 +150,10 @@ def d04_volume_trend(bars: DataFrame) -> DataFrame:
         .agg(F.sum("Volume").alias("Total_Volume"))
 
 
-def d05_regional(bars: DataFrame, markets: DataFrame, strategy=None) -> DataFrame:
-    """Per country: markets, average of the markets' latest YTD return, total volume."""
-    mt = market_table(bars, strategy).join(markets.select("Ticker", "Country"), "Ticker")
+def d05_regional(bars: DataFrame, markets: DataFrame, strategy=None, slicer: dict | None = None) -> DataFrame:
+    """Per country (NULL for markets that the dimension does not have): markets,
+    average of the markets' latest YTD return, total volume."""
+    mt = market_table(bars, strategy, slicer, markets).join(markets.select("Ticker", "Country"), "Ticker", "left")
     return mt.groupBy("Country").agg(F.count(F.lit(1)).alias("Markets"),
                                      F.avg("YTD_Return").alias("Average_YTD_Return"),
                                      F.sum("Total_Volume").alias("Total_Volume"))
@@ -168,46 +184,63 @@ def d08_volume_kpis(bars: DataFrame) -> DataFrame:
 def d09_volume_share(bars: DataFrame) -> DataFrame:
     """Each market's share of the total volume of all markets."""
     v = bars.groupBy("Ticker", "IndexName").agg(F.sum("Volume").alias("Total_Volume"))
-    total = F.sum("Total_Volume").over(Window.partitionBy())
+    total = bars.agg(F.sum("Volume")).scalar()
     return v.withColumn("Volume_Share", safe_div(F.col("Total_Volume"), total))
 
 
 def d10_liquidity(bars: DataFrame) -> DataFrame:
     """Liquidity rating: terciles of average volume (days with volume), High to Low."""
     v = d08_volume_kpis(bars)
-    w = Window.orderBy(F.col("Average_Volume").desc_nulls_last(), F.col("Ticker").asc())
-    v = v.withColumn("Liquidity_Tier", F.ntile(3).over(w).cast("int"))
+    n = v.agg(F.count(F.lit(1))).scalar()
+    order = [F.col("Average_Volume").isNull(), -F.col("Average_Volume"), F.col("Ticker"), F.col("IndexName")]
+    v = with_row_number(v, order, "_place")
+    # NTILE(3): the first n mod 3 tiers have one row more.
+    long = (F.floor(n / 3) + 1) * (n % 3)
+    tier = F.when(F.col("_place") <= long, F.ceil(F.col("_place") / (F.floor(n / 3) + 1))).otherwise(
+        (n % 3) + F.ceil((F.col("_place") - long) / F.greatest(F.floor(n / 3), F.lit(1))))
+    v = v.withColumn("Liquidity_Tier", tier.cast("int"))
     label = F.when(F.col("Liquidity_Tier") == 1, LIQUIDITY_LABELS[1]) \
         .when(F.col("Liquidity_Tier") == 2, LIQUIDITY_LABELS[2]).otherwise(LIQUIDITY_LABELS[3])
     return v.select("Ticker", "IndexName", "Average_Volume", "Liquidity_Tier", label.alias("Liquidity_Rating"))
 
 
-def d11_rolling_vol20(bars: DataFrame, strategy=None) -> DataFrame:
-    """Per row: r and the sample standard deviation of r over the last 20 rows (not annualised)."""
-    d = with_frames(bars, "Ticker", "TradeDate", 20, _returns_and_volatility, strategy=strategy)
+def d11_rolling_vol20(bars: DataFrame, strategy=None, start=None, end=None) -> DataFrame:
+    """Per row: r and the sample standard deviation of r over the last 20 rows (not annualised).
+
+    With ``start``/``end`` only those dates, from the rows in the range and 20 before it."""
+    if start is None and end is None:
+        d = with_frames(bars, "Ticker", "TradeDate", 20, _returns_and_volatility, strategy=strategy)
+    else:
+        d = with_frames_between(bars, "Ticker", "TradeDate", 20, _returns_and_volatility, start, end)
     return d.select("TradeDate", "Ticker", "IndexName", "Daily_Return", "Rolling_Volatility_20")
 
 
-def d12_volatility_by_country(bars: DataFrame, markets: DataFrame, strategy=None) -> DataFrame:
-    """Per country: markets, mean and highest of the markets' latest 20-row volatility."""
-    mt = market_table(bars, strategy).join(markets.select("Ticker", "Country"), "Ticker")
+def d12_volatility_by_country(bars: DataFrame, markets: DataFrame, strategy=None,
+                              slicer: dict | None = None) -> DataFrame:
+    """Per country (NULL for markets that the dimension does not have): markets, mean
+    and highest of the markets' latest 20-row volatility."""
+    mt = market_table(bars, strategy, slicer, markets).join(markets.select("Ticker", "Country"), "Ticker", "left")
     return mt.groupBy("Country").agg(F.count(F.lit(1)).alias("Markets"),
                                      F.avg("Volatility_20").alias("Average_Volatility_20"),
                                      F.max("Volatility_20").alias("Highest_Volatility_20"))
 
 
-def d13_risk_table(bars: DataFrame, strategy=None) -> DataFrame:
+def d13_risk_table(bars: DataFrame, strategy=None, **sliced) -> DataFrame:
     """Per market: mean, standard deviation, min and max of r, latest 20-row volatility."""
-    return market_table(bars, strategy).select("Ticker", "IndexName", "Average_Return", "Return_StdDev",
+    return market_table(bars, strategy, **sliced).select("Ticker", "IndexName", "Average_Return", "Return_StdDev",
                                                "Min_Return", "Max_Return", "Volatility_20")
 
 
-def d14_risk_score(bars: DataFrame, strategy=None) -> DataFrame:
+def _percent_ranks(mt: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Percent ranks among markets (NULLs first) of several columns in one go."""
+    keyed = mt.withColumn("_market", F.struct("Ticker", "IndexName"))
+    return with_percent_ranks(keyed, "_market", columns).drop("_market")
+
+
+def d14_risk_score(bars: DataFrame, strategy=None, **sliced) -> DataFrame:
     """Risk score 0-100: percent rank of the latest 20-row volatility among markets."""
-    mt = market_table(bars, strategy)
-    w = Window.orderBy(F.col("Volatility_20").asc_nulls_first())
-    return mt.select("Ticker", "IndexName", "Volatility_20",
-                     (F.lit(100.0) * F.percent_rank().over(w)).alias("Risk_Score"))
+    mt = _percent_ranks(market_table(bars, strategy, **sliced), {"_risk": "Volatility_20"})
+    return mt.select("Ticker", "IndexName", "Volatility_20", (F.lit(100.0) * F.col("_risk")).alias("Risk_Score"))
 
 
 def d15_volume_growth(bars: DataFrame) -> DataFrame:
@@ -221,27 +254,30 @@ def d15_volume_growth(bars: DataFrame) -> DataFrame:
     return m.withColumn("Volume_Growth_Pct", growth)
 
 
-def d16_composite(bars: DataFrame, weights: tuple = COMPOSITE_WEIGHTS, strategy=None) -> DataFrame:
+def _scored(bars: DataFrame, weights: tuple, strategy=None, **sliced) -> DataFrame:
+    """The market table with composite and risk score."""
+    mt = _percent_ranks(market_table(bars, strategy, **sliced),
+                        {"_ytd": "YTD_Return", "_risk": "Volatility_20", "_volume": "Average_Volume",
+                         "_active": "Active_Share"})
+    w1, w2, w3, w4 = weights
+    score = F.lit(100.0) * (F.lit(w1) * F.col("_ytd") + F.lit(w2) * (F.lit(1.0) - F.col("_risk"))
+                            + F.lit(w3) * F.col("_volume") + F.lit(w4) * F.col("_active"))
+    return mt.withColumn("Composite_Score", score).withColumn("Risk_Score", F.lit(100.0) * F.col("_risk"))
+
+
+def d16_composite(bars: DataFrame, weights: tuple = COMPOSITE_WEIGHTS, strategy=None, **sliced) -> DataFrame:
     """Composite score 0-100 from percent ranks among markets:
     w1 * pr(YTD return) + w2 * (1 - pr(volatility)) + w3 * pr(average volume)
     + w4 * pr(share of days with volume)."""
-    mt = market_table(bars, strategy)
-
-    def pr(c):
-        return F.percent_rank().over(Window.orderBy(F.col(c).asc_nulls_first()))
-
-    w1, w2, w3, w4 = weights
-    score = F.lit(100.0) * (F.lit(w1) * pr("YTD_Return") + F.lit(w2) * (F.lit(1.0) - pr("Volatility_20"))
-                            + F.lit(w3) * pr("Average_Volume") + F.lit(w4) * pr("Active_Share"))
-    return mt.select("Ticker", "IndexName", "YTD_Return", "Volatility_20", "Average_Volume",
-                     "Active_Share", score.alias("Composite_Score"))
+    return _scored(bars, weights, strategy, **sliced).select(
+        "Ticker", "IndexName", "YTD_Return", "Volatility_20", "Average_Volume", "Active_Share", "Composite_Score")
 
 
-def d17_ranking(bars: DataFrame, weights: tuple = COMPOSITE_WEIGHTS, strategy=None) -> DataFrame:
+def d17_ranking(bars: DataFrame, weights: tuple = COMPOSITE_WEIGHTS, strategy=None, **sliced) -> DataFrame:
     """Rank of markets by composite score (ties share a rank)."""
-    c = d16_composite(bars, weights, strategy)
-    w = Window.orderBy(F.col("Composite_Score").desc())
-    return c.select("Ticker", "IndexName", "Composite_Score", F.rank().over(w).cast("int").alias("Market_Rank"))
+    c = d16_composite(bars, weights, strategy, **sliced).withColumn("_market", F.struct("Ticker", "IndexName"))
+    return with_rank(c, "_market", "Composite_Score", "Market_Rank").select(
+        "Ticker", "IndexName", "Composite_Score", "Market_Rank")
 
 
 _INSIGHTS = [  # (type, metric column, True = highest wins)
@@ -254,15 +290,13 @@ _INSIGHTS = [  # (type, metric column, True = highest wins)
 ]
 
 
-def d18_insights(bars: DataFrame, strategy=None) -> DataFrame:
+def d18_insights(bars: DataFrame, strategy=None, **sliced) -> DataFrame:
     """One sentence per insight, from the top or bottom market of a measure.
 
     All insights come from one global aggregate of ``min_by`` over the per-market
     table (partial aggregation, no sort, no union); ties go to the first ticker.
     """
-    mt = d16_composite(bars, strategy=strategy)
-    risk = F.lit(100.0) * F.percent_rank().over(Window.orderBy(F.col("Volatility_20").asc_nulls_first()))
-    mt = mt.withColumn("Risk_Score", risk)
+    mt = _scored(bars, COMPOSITE_WEIGHTS, strategy, **sliced)
     picks = []
     for i, (_, col, high) in enumerate(_INSIGHTS):
         key = F.when(F.col(col).isNotNull(),
@@ -280,26 +314,29 @@ def d18_insights(bars: DataFrame, strategy=None) -> DataFrame:
 
 
 def d19_drilldown(bars: DataFrame) -> DataFrame:
-    """Drill-down: ROLLUP(Ticker, Year, Quarter, Month) with the grouping level."""
-    b = bars.select("Ticker", year_of().alias("Year"), quarter_of().alias("Quarter"),
-                    month_of().alias("MonthNumber"), "ClosePrice", "Volume")
-    return (b.rollup("Ticker", "Year", "Quarter", "MonthNumber")
+    """Drill-down: ROLLUP(Ticker, Year, Quarter, Month) with the grouping level.
+
+    Rows are summed to months once; the rollup expands months, and averages divide last."""
+    months = bars.groupBy("Ticker", year_of().alias("Year"), quarter_of().alias("Quarter"),
+                          month_of().alias("MonthNumber")).agg(
+        F.count(F.lit(1)).alias("_days"), F.sum("ClosePrice").alias("_sum"), F.count("ClosePrice").alias("_n"),
+        F.sum("Volume").alias("_volume"))
+    return (months.rollup("Ticker", "Year", "Quarter", "MonthNumber")
             .agg(F.grouping_id("Ticker", "Year", "Quarter", "MonthNumber").cast("int").alias("Grouping_Level"),
-                 F.count(F.lit(1)).alias("Trading_Days"),
-                 exact_avg("ClosePrice").alias("Average_Close"),
-                 F.sum("Volume").alias("Total_Volume")))
+                 F.sum("_days").alias("Trading_Days"),
+                 (F.sum("_sum").cast("double") / F.nullif(F.sum("_n"), F.lit(0))).alias("Average_Close"),
+                 F.sum("_volume").alias("Total_Volume")))
 
 
 def d20_star(bars: DataFrame, markets: DataFrame) -> DataFrame:
-    """Fact rows joined to the market and date dimensions.
-
-    The date dimension has one row per trading date, bounded by the calendar span
-    of the data, so it is broadcast; the market join is left to the planner's
-    size check (one row per ticker can grow with the data)."""
-    dates = dim_date(bars)
-    f = bars.join(markets.select("Ticker", "Country"), "Ticker", "left").join(F.broadcast(dates), "TradeDate")
-    return f.select("TradeDate", "Ticker", "IndexName", "Country", "Year", "Quarter", "MonthNumber",
-                    "MonthName", "ClosePrice", "Volume")
+    """Fact rows joined to the market dimension, with the date dimension's columns.
+
+    The date dimension is a function of the date, so its columns are computed on the
+    fact rows: no second scan for the distinct dates and no join."""
+    f = bars.select("TradeDate", "Ticker", "IndexName", "ClosePrice", "Volume") \
+        .join(markets.select("Ticker", "Country"), "Ticker", "left")
+    return f.select("TradeDate", "Ticker", "IndexName", "Country",
+                    *date_columns(), "ClosePrice", "Volume")
 
 
 def d21_slicer(bars: DataFrame, markets: DataFrame, **slicer) -> DataFrame:

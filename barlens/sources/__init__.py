@@ -2,10 +2,10 @@
 
 from barlens.sources.tables import read_table
 from barlens.sources.bars import (bars, bars_dirty, bars_wide, dim_date, dim_market,
-                                  feed, history)
+                                  feed, feed_dirty, history)
 from barlens.sources.files import (read_bars, read_feed_files, write_bars,
                                    write_feed_files)
 
 __all__ = ["read_table", "bars", "bars_dirty", "bars_wide", "dim_date", "dim_market",
-           "feed", "history", "read_bars", "read_feed_files", "write_bars",
+           "feed", "feed_dirty", "history", "read_bars", "read_feed_files", "write_bars",
            "write_feed_files"]

@@ -54,12 +54,16 @@ def bars_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ticker per part key: 20,000 tickers at sf0.1.
 
     Open and close are the prices of the first and last line by (order key, line
-    number, price); a struct ordering keeps this exact at any key size.
+    number, price), packed into one decimal(38,0): exact at any key size, and the
+    aggregate stays a hash aggregate (a struct would make it sort).
     """
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
                      "l_extendedprice", "l_shipdate"])
-    k = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    line = (wide("l_orderkey") * 10 + wide("l_linenumber")).cast("decimal(24,0)")
+    k = (line * F.lit(100_000_000).cast("decimal(10,0)")
+         + F.round(F.col("l_extendedprice") * 100).cast("decimal(20,0)")).cast("decimal(38,0)")
     agg = (li.groupBy(F.col("l_shipdate").cast("date").alias("TradeDate"), "l_partkey")
            .agg(F.min_by("l_extendedprice", k).cast(PRICE).alias("OpenPrice"),
                 F.max("l_extendedprice").cast(PRICE).alias("HighPrice"),
@@ -109,14 +113,29 @@ def dim_market_from(spark: SparkSession, markets: dict[str, tuple[str, str | Non
     return spark.createDataFrame([(t, n, c) for t, (n, c) in markets.items()], DIM_MARKET)
 
 
+def date_columns() -> list[F.Column]:
+    """The date dimension's columns, from TradeDate."""
+    return [F.year("TradeDate").cast("int").alias("Year"), F.quarter("TradeDate").cast("int").alias("Quarter"),
+            F.month("TradeDate").cast("int").alias("MonthNumber"), F.date_format("TradeDate", "MMMM").alias("MonthName")]
+
+
 def dim_date(bars_df: DataFrame) -> DataFrame:
     """One row per trading date; its size is bounded by the calendar span."""
-    return (bars_df.select("TradeDate").distinct()
-            .select("TradeDate",
-                    F.year("TradeDate").cast("int").alias("Year"),
-                    F.quarter("TradeDate").cast("int").alias("Quarter"),
-                    F.month("TradeDate").cast("int").alias("MonthNumber"),
-                    F.date_format("TradeDate", "MMMM").alias("MonthName")))
+    return bars_df.select("TradeDate").distinct().select("TradeDate", *date_columns())
+
+
+def feed_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_planted_faults(feed(spark, sf_dir))
+
+
+def with_planted_faults(f: DataFrame) -> DataFrame:
+    """A feed with planted NULL keys, NULL closes and unknown tickers (keyed on the date digits)."""
+    dk = F.year("Date") * 10000 + F.month("Date") * 100 + F.dayofmonth("Date")
+    hit = lambda m: (F.col("_dk") % m) == 0
+    t = f.withColumn("_dk", dk)
+    return t.select(F.when(~hit(61), F.col("Date")).alias("Date"),
+                    F.when(hit(67), F.concat(F.lit("X-"), F.col("Ticker"))).when(~hit(71), F.col("Ticker")).alias("Ticker"),
+                    "Open", "High", "Low", F.when(~hit(73), F.col("Close")).alias("Close"), "Volume")
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
