@@ -5,8 +5,9 @@ ticker's last date, downloads from the next day and appends. Here every step is
 one DataFrame over all tickers:
 
 e01 high-water mark per ticker (one grouped max), e02 next start date, e03
-conform the feed (rename, label by the market dimension), e04 keep feed rows on
-or after each ticker's start, e05 stack them under the loaded rows, e06 profile
+conform the feed (rename, label by the market dimension; rows that cannot be
+loaded come out of ``e03_rejects`` with the reason), e04 keep feed rows on or
+after each ticker's start, e05 stack them under the loaded rows, e06 profile
 (rows, columns, NULLs, repeated rows, in one shuffle), e07 append only unknown
 (TradeDate, Ticker) keys with a dense surrogate key. Running the load twice adds
 nothing, so a retried or restarted job cannot double rows.
@@ -19,6 +20,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlens.operators.ranking import with_cumulative
 from barlens.schema import BAR_COLUMNS, FEED_RENAMES
 
 KEY = ["TradeDate", "Ticker"]
@@ -36,10 +38,33 @@ def e02_start_date(marks: DataFrame, default_start: _dt.date) -> DataFrame:
                         .alias("StartDate"))
 
 
+REQUIRED = [c for c in BAR_COLUMNS if c != "IndexName"]
+
+
+def _labelled(feed: DataFrame, markets: DataFrame) -> DataFrame:
+    """The feed in table columns, with the index name (NULL for an unknown ticker) and ``Reason``:
+    why a row cannot be loaded, NULL if it can. A ticker must have one index name."""
+    rows = feed.withColumnsRenamed(FEED_RENAMES)
+    names = markets.groupBy("Ticker").agg(F.min("IndexName").alias("IndexName"),
+                                          F.max("IndexName").alias("_other"))
+    out = rows.join(names, "Ticker", "left")
+    missing = [F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c in REQUIRED]
+    reason = F.coalesce(*missing, F.when(F.col("IndexName").isNull(), F.lit("unknown ticker")),
+                        F.when(F.col("IndexName") != F.col("_other"), F.lit("two index names")))
+    return out.withColumn("Reason", reason).drop("_other")
+
+
 def e03_conform(feed: DataFrame, markets: DataFrame) -> DataFrame:
-    """Vendor columns -> table columns, with the index name from the market dimension."""
-    f = feed.withColumnsRenamed(FEED_RENAMES)
-    return f.join(markets.select("Ticker", "IndexName"), "Ticker").select(*BAR_COLUMNS)
+    """Vendor columns -> table columns, with the index name from the market dimension.
+
+    Every column of the table is NOT NULL: rows with a NULL, or of a ticker that the
+    dimension does not have (or has under two names), are in ``e03_rejects`` instead."""
+    return _labelled(feed, markets).filter(F.col("Reason").isNull()).select(*BAR_COLUMNS)
+
+
+def e03_rejects(feed: DataFrame, markets: DataFrame) -> DataFrame:
+    """The feed rows that ``e03_conform`` leaves out, in table columns, with the reason."""
+    return _labelled(feed, markets).filter(F.col("Reason").isNotNull()).select(*BAR_COLUMNS, "Reason")
 
 
 def e04_incremental_rows(feed: DataFrame, loaded: DataFrame, markets: DataFrame,
@@ -81,26 +106,22 @@ def e06_profile(df: DataFrame) -> DataFrame:
                  F.sum(F.col("_c") - 1).alias("Duplicated_Rows"))
 
 
-def schema_profile(df: DataFrame) -> list[tuple[str, str]]:
-    """Column names and types (metadata only, no job)."""
-    return df.dtypes
-
-
 def with_price_id(df: DataFrame, start: int = 0) -> DataFrame:
     """Dense surrogate key 1..n (plus ``start``) in (Ticker, TradeDate) order.
 
-    Rows are counted per (Ticker, year) block; an exclusive running sum over the
-    block table (one row per ticker and year) gives each block's offset; the key
-    is the offset plus the row number inside the block. No global sort of the
-    rows and no window partition larger than one year of one ticker.
+    Rows are counted per (Ticker, year) block; the rows in earlier blocks, summed
+    over value ranges (``ranking``), give each block's offset; the key is the offset
+    plus the row number inside the block. No global sort, no window over more than
+    a year of one ticker, and rows with a NULL key are numbered too (first).
     """
-    blocks = df.groupBy("Ticker", F.year("TradeDate").alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("Ticker", "_y").rowsBetween(Window.unboundedPreceding, -1)
-    offs = blocks.select("Ticker", "_y", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy("Ticker", "_y").orderBy("TradeDate")
-    return (df.withColumn("_y", F.year("TradeDate")).join(offs, ["Ticker", "_y"])
+    block = F.struct("Ticker", F.year("TradeDate").alias("y"))
+    rows = df.withColumn("_block", block)
+    blocks = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = with_cumulative(blocks, "_block", "_n", "_off").select("_block", "_off")
+    inner = Window.partitionBy("_block").orderBy("TradeDate")
+    return (rows.join(offsets, "_block")
             .withColumn("PriceID", (F.lit(start) + F.col("_off") + F.row_number().over(inner)).cast("bigint"))
-            .drop("_y", "_off"))
+            .drop("_block", "_off"))
 
 
 def stored(df: DataFrame, created_at: _dt.datetime | None = None, start: int = 0) -> DataFrame:
@@ -112,14 +133,16 @@ def stored(df: DataFrame, created_at: _dt.datetime | None = None, start: int = 0
 
 
 def new_keys(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows whose (TradeDate, Ticker) is not in ``table``, one row per key.
+    """Rows whose (TradeDate, Ticker) is not in ``table``, one row per key: of rows
+    that share a key, the one with the least column values (in table order).
 
     The table is large and the batch small, so the table is semi-joined against
     the batch keys first: the planner broadcasts the batch side when its size
     check allows (else a shuffle join), and the table is streamed, never
     shuffled. The anti-join then runs between two batch-sized sides.
     """
-    rows = rows.dropDuplicates(KEY)
+    rest = [c for c in BAR_COLUMNS if c not in KEY]
+    rows = rows.groupBy(*KEY).agg(F.min(F.struct(*rest)).alias("_row")).select(*KEY, "_row.*")
     known = table.select(*KEY).join(rows.select(*KEY), KEY, "left_semi")
     return rows.join(known, KEY, "left_anti")
 
@@ -130,10 +153,11 @@ def e07_new_rows(table: DataFrame, rows: DataFrame, created_at: _dt.datetime | N
 
     New keys continue after ``last_id``, or after the table's largest PriceID
     (read with one small aggregate, like the reference's high-water query);
-    ``created_at`` stamps the batch (default: now)."""
+    ``created_at`` stamps the batch (default: now, UTC)."""
     fresh = new_keys(rows, table)
     top = last_id if last_id is not None else (table.agg(F.max("PriceID")).first()[0] or 0)
-    stamp = created_at if created_at is not None else _dt.datetime.now().replace(microsecond=0)
+    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    stamp = created_at if created_at is not None else now
     return stored(fresh, stamp, start=top)
 
 
