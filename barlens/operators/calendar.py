@@ -13,6 +13,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlens.operators.procedures import between_dates
+
 from barlens.functions.dates import month_name, month_of, quarter_label, year_of
 from barlens.functions.numeric import exact_avg, int_avg
 
@@ -169,10 +171,9 @@ def v5_yearly_performance(bars: DataFrame) -> DataFrame:
 
 def p5_monthly_performance(bars: DataFrame, year: int) -> DataFrame:
     """v4 for one year. The date range is stated on TradeDate so it reaches the
-    parquet scan (a filter on year(TradeDate) alone would not) and prunes the
-    year partition of a stored table."""
-    lo, hi = _dt.date(year, 1, 1), _dt.date(year, 12, 31)
-    b = bars.filter(F.col("TradeDate").between(F.lit(lo), F.lit(hi)))
+    parquet scan (a filter on year(TradeDate) alone would not); where the bars have
+    their Year column, it prunes year folders too."""
+    b = between_dates(bars, _dt.date(year, 1, 1), _dt.date(year, 12, 31))
     return (v4_monthly_performance(b).filter(F.col("Yearr") == year)
             .select("Yearr", "Monthh", "MonthNumber", "Ticker", "IndexName", "TradingDays",
                     "AverageClosePrice", "HighestClosePrice", "LowestClosePrice", "AverageDailyRange")

@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from barlens.schema import BAR_COLUMNS
 
 
+def between_dates(bars: DataFrame, start: _dt.date | None = None, end: _dt.date | None = None) -> DataFrame:
+    """Bars with start <= TradeDate <= end. On a table with its Year column, whole year
+    folders are pruned as well."""
+    b = bars
+    for bound, ok in ((start, lambda c, v: c >= F.lit(v)), (end, lambda c, v: c <= F.lit(v))):
+        if bound is not None:
+            b = b.filter(ok(F.col("TradeDate"), bound))
+            if "Year" in bars.columns:
+                b = b.filter(ok(F.col("Year"), bound.year))
+    return b
+
+
 def p1_market_history(bars: DataFrame, ticker: str) -> DataFrame:
     """All bars of one ticker by date; the ticker filter reaches the parquet scan."""
     return bars.filter(F.col("Ticker") == F.lit(ticker)).select(*BAR_COLUMNS).orderBy("TradeDate")
@@ -17,8 +29,7 @@ def p1_market_history(bars: DataFrame, ticker: str) -> DataFrame:
 
 def p2_market_by_date_range(bars: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:
     """Bars with start <= TradeDate <= end, by date and ticker."""
-    return (bars.filter(F.col("TradeDate").between(F.lit(start), F.lit(end)))
-            .select(*BAR_COLUMNS).orderBy("TradeDate", "Ticker"))
+    return between_dates(bars, start, end).select(*BAR_COLUMNS).orderBy("TradeDate", "Ticker")
 
 
 def _latest(bars: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ row_number self-join: one shuffle instead of two.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.numeric import exact_avg, int_avg
@@ -99,22 +99,28 @@ V6_COLUMNS = ["Ticker", "IndexName", "TradingDays", "FirstTradeDate", "LatestTra
 
 
 def v6_market_summary(bars: DataFrame) -> DataFrame:
-    """One row per market with its latest close, in a single aggregate."""
+    """One row per (ticker, index name) with the ticker's latest close.
+
+    One aggregate over the rows. A ticker that changed its index name has a row for
+    each name, both with the close of the ticker's last date; that is taken over the
+    aggregated rows, which are as many as markets.
+    """
     pos = F.when(F.col("Volume") > 0, F.col("Volume"))
-    return (bars.groupBy("Ticker", "IndexName")
-            .agg(F.count(F.lit(1)).alias("TradingDays"),
-                 F.min("TradeDate").alias("FirstTradeDate"),
-                 F.max("TradeDate").alias("LatestTradeDate"),
-                 F.max_by("ClosePrice", "TradeDate").alias("LatestClosePrice"),
-                 exact_avg("ClosePrice").alias("AverageClosePrice"),
-                 F.max("ClosePrice").alias("HighestClosePrice"),
-                 F.min("ClosePrice").alias("LowestClosePrice"),
-                 F.max("HighPrice").alias("HighestHighPrice"),
-                 F.min("LowPrice").alias("LowestLowPrice"),
-                 exact_avg(_range()).alias("AverageDailyRange"),
-                 (F.sum(pos).cast("double") / F.nullif(F.count(pos), F.lit(0))).alias("AverageVolume"),
-                 F.max("Volume").alias("HighestTradingVolume"))
-            .select(*V6_COLUMNS))
+    per_name = bars.groupBy("Ticker", "IndexName").agg(
+        F.count(F.lit(1)).alias("TradingDays"),
+        F.min("TradeDate").alias("FirstTradeDate"),
+        F.max("TradeDate").alias("LatestTradeDate"),
+        F.max_by("ClosePrice", "TradeDate").alias("_close"),
+        exact_avg("ClosePrice").alias("AverageClosePrice"),
+        F.max("ClosePrice").alias("HighestClosePrice"),
+        F.min("ClosePrice").alias("LowestClosePrice"),
+        F.max("HighPrice").alias("HighestHighPrice"),
+        F.min("LowPrice").alias("LowestLowPrice"),
+        exact_avg(_range()).alias("AverageDailyRange"),
+        (F.sum(pos).cast("double") / F.nullif(F.count(pos), F.lit(0))).alias("AverageVolume"),
+        F.max("Volume").alias("HighestTradingVolume"))
+    w = Window.partitionBy("Ticker").orderBy(F.col("LatestTradeDate").desc(), "IndexName")
+    return per_name.withColumn("LatestClosePrice", F.first("_close").over(w)).select(*V6_COLUMNS)
 
 
 def p6_executive_summary(bars: DataFrame) -> DataFrame:

@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from pyspark.sql import types as T
 
+from barlens.operators.procedures import between_dates
 from barlens.schema import BAR_COLUMNS, FEED, FEED_COLUMNS, STORED_BARS
 
 
+# Tasks that write one year of bars, and at most as many files; tickers are dealt to them by hash.
+YEAR_BUCKETS = 4
+
+
 def write_feed_files(feed_df: DataFrame, root: str, mode: str = "append") -> None:
-    feed_df.select(*FEED_COLUMNS).write.mode(mode).partitionBy("Ticker").parquet(root)
+    """One folder a ticker, as the vendor lands them, and one file in each."""
+    feed_df.select(*FEED_COLUMNS).repartition("Ticker").write.mode(mode).partitionBy("Ticker").parquet(root)
 
 
 def read_feed_files(spark: SparkSession, root: str, start=None, end=None,
@@ -35,23 +40,28 @@ def read_feed_files(spark: SparkSession, root: str, start=None, end=None,
     return df.select(*FEED_COLUMNS)
 
 
-def write_bars(bars_df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write bars partitioned by year. Each task sorts its rows by (Year, Ticker,
-    TradeDate) before writing: no shuffle, the partitioned writer's ordering is
-    already met, and row groups are clustered by ticker so their min/max
-    statistics let a ticker filter skip most of each file."""
-    (bars_df.withColumn("Year", F.year("TradeDate"))
-     .sortWithinPartitions("Year", "Ticker", "TradeDate")
-     .write.mode(mode).partitionBy("Year").parquet(path))
+def by_year(bars_df: DataFrame, buckets: int = YEAR_BUCKETS) -> DataFrame:
+    """Rows with Year, dealt by (year, ticker bucket) and sorted: at most ``buckets`` files a
+    year, however many tasks made the rows, and row groups clustered by ticker, so a ticker
+    filter skips most of each file."""
+    rows = bars_df.withColumn("Year", F.year("TradeDate"))
+    return rows.repartition("Year", F.pmod(F.hash("Ticker"), F.lit(buckets))) \
+        .sortWithinPartitions("Year", "Ticker", "TradeDate")
+
+
+def write_bars(bars_df: DataFrame, path: str, mode: str = "append", buckets: int = YEAR_BUCKETS) -> None:
+    """Write bars partitioned by year."""
+    by_year(bars_df, buckets).write.mode(mode).partitionBy("Year").parquet(path)
 
 
 # The stored layout: key, bar columns, load stamp, and the year partition folder.
 STORED_FILE_SCHEMA = T.StructType(STORED_BARS.fields + [T.StructField("Year", T.IntegerType(), True)])
 
 
-def read_bars(spark: SparkSession, path: str, extra: list[str] | None = None) -> DataFrame:
+def read_bars(spark: SparkSession, path: str, extra: list[str] | None = None, start=None, end=None) -> DataFrame:
     """The stored bar table with its fixed schema (no footer reads to infer one).
     Tables written without PriceID/CreatedAt read those as NULL; only the bar
-    columns (and ``extra``) are selected."""
+    columns (and ``extra``) are selected. ``start``/``end`` (inclusive) bound the dates
+    and prune year folders; with ``extra=["Year"]`` the date operators do the same later."""
     df = spark.read.schema(STORED_FILE_SCHEMA).parquet(path)
-    return df.select(*(list(extra or []) + BAR_COLUMNS))
+    return between_dates(df, start, end).select(*(list(extra or []) + BAR_COLUMNS))

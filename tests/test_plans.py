@@ -1,9 +1,10 @@
 """Plan shape: pushdown, pruning, no needless shuffles."""
 
+import datetime as dt
 import os
 
-from barlens.operators import procedures, rolling, summary
-from barlens.sources import bars, read_bars, write_bars
+from barlens.operators import calendar, ingest, measures, procedures, rolling, summary
+from barlens.sources import bars, bars_wide, dim_market, read_bars, write_bars
 from tests.conftest import SF001
 
 
@@ -21,22 +22,56 @@ def test_bars_reads_only_needed_columns(spark):
 def test_filters_reach_the_scan(spark, scratch):
     path = os.path.join(scratch, "bars")
     write_bars(bars(spark, SF001), path, mode="overwrite")
-    b = read_bars(spark, path)
-    import datetime as dt
+    b = read_bars(spark, path, extra=["Year"])
     p1 = procedures.p1_market_history(b, "2-HIGH")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(Ticker), EqualTo(Ticker,2-HIGH)]" in p1
-    p2 = procedures.p2_market_by_date_range(b, dt.date(1999, 1, 1), dt.date(1999, 12, 31)) \
-        ._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(TradeDate,1999-01-01)" in p2
-
-
-def test_market_summary_has_no_join(spark):
-    p = plan(summary.v6_market_summary(bars(spark, SF001)))
-    assert "Join" not in p.split("bars")[0] or "SortMergeJoin" not in p
+    lo, hi = dt.date(1999, 1, 1), dt.date(1999, 12, 31)
+    markets = dim_market(spark, SF001)
+    for df in (procedures.p2_market_by_date_range(b, lo, hi), calendar.p5_monthly_performance(b, 1999),
+               measures.d21_slicer(b, markets, countries=["ASIA"], start=lo, end=hi),
+               read_bars(spark, path, start=lo, end=hi)):
+        p = df._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(TradeDate,1999-01-01)" in p
+        assert "PartitionFilters: [isnotnull(Year" in p and "(Year#" in p.split("PartitionFilters", 1)[1]
+
+
+def test_files_do_not_grow_with_tasks(spark, scratch):
+    counts = []
+    for tasks in (2, 16):
+        path = os.path.join(scratch, f"bars{tasks}")
+        write_bars(bars(spark, SF001).repartition(tasks), path, mode="overwrite", buckets=2)
+        counts.append({d: len([f for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")])
+                       for d in os.listdir(path) if d.startswith("Year=")})
+    assert counts[0] == counts[1] and max(counts[0].values()) <= 2
+
+
+def test_market_summary_reads_bars_once(spark):
     v6 = summary.v6_market_summary(bars(spark, SF001))._jdf.queryExecution().optimizedPlan().toString()
     assert v6.count("Join") == 1  # only the orders/lineitem join of the bar derivation
 
 
+def aggregated(line):
+    return any(x in line for x in ("Aggregate", "TakeOrderedAndProject", "CollectLimit"))
+
+
+def test_rankings_send_no_table_to_one_task(spark):
+    """What meets in one task is a partial aggregate or a bounded sample, never a window or sort of markets."""
+    b = bars_wide(spark, SF001)
+    for fn in (measures.d03_best_worst, measures.d09_volume_share, measures.d10_liquidity, measures.d14_risk_score,
+               measures.d16_composite, measures.d17_ranking, measures.d18_insights, ingest.with_price_id):
+        lines = fn(b)._jdf.queryExecution().executedPlan().toString().split("\n")
+        singles = [i for i, x in enumerate(lines) if "Exchange SinglePartition" in x]
+        assert all(aggregated(lines[i + 1]) or aggregated(lines[i + 2]) for i in singles), fn.__name__
+        assert not any("Window" in x and ", []," in x for x in lines)
+
+
+def test_kpis_and_drilldown_expand_small_tables(spark):
+    b = bars(spark, SF001)
+    for df in (measures.d01_kpis(b, dim_market(spark, SF001)), measures.d19_drilldown(b)):
+        p = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" in p.split("Expand", 1)[1].split("\n", 2)[1]
+
+
 def test_latest_snapshot_uses_group_limit(spark):
     p = procedures.p3_latest_snapshot(bars(spark, SF001))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in p
@@ -70,7 +105,6 @@ def test_procedures_as_sql_table_functions(spark):
     from barlens.operators import procedures as P
     from barlens.plans.views import register_procedures
     from tests.helpers import assert_df_equal
-    import datetime as dt
     b = bars(spark, SF001)
     register_procedures(spark, b)
     assert_df_equal(spark.sql("SELECT * FROM sp_GetMarketHistory('2-HIGH')"), P.p1_market_history(b, "2-HIGH"))

@@ -123,3 +123,17 @@ def test_t07_yoy_is_a_fraction(micro):
     r = by(calendar.q30_yoy_growth(micro), "IndexName", "Yearr")
     p = by(calendar.q30_yoy_growth_intended(micro), "IndexName", "Yearr")
     assert p[("Index 1", 2021)].YoY_Growth_Pct == pytest.approx(100 * r[("Index 1", 2021)].YoY_Growth)
+
+
+def test_renamed_index_has_the_tickers_latest_close(spark):
+    rows = [(D(2020, 1, 1), "A", "Old", *[Decimal(1)] * 4, 1), (D(2020, 1, 2), "A", "New", *[Decimal(2)] * 4, 1)]
+    out = {r.IndexName: r for r in summary.v6_market_summary(spark.createDataFrame(rows, BARS)).collect()}
+    assert out["Old"].LatestClosePrice == 2 and out["New"].LatestClosePrice == 2
+    assert out["Old"].LatestTradeDate == D(2020, 1, 1)
+
+
+def test_market_without_country_keeps_its_row(spark, micro):
+    from barlens.operators import measures
+    markets = spark.createDataFrame([("1-A", "X"), ("2-B", "Y")], "Ticker string, Country string")
+    for fn in (measures.d05_regional, measures.d12_volatility_by_country):
+        assert {r.Country for r in fn(micro, markets).collect()} == {"X", "Y", None}
