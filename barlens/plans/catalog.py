@@ -14,11 +14,13 @@ import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barlens.operators import (calendar, ingest, measures, procedures, quality, returns,
                                rolling, summary)
-from barlens.sources import bars, bars_dirty, bars_wide, dim_market, feed, history
-from barlens.sources.bars import DEFAULT_START, HISTORY_BEFORE, HISTORY_MISSING_TICKER
+from barlens.sources import bars, bars_dirty, bars_wide, dim_market, feed, feed_dirty, history
+from barlens.schema import BAR_COLUMNS, FEED_RENAMES
+from barlens.sources.bars import DEFAULT_START, HISTORY_BEFORE, HISTORY_MISSING_TICKER, with_planted_faults
 from barlens.session import ensure_checkpoint_dir
 from barlens.sources.files import read_bars
 
@@ -30,6 +32,7 @@ P4_N = 3
 P5_YEAR = 1999
 LOAD_STAMP = _dt.datetime(2026, 1, 1, 0, 0, 0)
 SLICER = {"countries": ["ASIA"], "start": _dt.date(1997, 1, 1), "end": _dt.date(1999, 12, 31)}
+RECENT = {"start": _dt.date(1999, 3, 1), "end": _dt.date(1999, 3, 31)}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +55,9 @@ class RawSources:
     def feed(self) -> DataFrame:
         return feed(self.spark, self.sf_dir)
 
+    def feed_dirty(self) -> DataFrame:
+        return feed_dirty(self.spark, self.sf_dir)
+
     def history(self) -> DataFrame:
         return history(self.spark, self.sf_dir)
 
@@ -72,7 +78,7 @@ class StoredSources(RawSources):
         self.paths = (bars_path, dirty_path, markets_path)
 
     def bars(self) -> DataFrame:
-        return read_bars(self.spark, self.paths[0])
+        return read_bars(self.spark, self.paths[0], extra=["Year"])
 
     def dirty(self) -> DataFrame:
         return read_bars(self.spark, self.paths[1])
@@ -81,14 +87,13 @@ class StoredSources(RawSources):
         return self.spark.read.parquet(self.paths[2])
 
     def feed(self) -> DataFrame:
-        from pyspark.sql import functions as F
-        from barlens.schema import FEED_RENAMES
         back = {v: k for k, v in FEED_RENAMES.items()}
-        return self.bars().select(*[F.col(c).alias(back.get(c, c)) for c in self.bars().columns
-                                    if c != "IndexName"])
+        return self.bars().select(*[F.col(c).alias(back.get(c, c)) for c in BAR_COLUMNS if c != "IndexName"])
+
+    def feed_dirty(self) -> DataFrame:
+        return with_planted_faults(self.feed())
 
     def history(self) -> DataFrame:
-        from pyspark.sql import functions as F
         return self.bars().filter((F.col("TradeDate") < F.lit(HISTORY_BEFORE))
                                   & (F.col("Ticker") != F.lit(HISTORY_MISSING_TICKER)))
 
@@ -98,12 +103,19 @@ def _new_rows(s: RawSources) -> DataFrame:
 
 
 def _e07(s: RawSources) -> DataFrame:
-    # The loaded table exists at rest before an append: materialise it once in the
-    # shared checkpoint folder (reliable checkpoint) instead of re-deriving it in
-    # each of the three places the append reads it.
+    # The loaded table and the batch exist at rest before an append: each is written
+    # once to the shared checkpoint folder instead of being derived again by every
+    # branch that reads it (keys, offsets, rows).
     ensure_checkpoint_dir(s.spark)
     table = ingest.stored(s.history()).checkpoint(eager=True)
-    return ingest.e07_append(table, _new_rows(s), created_at=LOAD_STAMP)
+    return ingest.e07_append(table, _new_rows(s).checkpoint(eager=True), created_at=LOAD_STAMP)
+
+
+def _null_keys(s: RawSources) -> DataFrame:
+    """The dirty bars with the planted faults of the feed: NULL dates and tickers too."""
+    names = s.markets().select("Ticker", "IndexName")
+    rows = s.feed_dirty().withColumnsRenamed(FEED_RENAMES)
+    return rows.join(names, "Ticker", "left").select(*BAR_COLUMNS)
 
 
 def _b(fn, **kw):
@@ -133,7 +145,8 @@ for _name, _fn in [
 ]:
     _reg(_name, _b(_fn))
 _reg("q05_duplicates", _d(quality.q05_duplicates), False)
-_reg("q06_null_profile", lambda s: quality.q06_null_profile(ingest.with_price_id(s.dirty())), False)
+_reg("q06_null_profile", _d(quality.q06_null_profile), False)
+_reg("q06_null_profile_keys", lambda s: quality.q06_null_profile(ingest.with_price_id(_null_keys(s))), False)
 _reg("q07_invalid_prices", _d(quality.q07_invalid_prices), False)
 _reg("q08_price_consistency", _d(quality.q08_price_consistency), False)
 _reg("q08_price_consistency_intended", _d(quality.q08_price_consistency_intended), False)
@@ -170,6 +183,8 @@ _reg("e01_high_water_mark", lambda s: ingest.e01_high_water_mark(s.history(), s.
 _reg("e02_start_date", lambda s: ingest.e02_start_date(
     ingest.e01_high_water_mark(s.history(), s.markets()), DEFAULT_START), False)
 _reg("e03_conform", lambda s: ingest.e03_conform(s.feed(), s.markets()), False)
+_reg("e03_rejects", lambda s: ingest.e03_rejects(s.feed_dirty(), s.markets()), False)
+_reg("e03_conform_dirty", lambda s: ingest.e03_conform(s.feed_dirty(), s.markets()), False)
 _reg("e04_incremental_rows", _new_rows, False)
 _reg("e05_union", lambda s: ingest.e05_union(s.history(), _new_rows(s)), False)
 _reg("e06_profile", _d(ingest.e06_profile), False)
@@ -183,6 +198,15 @@ for _name in ["d01_kpis", "d05_regional", "d12_volatility_by_country", "d20_star
     _reg(_name, _bm(getattr(measures, _name)), False)
 _reg("d21_slicer", _bm(measures.d21_slicer, **SLICER), False)
 
+# Bounded dates and slicers: windows see the rows before the range, results only the range.
+for _name, _fn in [("v1_daily_performance_range", returns.v1_daily_performance),
+                   ("v2_moving_averages_range", rolling.v2_moving_averages),
+                   ("d11_rolling_vol20_range", measures.d11_rolling_vol20)]:
+    _reg(_name, _b(_fn, **RECENT))
+for _name, _fn in [("d03_best_worst_sliced", measures.d03_best_worst), ("d13_risk_table_sliced", measures.d13_risk_table),
+                   ("d17_ranking_sliced", measures.d17_ranking)]:
+    _reg(_name, (lambda f: lambda s: f(s.bars(), slicer=SLICER, markets=s.markets()))(_fn), False)
+
 WIDE_SUFFIX = "__wide"
 
 

@@ -55,6 +55,21 @@ FEED = """feed AS (
          ClosePrice AS "Close", Volume FROM bars
 )"""
 
+FEED_DIRTY = FEED + """,
+feed_dirty AS (
+  SELECT CASE WHEN dk % 61 <> 0 THEN "Date" END AS TradeDate,
+         CASE WHEN dk % 67 = 0 THEN 'X-' || Ticker WHEN dk % 71 <> 0 THEN Ticker END AS Ticker,
+         "Open" AS OpenPrice, High AS HighPrice, Low AS LowPrice,
+         CASE WHEN dk % 73 <> 0 THEN "Close" END AS ClosePrice, Volume
+  FROM (SELECT *, year("Date")*10000 + month("Date")*100 + day("Date") AS dk FROM feed) f
+), labelled AS (
+  SELECT TradeDate, Ticker, IndexName, OpenPrice, HighPrice, LowPrice, ClosePrice, Volume,
+         CASE WHEN TradeDate IS NULL THEN 'TradeDate is null' WHEN Ticker IS NULL THEN 'Ticker is null'
+              WHEN ClosePrice IS NULL THEN 'ClosePrice is null' WHEN IndexName IS NULL THEN 'unknown ticker'
+         END AS Reason
+  FROM feed_dirty LEFT JOIN (SELECT Ticker, IndexName FROM dim_market) USING (Ticker)
+)"""
+
 HISTORY = """history AS (
   SELECT * FROM bars WHERE TradeDate < DATE '2000-01-01' AND Ticker <> '5-LOW'
 )"""

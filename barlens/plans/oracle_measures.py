@@ -27,7 +27,10 @@ mt AS (SELECT Ticker, IndexName, arg_max_null(YTD_Return, TradeDate) AS YTD_Retu
         CAST(count({POS}) AS DOUBLE) / count(*) AS Active_Share, CAST(sum(Volume) AS BIGINT) AS Total_Volume
       FROM sm GROUP BY Ticker, IndexName)"""
 
-COMPOSITE = MT + """,
+SLICED = "Ticker IN (SELECT Ticker FROM dim_market WHERE Country IN ('ASIA')) " \
+    "AND TradeDate BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"
+
+_SCORES = """,
 comp AS (SELECT Ticker, IndexName, YTD_Return, Volatility_20, Average_Volume, Active_Share,
         100.0 * (0.4 * percent_rank() OVER (ORDER BY YTD_Return ASC NULLS FIRST)
                + 0.3 * (1.0 - percent_rank() OVER (ORDER BY Volatility_20 ASC NULLS FIRST))
@@ -35,6 +38,10 @@ comp AS (SELECT Ticker, IndexName, YTD_Return, Volatility_20, Average_Volume, Ac
                + 0.1 * percent_rank() OVER (ORDER BY Active_Share ASC NULLS FIRST)) AS Composite_Score
       FROM mt)"""
 
+COMPOSITE = MT + _SCORES
+# Series over all rows of the sliced tickers, then the dates.
+MT_SLICED = MT.replace("FROM sm GROUP BY", f"FROM sm WHERE {SLICED} GROUP BY")
+
 VOLKPI = f"""vk AS (SELECT Ticker, IndexName, CAST(sum({POS}) AS DOUBLE) / NULLIF(count({POS}), 0) AS Average_Volume,
         max({POS}) AS Highest_Volume, min({POS}) AS Lowest_Volume FROM bars GROUP BY Ticker, IndexName)"""
 
@@ -54,17 +61,19 @@ def measures_sql() -> dict[str, str]:
     o["d02_market_trend"] = sql(f"""SELECT Ticker, IndexName, {YEAR} AS Year, {MONTH} AS MonthNumber,
         CAST(sum(ClosePrice) AS DOUBLE) / NULLIF(count(ClosePrice), 0) AS Average_Close
         FROM bars GROUP BY Ticker, IndexName, year(TradeDate), month(TradeDate)""")
-    o["d03_best_worst"] = sql("""SELECT 'Best' AS Category, Ticker, IndexName, YTD_Return FROM f WHERE b = 1
-        UNION ALL SELECT 'Worst' AS Category, Ticker, IndexName, YTD_Return FROM f WHERE w = 1""",
-        ctes=MT + """,
+    best_worst = """SELECT 'Best' AS Category, Ticker, IndexName, YTD_Return FROM f WHERE b = 1
+        UNION ALL SELECT 'Worst' AS Category, Ticker, IndexName, YTD_Return FROM f WHERE w = 1"""
+    best_worst_f = """,
         f AS (SELECT *, rank() OVER (ORDER BY YTD_Return DESC) AS b, rank() OVER (ORDER BY YTD_Return ASC) AS w
-              FROM mt WHERE YTD_Return IS NOT NULL)""")
+              FROM mt WHERE YTD_Return IS NOT NULL)"""
+    o["d03_best_worst"] = sql(best_worst, ctes=MT + best_worst_f)
+    o["d03_best_worst_sliced"] = sql(best_worst, extra=dm, ctes=MT_SLICED + best_worst_f)
     o["d04_volume_trend"] = sql(f"""SELECT Ticker, IndexName, {YEAR} AS Year, {MONTH} AS MonthNumber,
         CAST(sum(Volume) AS BIGINT) AS Total_Volume
         FROM bars GROUP BY Ticker, IndexName, year(TradeDate), month(TradeDate)""")
     o["d05_regional"] = sql("""SELECT m.Country, count(*) AS Markets, avg(mt.YTD_Return) AS Average_YTD_Return,
         CAST(sum(mt.Total_Volume) AS BIGINT) AS Total_Volume
-        FROM mt JOIN dim_market m ON m.Ticker = mt.Ticker GROUP BY m.Country""", extra=dm, ctes=MT)
+        FROM mt LEFT JOIN dim_market m ON m.Ticker = mt.Ticker GROUP BY m.Country""", extra=dm, ctes=MT)
     o["d06_ytd_return"] = sql("""SELECT TradeDate, Ticker, IndexName, ClosePrice,
         CAST(ClosePrice AS DOUBLE) / NULLIF(CAST(first_value(ClosePrice) OVER (PARTITION BY Ticker, year(TradeDate)
           ORDER BY TradeDate) AS DOUBLE), 0) - 1 AS YTD_Return FROM bars""")
@@ -85,11 +94,14 @@ def measures_sql() -> dict[str, str]:
               AS Liquidity_Tier FROM vk) t""", ctes=VOLKPI)
     o["d11_rolling_vol20"] = sql("SELECT TradeDate, Ticker, IndexName, Daily_Return, Rolling_Volatility_20 FROM sm",
                                  ctes=SERIES)
+    o["d11_rolling_vol20_range"] = sql("""SELECT TradeDate, Ticker, IndexName, Daily_Return, Rolling_Volatility_20
+        FROM sm WHERE TradeDate BETWEEN DATE '1999-03-01' AND DATE '1999-03-31'""", ctes=SERIES)
     o["d12_volatility_by_country"] = sql("""SELECT m.Country, count(*) AS Markets,
         avg(mt.Volatility_20) AS Average_Volatility_20, max(mt.Volatility_20) AS Highest_Volatility_20
-        FROM mt JOIN dim_market m ON m.Ticker = mt.Ticker GROUP BY m.Country""", extra=dm, ctes=MT)
-    o["d13_risk_table"] = sql("""SELECT Ticker, IndexName, Average_Return, Return_StdDev, Min_Return, Max_Return,
-        Volatility_20 FROM mt""", ctes=MT)
+        FROM mt LEFT JOIN dim_market m ON m.Ticker = mt.Ticker GROUP BY m.Country""", extra=dm, ctes=MT)
+    risk = """SELECT Ticker, IndexName, Average_Return, Return_StdDev, Min_Return, Max_Return, Volatility_20 FROM mt"""
+    o["d13_risk_table"] = sql(risk, ctes=MT)
+    o["d13_risk_table_sliced"] = sql(risk, extra=dm, ctes=MT_SLICED)
     o["d14_risk_score"] = sql("""SELECT Ticker, IndexName, Volatility_20,
         100.0 * percent_rank() OVER (ORDER BY Volatility_20 ASC NULLS FIRST) AS Risk_Score FROM mt""", ctes=MT)
     o["d15_volume_growth"] = sql("""SELECT Ticker, IndexName, Year, MonthNumber, Monthly_Volume, Previous_Volume,
@@ -101,8 +113,10 @@ def measures_sql() -> dict[str, str]:
           CAST(sum(Volume) AS BIGINT) AS Monthly_Volume FROM bars
           GROUP BY Ticker, IndexName, year(TradeDate), month(TradeDate))""")
     o["d16_composite"] = sql("SELECT * FROM comp", ctes=COMPOSITE)
-    o["d17_ranking"] = sql("""SELECT Ticker, IndexName, Composite_Score,
-        CAST(rank() OVER (ORDER BY Composite_Score DESC) AS INTEGER) AS Market_Rank FROM comp""", ctes=COMPOSITE)
+    ranking = """SELECT Ticker, IndexName, Composite_Score,
+        CAST(rank() OVER (ORDER BY Composite_Score DESC) AS INTEGER) AS Market_Rank FROM comp"""
+    o["d17_ranking"] = sql(ranking, ctes=COMPOSITE)
+    o["d17_ranking_sliced"] = sql(ranking, extra=dm, ctes=MT_SLICED + _SCORES)
     picks = [("Best performer", "YTD_Return", "DESC"), ("Worst performer", "YTD_Return", "ASC"),
              ("Highest risk", "Risk_Score", "DESC"), ("Lowest risk", "Risk_Score", "ASC"),
              ("Most liquid", "Average_Volume", "DESC"), ("Top ranked", "Composite_Score", "DESC")]
