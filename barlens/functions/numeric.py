@@ -16,8 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from barlens.schema import PRICE_SUM
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -48,19 +46,8 @@ def safe_div(num, den) -> Column:
     return to_double(num) / F.nullif(to_double(den), F.lit(0.0))
 
 
-def ratio(num, den) -> Column:
-    return safe_div(num, den)
-
-
 def pct_change(cur, prev, scale: float = 100.0) -> Column:
     """(cur - prev) / prev * scale, with the difference taken exactly before the cast."""
     diff = _c(cur) - _c(prev)
     q = to_double(diff) / F.nullif(to_double(prev), F.lit(0.0))
     return q * F.lit(scale) if scale != 1.0 else q
-
-
-def sum_price(x, window=None) -> Column:
-    s = F.sum(_c(x))
-    if window is not None:
-        s = s.over(window)
-    return s.cast(PRICE_SUM)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: adaptive execution (runtime re-plan, partition
@@ -29,7 +27,6 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -44,11 +41,11 @@ def _sc_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; set a scratch one only where none is set (tests)."""
+    """The shared checkpoint folder; an error where none is set. A folder of this machine would be
+    invisible to executors elsewhere, so none is made up: tests and benchmarks set their own."""
     d = checkpoint_dir(spark)
     if not d:
-        d = tempfile.mkdtemp(prefix="barlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _sc_dir(spark) is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -15,7 +15,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 @pytest.fixture(scope="session")
 def spark():
     from barlens.session import build_session
-    s = build_session("local[*]", 8, app_name="barlens-tests")
+    # One machine: a scratch folder can stand for the shared one.
+    shared = tempfile.mkdtemp(prefix="barlens-shared-")
+    s = build_session("local[*]", 8, app_name="barlens-tests", extra={"spark.checkpoint.dir": shared})
     yield s
     s.stop()
 
