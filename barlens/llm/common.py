@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barlens.session import ensure_checkpoint_dir
+
 # Bytes of text that one vectorised step inside a task works on.
 SLICE_BYTES = 4 << 20
 
@@ -30,29 +32,14 @@ def fresh(name: str, taken) -> str:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir.
-
-    Where the setting is unset, the checkpoint folder set on the context (as the
-    tests do) is used; with neither, a clear error, never a local folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        opt = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = opt.get() if opt.isDefined() else None
-    if not found:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back.
+    """Write `df` once to the folder in spark.checkpoint.dir and read it back.
 
     Later stages read the written table, so a lost executor never sends them
     back to the start. The table is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

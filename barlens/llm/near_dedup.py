@@ -14,10 +14,11 @@ Steps, each a join or an aggregate on a key:
    most others (in a group of edits, the text they come from) is the centre; only
    centre-member pairs are confirmed. No bucket is expanded into all its pairs.
 3. Connected components of the confirmed links.
-4. What is still apart in a bucket: pairs of classes of different components that were
-   not tested. Buckets with more than `MAX_APART` components go another exact way: their
-   classes are joined on the prefix of their rarest shingles, which any two sets of
-   similarity 0.8 share.
+4. What is still apart: a class that shares a bucket, but no component, with the bucket's
+   centre is compared with all classes that met there. These comparisons run in blocks of
+   at most about `BLOCK_SHINGLES` shingles a side, many tasks for a large group, inside
+   which one pass over a block's shingles gives a class's overlap with each set of the
+   block. Only links leave a task, never pairs.
 5. Components again, with the new links, and the smallest doc_id of each.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is
@@ -29,8 +30,6 @@ by `report` and kept by `deduplicate`.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,8 +42,8 @@ from barlens.llm.common import UPPER_TO_LOWER, add_columns, fresh, materialize,
 SHINGLE = 4
 THRESHOLD = 80  # hundredths
 PERMUTATIONS, BANDS, ROWS = 168, 48, 7
-# Components in a bucket up to which their pairs are tested directly.
-MAX_APART = 32
+# Shingles on either side of a block of comparisons: 8 MB.
+BLOCK_SHINGLES = 1 << 20
 # Words whose hashes a task keeps, and shingles hashed at once.
 MAX_WORDS, BLOCK = 400_000, 4096
 
@@ -188,41 +187,74 @@ def similar_size(a, b, threshold: int = THRESHOLD):
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def _apart(buckets: DataFrame, labels: DataFrame, tested: DataFrame, sets, threshold: int) -> DataFrame:
-    """Untested pairs of classes of different components that meet in a bucket."""
-    now = buckets.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left") \
-        .withColumn("label", F.coalesce("label", "set_id"))
-    now = materialize(now.select("key", "set_id", "n", "label"), "buckets")
-    counts = now.groupBy("key").agg(F.approx_count_distinct("label", 0.05).alias("labels"),
-                                    F.min("label").alias("least"), F.max("label").alias("most"))
-    open_keys = materialize(counts.where(F.col("least") != F.col("most")).select("key", "labels"), "open")
-    still = materialize(now.join(open_keys, "key"), "apart")
-    small, large = still.where(F.col("labels") <= MAX_APART), still.where(F.col("labels") > MAX_APART)
-    pairs = [_cross(small, "key", threshold)]
-    if not large.isEmpty():
-        # The exact way for large buckets: any two sets this alike share one of the rarest
-        # shingles of each, in one order for all: by how many of these classes have it.
-        members = large.select("set_id", "n", "label").distinct().join(sets(large.select("set_id").distinct()), "set_id")
-        members = materialize(members.select("set_id", "n", "label", F.explode("members").alias("shingle")), "shingles")
-        often = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-        # A shingle that one class has can't be shared, but it fills its place in the prefix.
-        ranked = members.join(materialize(often, "often"), "shingle")
-        order = F.array_sort(F.collect_list(F.struct("often", "shingle")))
-        prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / 100) + 1
-        rare = ranked.groupBy("set_id", "n", "label").agg(order.alias("order"))
-        rare = rare.select("set_id", "n", "label", F.explode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("x"))
-        rare = rare.where(F.col("x")["often"] > 1).select(F.col("x")["shingle"].alias("key"), "set_id", "n", "label")
-        pairs.append(_cross(materialize(rare, "prefixes"), "key", threshold))
-    found = reduce(DataFrame.unionByName, pairs).distinct()
-    seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return found.join(seen, ["a", "b"], "left_anti")
-
-
-def _cross(rows: DataFrame, key: str, threshold: int) -> DataFrame:
-    left = rows.select(key, F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    right = rows.select(key, F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-    apart = (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & similar_size(F.col("n_a"), F.col("n_b"), threshold)
-    return left.join(right, key).where(apart).select("a", "b")
+class Block:
+    """Sets laid out one after the other, for counting a set's overlap with each of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.values, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
+
+    def overlaps(self, own: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        has = np.zeros(len(self.values), dtype=bool)
+        has[place[self.values[place] == own]] = True
+        return np.add.reduceat(has[self.codes], self.starts, dtype=np.int64)
+
+
+def _block_links(threshold: int):
+    """Links between the classes of a block that are out of their group's component and all classes of another block."""
+
+    def work(block: pa.Table) -> pa.Table:
+        out = block.column("out").to_numpy()
+        ids, labels = (np.array(block.column(c).to_pylist(), dtype=object) for c in ("set_id", "label"))
+        lists = block.column("members").combine_chunks()
+        ends = lists.offsets.to_numpy()
+        values = lists.values.to_numpy()
+        a, b = [], []
+        all_rows = np.flatnonzero(~out)
+        if len(all_rows):
+            others = Block([values[ends[r]:ends[r + 1]] for r in all_rows])
+            for r in np.flatnonzero(out):
+                own = values[ends[r]:ends[r + 1]]
+                shared = others.overlaps(own)
+                near = 100 * shared >= threshold * (len(own) + others.sizes - shared)
+                for other in all_rows[near & (labels[all_rows] != labels[r])]:
+                    a.append(ids[r])
+                    b.append(ids[other])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return work
+
+
+def links_apart(met: DataFrame, labels: DataFrame, sets, threshold: int = THRESHOLD) -> DataFrame:
+    """Links between classes that met in a bucket and are in different components.
+
+    `met`: centre, set_id, n for every class in a bucket of that centre, the centre included.
+    Classes in the centre's component need no link among themselves; every other one (`out`)
+    is compared with all that met there, block by block.
+    """
+    own = labels.select(F.col("node").alias("set_id"), "label")
+    of_centre = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
+    rows = met.join(own, "set_id", "left").join(of_centre, "centre", "left")
+    rows = rows.select("centre", "set_id", "n", F.coalesce("label", "set_id").alias("label"),
+                       (F.coalesce("label", "set_id") != F.coalesce("centre_label", "centre")).alias("out"))
+    rows = materialize(rows, "groups")
+    blocks = lambda total: F.ceil(total / BLOCK_SHINGLES).cast("int")
+    open_groups = rows.groupBy("centre").agg(
+        blocks(F.sum("n")).alias("all_blocks"),
+        blocks(F.sum(F.when(F.col("out"), F.col("n")).otherwise(0))).alias("out_blocks")).where("out_blocks > 0")
+    rows = materialize(rows.join(materialize(open_groups, "open"), "centre"), "open_rows")
+    found = rows.join(sets(rows.select("set_id").distinct()), "set_id")
+    spread = F.xxhash64("set_id")
+    row = ["centre", "set_id", "label", "members"]
+    every = found.select(*row, F.lit(False).alias("out"), F.pmod(spread, F.col("all_blocks")).cast("int").alias("i"),
+                         F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("j"))
+    outside = found.where("out").select(*row, F.lit(True).alias("out"),
+                                        F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"),
+                                        F.pmod(spread, F.col("out_blocks")).cast("int").alias("j"))
+    both = every.unionByName(outside)
+    return both.groupBy("centre", "i", "j").applyInArrow(_block_links(threshold), "a binary, b binary").distinct()
 
 
 def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
@@ -243,9 +275,11 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ranked = buckets.join(popular, "set_id")
     centres = ranked.groupBy("key").agg(F.max(F.struct("popular", "set_id", "n")).alias("centre"))
     meet = buckets.join(materialize(centres.select(
-        "key", F.col("centre.set_id").alias("b"), F.col("centre.n").alias("n_b")), "centres"), "key")
-    pairs = materialize(meet.where((F.col("set_id") != F.col("b")) & similar_size(F.col("n"), F.col("n_b"), threshold))
-                        .select(F.col("set_id").alias("a"), "b").distinct(), "pairs")
+        "key", F.col("centre.set_id").alias("centre"), F.col("centre.n").alias("n_centre")), "centres"), "key")
+    met = materialize(meet.select("centre", "n_centre", "set_id", "n").distinct(), "met")
+    pairs = met.where((F.col("set_id") != F.col("centre")) & similar_size(F.col("n"), F.col("n_centre"), threshold))
+    pairs = pairs.select(F.col("set_id").alias("a"), F.col("centre").alias("b"))
+    met = met.select("centre", "set_id", "n")
 
     texts = rows.select("doc_id", "text")
 
@@ -257,11 +291,9 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     links = materialize(confirmed(pairs, sets(nodes(pairs)), threshold), "confirmed")
     labels = components(links)
-    rest = materialize(_apart(buckets.select("key", "set_id", "n"), labels, pairs, sets, threshold), "rest")
-    if not rest.isEmpty():
-        more = materialize(confirmed(rest, sets(nodes(rest)), threshold), "confirmed")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    more = materialize(links_apart(met, labels, sets, threshold), "apart")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     named = labels.select(F.col("node").alias("set_id"), "label")
     whole = classes.select("set_id", "doc_id").join(named, "set_id")
@@ -286,3 +318,27 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+# By definition: every pair that shares a shingle is counted, links are followed to the end.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0) places
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+                    FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL) pairs
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)
+), reach AS (
+  SELECT doc_id AS origin, doc_id AS place FROM d
+  UNION SELECT origin, b FROM reach JOIN links ON a = place
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT origin AS doc_id, min(place) AS component_id FROM reach GROUP BY origin) r
+  USING (doc_id)
+"""
