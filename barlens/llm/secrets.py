@@ -6,11 +6,12 @@ strings and one of ordinary identifiers: the sum of log-likelihood ratios over i
 of neighbouring characters, and it becomes a span of kind `random` when the sum is over
 `MIN_RATIO`.
 
-The models are counts of character pairs, with one added to each, over labelled samples.
+The models are counts of character pairs over labelled samples, smoothed by the characters' shares.
 By default these come from at most `SAMPLE_DOCS` documents of each kind (those with the
 smallest hash of the id): values of base spans are random strings, words of letters alone
 are ordinary. The counts have a fixed number of cells, whatever the input, and travel as a
-constant. Without samples a model is uniform.
+constant. Without samples a model is uniform; without any secret to learn from,
+`random` is the uniform model.
 
 Everything is DataFrame functions; rows never leave their partition for scanning.
 
@@ -42,6 +43,7 @@ KINDS = (*PATTERNS, "random")
 TOKEN = r"([A-Za-z0-9+/_=-]{20,})"
 SAMPLE_DOCS = 2_000
 MIN_RATIO = 12.0
+BACK_OFF = 10.0
 # Characters from ! to ~ have a row and a column each.
 FIRST, SIZE = 33, 94
 
@@ -91,19 +93,23 @@ def pair_counts(samples: DataFrame) -> DataFrame:
     return cells.where(F.col("cell").between(0, SIZE * SIZE - 1)).groupBy("cell").count()
 
 
-def log_ratios(random_counts: dict[int, int], ordinary_counts: dict[int, int]) -> list[float]:
-    """For each cell log P(second | first, random) - log P(second | first, ordinary), one added to each count."""
+def log_transitions(counts: dict[int, int]) -> list[float]:
+    """log P(second | first) of every cell. A character's own share (one added to each count) counts as
+    `BACK_OFF` observations in every row, so a row without samples falls back on it."""
+    total = sum(counts.values())
+    share = [(sum(counts.get(first * SIZE + c, 0) for first in range(SIZE)) + 1) / (total + SIZE) for c in range(SIZE)]
     out = []
     for first in range(SIZE):
-        cells = range(first * SIZE, (first + 1) * SIZE)
-        logs = []
-        for counts in (random_counts, ordinary_counts):
-            total = sum(counts.get(c, 0) + 1 for c in cells)
-            logs.append([math.log((counts.get(c, 0) + 1) / total) for c in cells])
-        out += [a - b for a, b in zip(*logs, strict=True)]
+        row = [counts.get(first * SIZE + c, 0) for c in range(SIZE)]
+        out += [math.log((n + BACK_OFF * share[c]) / (sum(row) + BACK_OFF)) for c, n in enumerate(row)]
     return out
 
 
+def log_ratios(random_counts: dict[int, int], ordinary_counts: dict[int, int]) -> list[float]:
+    """For each cell log P(second | first) as a random string minus that as an ordinary identifier."""
+    return [a - b for a, b in zip(log_transitions(random_counts), log_transitions(ordinary_counts), strict=True)]
+
+
 def train(random_samples: DataFrame, ordinary_samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of all cells from labelled samples (column `sample`)."""
     counts = [dict(pair_counts(x).collect()) for x in (random_samples, ordinary_samples)]
