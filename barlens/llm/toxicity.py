@@ -1,7 +1,8 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are its distinct words, word pairs and pairs with one word between,
-hashed to `DIMENSIONS` places. Training follows the regularised leader, one document at
+Features of a text are its distinct words, their stems (first 3 to 8 characters, so that a
+word seen only in other forms counts), word pairs and pairs with one word between, hashed
+to `DIMENSIONS` places. Training follows the regularised leader, one document at
 a time with a rate of its own for each coordinate; the L1 term leaves most weights at
 exactly zero, so the model that is broadcast has a few thousand numbers.
 
@@ -30,27 +31,35 @@ from barlens.llm.decontaminate import words_of
 
 DIMENSIONS = 1 << 20
 MAX_TRAIN_DOCS = 8_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 2.0, 1.0
-MAX_WORDS = 400_000
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 1.0
+STEMS = range(3, 9)
+# Words whose hashes a task keeps.
+MAX_WORDS = 200_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    """word -> its hash and those of its stems, as little-endian 64-bit integers."""
+
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MAX_WORDS:
             self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        text = word.decode("utf-8", "replace")
+        parts = [word, *(b"%d:" % n + text[:n].encode() for n in STEMS if len(text) > n)]
+        out = self[word] = b"".join(xxhash.xxh3_64_intdigest(x).to_bytes(8, "little") for x in parts)
         return out
 
 
 def features(text: bytes | None, hashes: dict) -> np.ndarray:
-    """Hashed places of all words, neighbouring pairs and pairs around a word; repeats stay."""
-    words = np.array([hashes[w] for w in words_of(text)], dtype=np.uint64)
+    """Hashed places of all words, stems, neighbouring pairs and pairs around a word; some repeat."""
+    found = words_of(text)
+    words = np.frombuffer(b"".join([hashes[w][:8] for w in found]), dtype="<u8")
+    stems = np.frombuffer(b"".join([hashes[w] for w in set(found)]), dtype="<u8")
     pairs = words[:-1] * _ODD[0] + words[1:] * _ODD[1]
     skips = words[:-2] * _ODD[2] + words[2:] * _ODD[3]
-    every = np.concatenate([words, pairs, skips])
+    every = np.concatenate([stems, pairs, skips])
     every = (every ^ (every >> np.uint64(29))) * _ODD[0]
     return (every >> np.uint64(44)).astype(np.uint32)
 
