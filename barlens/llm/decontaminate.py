@@ -317,6 +317,39 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(w[p:p + size - 1], ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p
+        FROM (SELECT *, least(13, len(w)) AS size FROM i WHERE len(w) > 0) sized) places
+), found AS (
+  SELECT rid, p, size, item FROM (
+    SELECT rid, p, size, array_to_string(w[p:p + size - 1], ' ') AS k
+    FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p
+          FROM d CROSS JOIN (SELECT DISTINCT size FROM windows) sizes) places) doc_windows
+  JOIN windows USING (size, k)
+), hit AS (
+  SELECT rid, count(DISTINCT word) AS n_hit
+  FROM (SELECT rid, unnest(range(p, p + size)) AS word FROM found) words GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT rid, item FROM found) pairs GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
 def brute_force(doc: str | None, items: list[tuple[str, str | None]], window: int = 13):
     """The definition, word by word: for tests."""
     words = words_of((doc or "").encode())

@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_chat_formatting": chat.OP3_SQL,
+    "op6_decontamination": decontaminate.OP6_SQL,
+    "op7_near_dedup": near_dedup.OP7_SQL,
 }
