@@ -41,11 +41,9 @@ def _sc_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; an error where none is set. A folder of this machine would be
-    invisible to executors elsewhere, so none is made up: tests and benchmarks set their own."""
-    d = checkpoint_dir(spark)
-    if not d:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    """The shared checkpoint folder. Where the cluster names none, a folder in the session's
+    warehouse, which driver and executors share as well; never a temporary folder of one machine."""
+    d = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if _sc_dir(spark) is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
