@@ -47,39 +47,45 @@ BACK_OFF = 10.0
 # Characters from ! to ~ have a row and a column each.
 FIRST, SIZE = 33, 94
 
+
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
+FOUND = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
 def matches_of(text: Column, pattern: str, needs: str, kind: int, least: int) -> Column:
-    """Spans (start, kind, stop) of all leftmost non-overlapping matches whose group has `least` characters.
+    """Spans (start, kind, stop, value of the group) of all leftmost non-overlapping matches whose group has `least` characters.
 
     The pieces between matches and the matches, in turn, give the positions in code points.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     gaps = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gaps"])
         stop = start + F.length(x["hits"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["values"].alias("value"))
         good = F.length(x["values"]) >= least
         return F.struct(stop.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     zipped = F.arrays_zip(hits.alias("hits"), values.alias("values"),
                           F.slice(gaps, F.lit(1), F.size(hits)).alias("gaps"))
     found = F.aggregate(zipped, empty, step, lambda acc: acc["out"])
-    return F.when(text.rlike(needs), found).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(needs), found).otherwise(F.array().cast(FOUND))
 
 
 def base_spans(text: Column) -> Column:
     """Base spans by start, then kind."""
     return F.array_sort(F.concat(*[
-        matches_of(text, pattern, NEEDS[name], kind, least)
+        without_values(matches_of(text, pattern, NEEDS[name], kind, least))
         for kind, (name, (pattern, _, least)) in enumerate(PATTERNS.items())]))
 
 
+def without_values(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+
+
 def pair_index(text: Column, i: Column) -> Column:
     """Cell of the characters i and i+1 (from 1) of an ASCII token."""
     code = lambda k: F.ascii(F.substr(text, k, F.lit(1))) - FIRST
@@ -140,8 +146,7 @@ def random_spans(text: Column, base: Column, ratios: list[float], min_ratio: flo
     needs = "[A-Za-z0-9+/_=-]{20}"
     spans = matches_of(text, TOKEN, needs, len(PATTERNS), 20)
     apart = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    token = lambda s: F.substr(text, s["start"] + 1, s["stop"] - s["start"])
-    return F.filter(apart, lambda s: ratio(token(s), model) > min_ratio)
+    return without_values(F.filter(apart, lambda s: ratio(s["value"], model) > min_ratio))
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ratios: list[float] | None = None,
