@@ -81,8 +81,8 @@ def words_of(text: Column) -> Column:
 def shingle_hashes(words: Column) -> Column:
     """Hash of the five words from each position."""
     last = F.size(words) - SHINGLE
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                                         lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(SHINGLE)))))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(
+        *[F.get(words, i + k) for k in range(SHINGLE)])))
 
 
 class Templates:
@@ -135,12 +135,15 @@ def windows(hits: Column, width: int) -> Column:
 def matches(docs: DataFrame, templates: Templates, *, containment: int = CONTAINMENT) -> DataFrame:
     """doc_id, text_key, template, start (word from which its window counts) and share of its shingles."""
     every = sorted({h for w in templates.of_class for h in templates.known(w)})
-    hashes = shingle_hashes(words_of(F.col("text")))
-    placed = F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("hash")))
-    rows = docs.select("doc_id", "text_key", F.filter(placed, lambda x: x["hash"].isin(every)).alias("hits"))
-    rows = rows.where(F.size("hits") > 0)
+    # Each step is a column of its own, and no filter comes between (it would be pushed down with the
+    # expressions in it): a lambda that holds an expression computes it for every element.
+    rows = docs.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", "text_key", shingle_hashes(F.col("words")).alias("hashes"))
+    placed = F.transform("hashes", lambda h, i: F.struct(i.alias("at"), h.alias("hash")))
+    rows = rows.select("doc_id", "text_key", F.filter(placed, lambda x: x["hash"].isin(every)).alias("hits"))
     own = lambda width: F.filter("hits", lambda x: x["hash"].isin(templates.known(width)))
-    each = F.concat(*[windows(own(w), w) for w in templates.of_class])
+    rows = rows.select("doc_id", "text_key", *[own(w).alias(f"hits_{w}") for w in templates.of_class])
+    each = F.concat(*[windows(F.col(f"hits_{w}"), w) for w in templates.of_class])
     rows = rows.select("doc_id", "text_key", F.explode(each).alias("w"))
     rows = rows.select("doc_id", "text_key", "w.width", "w.start", "w.found",
                        F.posexplode(signature(F.col("w.found"))).alias("band", "value"))
