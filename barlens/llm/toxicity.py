@@ -130,7 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
                                               "bias": pa.array([bias])})
 
     fitted = hashed.coalesce(1).mapInArrow(fit_all, "places array<int>, weights array<double>, bias double").collect()
-    return (np.array(fitted[0][0]), np.array(fitted[0][1]), fitted[0][2]) if fitted else None
+    if not fitted:
+        return None
+    places, weights, bias = fitted[0]
+    return np.array(places, dtype=np.int64), np.array(weights, dtype=np.float64), bias
 
 
 def score(docs: DataFrame, model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
