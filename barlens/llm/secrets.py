@@ -7,9 +7,8 @@ of neighbouring characters, and it becomes a span of kind `random` when the sum
 `MIN_RATIO`.
 
 The models are counts of character pairs over labelled samples, smoothed by the characters' shares.
-By default these come from at most `SAMPLE_DOCS` documents of each kind (those with the
-smallest hash of the id): values of base spans are random strings, words of letters alone
-are ordinary. The counts have a fixed number of cells, whatever the input, and travel as a
+By default the values of all base spans are the random strings, and words of letters alone,
+from at most `SAMPLE_DOCS` documents (those with the smallest hash of the id), the ordinary ones. The counts have a fixed number of cells, whatever the input, and travel as a
 constant. Without samples a model is uniform; without any secret to learn from,
 `random` is the uniform model.
 
@@ -123,9 +122,9 @@ def train(random_samples: DataFrame, ordinary_samples: DataFrame) -> list[float]
 
 
 def labelled_samples(docs: DataFrame, doc_id: str, text: str, sample_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Values of base spans, and words of letters alone, each from a bounded sample of documents."""
+    """Values of all base spans, and words of letters alone from a bounded sample of documents."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    with_secrets = bounded_sample(rows.where(F.col("text").rlike("|".join(NEEDS.values()))), "id", sample_docs)
+    with_secrets = rows.where(F.col("text").rlike("|".join(NEEDS.values())))
     long = lambda values, n: F.filter(values, lambda x: F.length(x) >= n)
     chosen = F.concat(*[long(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), max(least, 16))
                         for pattern, _, least in PATTERNS.values()])
