@@ -25,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlens.llm.common import add_columns, table
+from barlens.llm.common import Shared, add_columns, table
 
 # Words whose encodings a task keeps.
-MAX_WORDS = 300_000
+MAX_WORDS = 400_000
 # Pairs of neighbouring tokens whose test a task keeps.
 MAX_PAIRS = 500_000
+# More than any token id.
+PAIR = 1 << 24
 
 # Control characters that Python splits at and the tokenizer does not.
 _NOT_WHITE = re.compile("[\x1c-\x1f]")
@@ -58,6 +62,21 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def reaches(tokens) -> dict[str, int]:
+    """Length of the longest token by its last two symbols (or its only one)."""
+    out: dict[str, int] = {}
+    for t in tokens:
+        out[t[-2:]] = max(out.get(t[-2:], 1), len(t))
+    return out
+
+
 class Rules:
     """A tokenizer file, read once on the driver and broadcast."""
 
@@ -92,18 +111,29 @@ class Encoder:
         self.rules = rules
         pattern = rules.split.replace("\\s", "\\p{White_Space}")
         self.pieces = regex.compile(pattern).findall
+        self.white = regex.compile(r"\p{White_Space}+").split
         self.symbols = byte_symbols()
-        self.token = dict(rules.vocab)
         self.names = {i: t for t, i in {**rules.vocab, **rules.special}.items()}
-        # A token's length in symbols; the word-end mark is part of the last one.
-        end = len(rules.end)
-        self.size = {t: len(t) - end if t.endswith(rules.end) and len(t) > end else len(t) for t in rules.vocab}
-        self.longest = max(self.size.values())
-        self.fits: dict[tuple[int, int], bool] = {}
+        # Tokens by their symbols: inside a word, and at its end, where the last symbol bears the mark.
+        end = rules.end
+        self.inner = {t: i for t, i in rules.vocab.items() if not (t.endswith(end) and len(t) > len(end))}
+        self.final = {t[:-len(end)]: i for t, i in rules.vocab.items() if t.endswith(end) and len(t) > len(end)}
+        # The longest token that ends with two symbols: no longer suffix need be tried.
+        self.inner_reach, self.final_reach = reaches(self.inner), reaches(self.final)
+        self.fits: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.special = sorted(rules.special, key=len, reverse=True)
-        self.special_at = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        self.chunk_ids: dict[str | int, bytes] = {}
+        self.chunk_names: dict[str | int, str] = {}
+        self.special_at = re.compile("|".join(map(re.escape, sorted(rules.special, key=len, reverse=True)))) \
+            if rules.special else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words.clear()
+        self.chunk_ids.clear()
+        self.chunk_names.clear()
+        for content, i in self.rules.special.items():
+            self.chunk_ids[i], self.chunk_names[i] = little_endian([i]), content
 
     def whole(self, left: int, right: int) -> bool:
         """The merges leave these two tokens, next to each other, as they are.
@@ -113,9 +143,6 @@ class Encoder:
         pair at the border each time. On the right a merge of the same rank, being further
         right, comes later.
         """
-        known = self.fits.get((left, right))
-        if known is not None:
-            return known
         merge, halves = self.rules.merge, self.rules.halves
         a, b, before, answer = left, right, (len(merge), 1), True
         while True:
@@ -133,59 +160,59 @@ class Encoder:
                 before, b = (up_b, 1), halves[b][0]
         if len(self.fits) >= MAX_PAIRS:
             self.fits.clear()
-        self.fits[(left, right)] = answer
+        self.fits[left * PAIR + right] = answer
         return answer
 
-    def symbols_of(self, piece: str) -> list[str]:
-        out = [self.symbols[b] for b in piece.encode()]
-        out[-1] += self.rules.end
-        return out
-
     def encode_words(self, pieces) -> None:
         """Encode distinct pieces: sorted by their symbols, they are walked as a trie, depth first.
 
-        `path` holds the symbols from the root to the current node, `last` the last token of each
-        prefix on it; stepping to the next word keeps what the two share.
+        `last` and `size` hold the last token, and its number of symbols, of each prefix on the path
+        from the root; stepping to the next word keeps what the two words share. The last symbol of a
+        word bears the end mark, so it is a leaf of its own.
         """
-        token, size, whole = self.token, self.size, self.whole
-        path: list[str] = []
+        symbols, fits, whole = self.symbols, self.fits, self.whole
+        inner, inner_reach, final, final_reach = self.inner, self.inner_reach, self.final, self.final_reach
         last: list[int] = []
-        long: list[int] = []
-        for piece, symbols in sorted(((p, self.symbols_of(p)) for p in pieces), key=lambda x: x[1]):
-            shared = 0
-            for a, b in zip(path, symbols, strict=False):
-                if a != b:
-                    break
+        size: list[int] = []
+        before = ""
+        for word, piece in sorted(("".join([symbols[b] for b in p.encode()]), p) for p in pieces):
+            top, shared = len(word) - 1, 0
+            limit = min(top, len(last))
+            while shared < limit and word[shared] == before[shared]:
                 shared += 1
-            del path[shared:], last[shared:], long[shared:]
-            for symbol in symbols[shared:]:
-                path.append(symbol)
-                here = len(path)
-                for n in range(min(here, self.longest), 0, -1):
-                    found = token.get("".join(path[here - n:]))
-                    if found is not None and (n == here or whole(last[here - n - 1], found)):
-                        last.append(found)
-                        long.append(n)
-                        break
-                else:
-                    raise ValueError(f"no encoding of {''.join(path)!r}")
-            ids, at = [], len(path)
+            del last[shared:], size[shared:]
+            before = word
+            for here in range(shared + 1, top + 2):
+                known, reach = (inner, inner_reach) if here <= top else (final, final_reach)
+                n = min(here, reach.get(word[max(0, here - 2):here], 1))
+                while True:
+                    found = known.get(word[here - n:here])
+                    if found is not None:
+                        if n == here:
+                            break
+                        left = last[here - n - 1]
+                        fit = fits.get(left * PAIR + found)
+                        if whole(left, found) if fit is None else fit:
+                            break
+                    n -= 1
+                if here <= top:
+                    last.append(found)
+                    size.append(n)
+            ids, at = [found], top + 1 - n
             while at:
                 ids.append(last[at - 1])
-                at -= long[at - 1]
+                at -= size[at - 1]
             self.words[piece] = ids[::-1]
 
     def learn(self, chunks) -> None:
         """Encode the pieces of chunks (texts without white space) not met before."""
-        if len(self.words) > MAX_WORDS or len(self.chunks) > MAX_WORDS:
-            self.words.clear()
-            self.chunks.clear()
-        parts = {c: self.pieces(c) for c in chunks}
-        self.encode_words({p for found in parts.values() for p in found if p not in self.words})
-        for chunk, found in parts.items():
-            ids = [i for p in found for i in self.words[p]]
-            names = " ".join([self.names[i] for i in ids])
-            self.chunks[chunk] = (np.array(ids, dtype="<u4").tobytes(), names)
+        words, names = self.words, self.names
+        parts = [(c, self.pieces(c)) for c in chunks]
+        self.encode_words({p for _, found in parts for p in found if p not in words})
+        for chunk, found in parts:
+            ids = words[found[0]] if len(found) == 1 else [i for p in found for i in words[p]]
+            self.chunk_ids[chunk] = little_endian(ids)
+            self.chunk_names[chunk] = " ".join([names[i] for i in ids])
 
     def normalised(self, text: str) -> list[str]:
         """Chunks of a text: NFC, lower case character by character, split at white space."""
@@ -196,9 +223,7 @@ class Encoder:
             text = text.replace("Σ", "σ")
         text = text.lower()
         if _NOT_WHITE.search(text):
-            import regex
-
-            return [c for c in regex.split(r"\p{White_Space}+", text) if c]
+            return [c for c in self.white(text) if c]
         return text.split()
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
@@ -213,20 +238,14 @@ class Encoder:
                 at = m.end()
             parts += self.normalised(text[at:] if at else text)
             split.append(parts)
-        known = self.chunks
-        new = {c for parts in split for c in parts if c not in known and isinstance(c, str)}
-        # A slice may hold more new chunks than the cache keeps: learn() starts anew before, not during.
-        if len(known) + len(new) > MAX_WORDS:
-            known.clear()
-            new = {c for parts in split for c in parts if isinstance(c, str)}
+        needed = set().union(*split)
+        new = [c for c in needed if c not in self.chunk_ids]
+        if len(self.chunk_ids) + len(new) > MAX_WORDS or len(self.words) > MAX_WORDS:
+            self._forget()
+            new = [c for c in needed if c not in self.chunk_ids]
         self.learn(new)
-        for content, i in self.rules.special.items():
-            known[i] = (np.array([i], dtype="<u4").tobytes(), content)
-        out = []
-        for parts in split:
-            found = [known[c] for c in parts]
-            out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])))
-        return out
+        ids, names = self.chunk_ids.__getitem__, self.chunk_names.__getitem__
+        return [(b"".join(map(ids, parts)), " ".join(map(names, parts))) for parts in split]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -241,14 +260,14 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path:
 
     `keep` names further columns of `docs` to carry along.
     """
-    rules = docs.sparkSession.sparkContext.broadcast(Rules(path or tokenizer_path()))
+    rules = Shared(docs.sparkSession, Rules(path or tokenizer_path()))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def maker():
-        encoder = Encoder(rules.value)
+        encoder = Encoder(rules.get())
 
         def work(texts):
             found = encoder.encode([(t or b"").decode() for t in texts])

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +48,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A value of bounded size, broadcast once; `get()` gives it in a task."""
+
+    def __init__(self, spark: SparkSession, value):
+        # Pickled here: a plain broadcast would look for the value's class on the executors.
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        return cloudpickle.loads(self.sent.value)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, nulls kept."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

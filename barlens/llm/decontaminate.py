@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlens.llm.common import add_columns, fresh, table
+from barlens.llm.common import Shared, add_columns, fresh, table
 
 # Words of the items in one broadcast automaton: about 100 MB of Python objects.
 MAX_BLOCK_WORDS = 200_000
@@ -223,14 +223,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_i
     ])
     arrow = pa.struct([("n_words", pa.int64()), ("hit_spans", pa.list_(pa.list_(pa.int64()))),
                        ("items", pa.list_(pa.string()))])
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     kept = list(docs.columns if keep is None else keep)
-    blocks = [context.broadcast(a) for a in automata_of(benchmark, item_id, item_text, window, block_words)]
-    blocks = blocks or [context.broadcast(SuffixAutomaton([], window))]
+    blocks = [Shared(spark, a) for a in automata_of(benchmark, item_id, item_text, window, block_words)]
+    blocks = blocks or [Shared(spark, SuffixAutomaton([], window))]
     out, names = docs, []
     for i, block in enumerate(blocks):
         def maker(block=block):
-            automata = [block.value]
+            automata = [block.get()]
 
             def work(texts):
                 rows = [{"n_words": n, "hit_spans": spans, "items": sorted(items)}
