@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+import corpus_pipeline
 from barlens.llm import (bpe, chat, decontaminate, licenses, line_dedup, near_dedup, pii, quality, secrets, toxicity)
 from tests.conftest import SF001, SF01
 from tests.llm.conftest import sentence
@@ -349,3 +350,18 @@ def test_line_dedup_finds_templates_and_leaves_copies(spark):
     assert [i for i in texts if passage in got[i]] == [11]
     assert got[20] == texts[1]
     assert got == brute_lines(texts)
+
+
+def test_line_dedup_confirms_copies(spark):
+    """A document whose records mostly go back to one earlier document, but which is no copy of it, loses them."""
+    shared, short = sentence(3, 30), "\n".join(f"{sentence(40 + i, 6)}" for i in range(20))
+    texts = {1: f"{shared}\n{sentence(5, 40)}", 2: f"{short}\n{shared}", 4: f"{sentence(9, 50)}\n{sentence(11, 50)}"}
+    texts[3] = texts[1]
+    texts[5] = texts[4] + "\none more line"
+    texts[6] = f"{sentence(9, 50)}\n{sentence(13, 20)}"
+    docs = docs_of(spark, list(texts.items()))
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.report(docs, confirm=line_dedup.CONFIRM).collect()}
+    assert got == {1: texts[1], 2: short + "\n", 3: texts[1], 4: texts[4], 5: texts[5], 6: sentence(13, 20)}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, SF001).collect()} == got
+    loose = {r["doc_id"]: r["kept_text"] for r in line_dedup.report(docs).collect()}
+    assert loose[2] == texts[2] and loose[6] == texts[6]
