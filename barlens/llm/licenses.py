@@ -1,18 +1,18 @@
-"""License scans: MinHash bands over overlapping windows, then exact shingle containment.
+"""License scans: MinHash sketches over overlapping windows, then exact shingle containment.
 
 Templates are license notices. Words are lower-cased runs of letters and digits, shingles
 are five words. A template of L words is looked for in windows of a class W with
 L <= W/2; windows start every W/2 words, so an occurrence lies whole in one of them.
 
 A window's set is its shingles that any template of its class has (no other shingle can
-count for a match, and a window without one is no candidate). `HASHES` MinHash values,
-each a band of one row, retrieve templates: at a Jaccard similarity J of the window's set
-and a template the chance is 1 - (1 - J)**HASHES, over 0.999999 at 0.45 and over 0.99 at
-0.2. Candidates are then verified: a template matches where at least 80 % of its shingles
+count for a match, and a window without one is no candidate). Templates are retrieved by a
+sketch of their least MinHash values: so many that a window which lacks all of them lacks
+too many shingles to match. Whatever else stands in a window, no match goes unseen.
+Candidates are then verified: a template matches where at least 80 % of its shingles
 are in the window's full set.
 
 Everything is DataFrame functions. Windows are made inside a document's row; only those
-with a known shingle become rows of their own. The templates' bands, a few hundred rows
+with a sketched shingle become rows of their own. The templates' sketches, a few hundred rows
 whose number does not depend on the documents, are broadcast.
 
 Defined results: a null or empty text, or one with fewer than five words, matches nothing;
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from barlens.llm.common import table
 
 SHINGLE = 5
-HASHES = 24
 CONTAINMENT = 80  # hundredths
 CLASSES = (32, 128, 512)
 
@@ -86,7 +85,7 @@ def shingle_hashes(words: Column) -> Column:
 
 
 class Templates:
-    """Templates of each window class: their shingle hashes and the table of their bands."""
+    """Templates of each window class: their shingle hashes and the table of their sketches."""
 
     def __init__(self, spark: SparkSession, texts: dict[str, str] = TEMPLATES, classes=CLASSES):
         rows = spark.createDataFrame(list(texts.items()), "template string, text string")
@@ -105,16 +104,18 @@ class Templates:
     def known(self, width: int) -> list[int]:
         return sorted({h for r in self.of_class[width] for h in r["shingles"]})
 
-    def bands(self) -> DataFrame:
+    def sketches(self, containment: int = CONTAINMENT) -> DataFrame:
+        """A row for each shingle of a template's sketch.
+
+        Of n shingles a match has `least` or more, so n - least + 1 of them can't all be missing.
+        """
         rows = [(w, r["template"], r["shingles"]) for w, found in self.of_class.items() for r in found]
         table_ = self.spark.createDataFrame(rows, "width int, template string, shingles array<bigint>")
-        return table_.select("width", "template", "shingles", F.posexplode(signature(F.col("shingles"))).alias("band", "value"))
-
-
-def signature(shingles: Column) -> Column:
-    """The least hash of a set under each of the hash functions."""
-    least = lambda k: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(k))))
-    return F.array(*[least(k) for k in range(HASHES)])
+        n = F.size("shingles")
+        least = F.greatest(F.lit(1), F.ceil(containment * n / 100).cast("int"))
+        ordered = F.array_sort(F.transform("shingles", lambda h: F.struct(F.xxhash64(h, F.lit(0)).alias("rank"), h.alias("value"))))
+        sketch = F.slice(ordered, 1, F.greatest(F.lit(0), n - least + 1))
+        return table_.select("width", "template", "shingles", F.explode(sketch["value"]).alias("value"))
 
 
 def windows(hits: Column, width: int) -> Column:
@@ -145,9 +146,8 @@ def matches(docs: DataFrame, templates: Templates, *, containment: int = CONTAIN
     rows = rows.select("doc_id", "text_key", *[own(w).alias(f"hits_{w}") for w in templates.of_class])
     each = F.concat(*[windows(F.col(f"hits_{w}"), w) for w in templates.of_class])
     rows = rows.select("doc_id", "text_key", F.explode(each).alias("w"))
-    rows = rows.select("doc_id", "text_key", "w.width", "w.start", "w.found",
-                       F.posexplode(signature(F.col("w.found"))).alias("band", "value"))
-    candidates = rows.join(F.broadcast(templates.bands()), ["width", "band", "value"])
+    rows = rows.select("doc_id", "text_key", "w.width", "w.start", "w.found", F.explode("w.found").alias("value"))
+    candidates = rows.join(F.broadcast(templates.sketches(containment)), ["width", "value"])
     share = 100 * F.size(F.array_intersect("shingles", "found"))
     good = candidates.where(share >= containment * F.size("shingles"))
     return good.groupBy("doc_id", "text_key", "template").agg(

@@ -1,6 +1,7 @@
 """Results against brute force, library encodings, round trips and held-out labels."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -105,6 +106,23 @@ def test_licenses_against_containment(spark, small):
         assert got[i] == ",".join(sorted(want)), i
 
 
+def test_licenses_side_by_side(spark):
+    """Short notices in one window, in every order, at every offset within a window step."""
+    word = re.compile(r"[a-z0-9]+")
+    short = {n: t for n, t in licenses.TEMPLATES.items() if len(word.findall(t.lower())) <= 16}
+    fits = [x for k in (2, 3) for x in itertools.permutations(short, k)
+            if "MIT" in x and len(word.findall(" ".join(short[n] for n in x).lower())) <= 32]
+    # A notice begun in one window ends in it: offsets at which all of them lie in the first window.
+    cases = {}
+    for x in fits:
+        size = len(word.findall(" ".join(short[n] for n in x).lower()))
+        for offset in range(min(16, 33 - size)):
+            cases[len(cases)] = (x, " ".join(["pad"] * offset + [short[n] for n in x]))
+    out = {r["doc_id"]: {f["template"] for f in r["found"]}
+           for r in licenses.report(docs_of(spark, [(i, t) for i, (_, t) in cases.items()])).collect()}
+    assert len(cases) > 500 and [x for i, (x, _) in cases.items() if not set(x) <= out[i]] == []
+
+
 def test_pii(spark, small):
     for r in rows(spark, "op5_pii"):
         counts, sha = pii.brute_force(small[r["doc_id"]])
