@@ -383,3 +383,23 @@ def test_line_dedup_confirms_copies(spark):
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, SF001).collect()} == got
     loose = {r["doc_id"]: r["kept_text"] for r in line_dedup.report(docs).collect()}
     assert loose[2] == texts[2] and loose[6] == texts[6]
+
+
+def test_line_dedup_cuts_passages_inside_sentences(spark):
+    """No 50 words in a row of an earlier document stay, wherever the passage starts, and no other word goes."""
+    passage, words = sentence(90, 70)[:-1].split(), lambda n, k: sentence(n, k)[:-1].split()
+    texts = {1: " ".join(words(1, 11) + passage + words(2, 9)) + ".\x01\x03 odd\x01 marks"}
+    for k in range(1, 13):
+        run = passage[k - 1:k + 49] if k % 2 else passage
+        texts[1 + k] = f"{sentence(20 + k, 12)}\n" + " ".join(words(40 + k, k) + run + words(60 + k, 30)) + f".\nx\x01y\x02 {k}\n"
+    texts[30] = "\n".join(" ".join(passage[i:i + 5]) for i in range(0, 70, 5)) + "\nend"
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.report(
+        docs_of(spark, list(texts.items())), confirm=line_dedup.CONFIRM, passages=True).collect()}
+    assert got[1] == texts[1]
+    grams = lambda w: {tuple(w[i:i + 50]) for i in range(len(w) - 49)}
+    for i in texts:
+        if i > 1:
+            left, own = got[i].split(), texts[i].split()
+            assert not grams(left) & grams(texts[1].split()) and len(left) <= len(own) - line_dedup.PIECE
+            assert [w for w in left if w not in passage] == [w for w in own if w not in passage]
+            assert got[i].count("\n") == texts[i].count("\n") or i == 30
