@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without records that an earlier document has; emptied documents go."""
-    return line_dedup.drop_recurring(docs, confirm=line_dedup.CONFIRM, passages=True)
+    return line_dedup.drop_recurring(docs, confirm=line_dedup.CONFIRM, passages=True, join_short=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

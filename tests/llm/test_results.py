@@ -403,3 +403,14 @@ def test_line_dedup_cuts_passages_inside_sentences(spark):
             assert not grams(left) & grams(texts[1].split()) and len(left) <= len(own) - line_dedup.PIECE
             assert [w for w in left if w not in passage] == [w for w in own if w not in passage]
             assert got[i].count("\n") == texts[i].count("\n") or i == 30
+
+
+def test_line_dedup_joins_short_records(spark):
+    """A passage in lines of 3 to 5 words, no 50 words long, goes wherever it stands; single short lines stay."""
+    verse = "\n".join(sentence(90 + i, 3 + i % 3)[:-1] for i in range(8)) + "\n"
+    texts = {i: f"{sentence(i, 4)}\n{sentence(i + 10, 2 + i)}\n{verse}\n{sentence(i + 20, 30)}\nAll rights reserved.\n{sentence(i + 30, 20)}"
+             for i in range(1, 6)}
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.report(
+        docs_of(spark, list(texts.items())), confirm=line_dedup.CONFIRM, passages=True, join_short=True).collect()}
+    assert got[1] == texts[1]
+    assert all(got[i] == texts[i].replace(verse, "") for i in range(2, 6))
