@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from barlens.llm import bpe, chat, decontaminate, licenses, line_dedup, near_dedup, pii, quality, secrets, toxicity
+from barlens.llm import (bpe, chat, conversation_repair, decontaminate, fim, licenses, line_dedup, near_dedup, packing, pii,
+                         quality, secrets, toxicity)
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,10 +16,15 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_packing": packing.op11_packing,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
     "op3_chat_formatting": chat.OP3_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
     "op7_near_dedup": near_dedup.OP7_SQL,
+    "op12_conversation_repair": conversation_repair.OP12_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
 }
