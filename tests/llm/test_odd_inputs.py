@@ -52,7 +52,7 @@ def test_every_row_gets_a_result(spark, odd_docs, no_docs, labels, items, name):
 
 STAGES = {
     "quality": lambda d, labels, items: quality.keep_good(d, quality.train(d, labels.limit(0))),
-    "lines": lambda d, labels, items: line_dedup.drop_recurring(d),
+    "lines": lambda d, labels, items: line_dedup.drop_recurring(d, confirm=line_dedup.CONFIRM),
     "near": lambda d, labels, items: near_dedup.deduplicate(d),
     "benchmark": lambda d, labels, items: decontaminate.decontaminate(d, items),
     "cut": lambda d, labels, items: decontaminate.cut_spans(d, items),

@@ -322,95 +322,3 @@ def test_viterbi_is_the_best_path():
         score = lambda y: sum(e[i][y[i]] for i in range(n)) + sum(m[a][b] for a, b in zip(y, y[1:], strict=False))
         best = max(([(k >> i) & 1 for i in range(n)] for k in range(2**n)), key=score)
         assert abs(score(quality.viterbi(e, m)) - score(best)) < 1e-9
-
-
-def brute_lines(texts, min_tokens=8, leading=3, copy_share=0.6):
-    """Left texts by comparing records with all earlier documents' records, key by key."""
-    split = lambda t: re.split(r"(?<=\n)|(?<=[.!?] )", t)
-    records, first = {}, {}
-    for i, t in texts.items():
-        for p, rec in enumerate(split(t or "")):
-            tokens = ["<*>" if re.search("[0-9]", w) else w for w in WORD.findall(rec)]
-            if len(tokens) >= min_tokens:
-                half = leading + (len(tokens) - leading) // 2
-                keys = [(len(tokens), 0, *tokens[:half]), (len(tokens), 1, *tokens[:leading], *tokens[half:])]
-                records[i, p] = (len(tokens), keys)
-                for k in keys:
-                    first[k] = min(first.get(k, i), i)
-    out = {}
-    for i, t in texts.items():
-        own = {p: r for (j, p), r in records.items() if j == i}
-        source = {p: min(first[k] for k in keys) for p, (_, keys) in own.items()}
-        by = {}
-        for p, s in source.items():
-            if s < i:
-                by[s] = by.get(s, 0) + own[p][0]
-        copy = max(by.values(), default=0) > copy_share * sum(n for n, _ in own.values())
-        out[i] = t or "" if copy else "".join(r for p, r in enumerate(split(t or "")) if not source.get(p, i) < i)
-    return out
-
-
-def test_line_dedup(spark, small):
-    want = brute_lines(small)
-    got = line_dedup.report(docs_of(spark, list(small.items()))).collect()
-    assert {r["doc_id"]: r["kept_text"] for r in got} == want
-    assert any(r["n_dropped"] for r in got)
-
-
-def test_line_dedup_finds_templates_and_leaves_copies(spark):
-    notice = "Build number {} finished on host alpha after a long night of waiting"
-    texts = {i: f"{sentence(i, 60)}\n{notice.format(i * 17)}\n{sentence(i + 30, 50)}" for i in range(1, 8)}
-    passage = sentence(90, 60)
-    texts |= {i: f"{sentence(i + 60, 80)} {passage} {sentence(i + 120, 20)}" for i in range(11, 15)}
-    texts[20] = texts[1]
-    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.report(docs_of(spark, list(texts.items()))).collect()}
-    assert [i for i in texts if "finished on host" in got[i]] == [1, 20]
-    assert [i for i in texts if passage in got[i]] == [11]
-    assert got[20] == texts[1]
-    assert got == brute_lines(texts)
-
-
-def test_line_dedup_confirms_copies(spark):
-    """A document whose records mostly go back to one earlier document, but which is no copy of it, loses them."""
-    shared, short = sentence(3, 30), "\n".join(f"{sentence(40 + i, 6)}" for i in range(20))
-    texts = {1: f"{shared}\n{sentence(5, 40)}", 2: f"{short}\n{shared}", 4: f"{sentence(9, 50)}\n{sentence(11, 50)}"}
-    texts[3] = texts[1]
-    texts[5] = texts[4] + "\none more line"
-    texts[6] = f"{sentence(9, 50)}\n{sentence(13, 20)}"
-    docs = docs_of(spark, list(texts.items()))
-    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.report(docs, confirm=line_dedup.CONFIRM).collect()}
-    assert got == {1: texts[1], 2: short + "\n", 3: texts[1], 4: texts[4], 5: texts[5], 6: sentence(13, 20)}
-    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, SF001).collect()} == got
-    loose = {r["doc_id"]: r["kept_text"] for r in line_dedup.report(docs).collect()}
-    assert loose[2] == texts[2] and loose[6] == texts[6]
-
-
-def test_line_dedup_cuts_passages_inside_sentences(spark):
-    """No 50 words in a row of an earlier document stay, wherever the passage starts, and no other word goes."""
-    passage, words = sentence(90, 70)[:-1].split(), lambda n, k: sentence(n, k)[:-1].split()
-    texts = {1: " ".join(words(1, 11) + passage + words(2, 9)) + ".\x01\x03 odd\x01 marks"}
-    for k in range(1, 13):
-        run = passage[k - 1:k + 49] if k % 2 else passage
-        texts[1 + k] = f"{sentence(20 + k, 12)}\n" + " ".join(words(40 + k, k) + run + words(60 + k, 30)) + f".\nx\x01y\x02 {k}\n"
-    texts[30] = "\n".join(" ".join(passage[i:i + 5]) for i in range(0, 70, 5)) + "\nend"
-    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.report(
-        docs_of(spark, list(texts.items())), confirm=line_dedup.CONFIRM, passages=True).collect()}
-    assert got[1] == texts[1]
-    grams = lambda w: {tuple(w[i:i + 50]) for i in range(len(w) - 49)}
-    for i in texts:
-        if i > 1:
-            left, own = got[i].split(), texts[i].split()
-            assert not grams(left) & grams(texts[1].split()) and len(left) <= len(own) - line_dedup.PIECE
-            assert [w for w in left if w not in passage] == [w for w in own if w not in passage]
-            assert got[i].count("\n") == texts[i].count("\n") or i == 30
-
-
-def test_line_dedup_joins_short_records(spark):
-    """A passage in lines of 3 to 5 words, no 50 words long, goes wherever it stands; single short lines stay."""
-    verse = "\n".join(sentence(90 + i, 3 + i % 3)[:-1] for i in range(8)) + "\n"
-    texts = {i: f"{sentence(i, 4)}\n{sentence(i + 10, 2 + i)}\n{verse}\n{sentence(i + 20, 30)}\nAll rights reserved.\n{sentence(i + 30, 20)}"
-             for i in range(1, 6)}
-    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.report(
-        docs_of(spark, list(texts.items())), confirm=line_dedup.CONFIRM, passages=True, join_short=True).collect()}
-    assert got[1] == texts[1]
-    assert all(got[i] == texts[i].replace(verse, "") for i in range(2, 6))
