@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-import xxhash
 
 import corpus_pipeline
 from barlens.llm import line_dedup
@@ -22,20 +21,35 @@ def left(spark, texts, **options):
     return {r["doc_id"]: r["kept_text"] for r in line_dedup.report(docs_of(spark, texts), **options).collect()}
 
 
+def hashed(word):
+    return int(line_dedup.Words([word.encode()]).hash[0])
+
+
 def units(text):
-    out = []
-    for record in re.split(r"(?<=\n)|(?<=[.!?] )", text):
-        words = re.findall(r"(?:\A[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", record)
-        if len(record) <= 160 or len(words) < 2:
-            out.append(record)
+    """(words, text with the white space behind it, number of its line) of every unit."""
+    out, line = [], 0
+    for m in re.finditer(r"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)", text):
+        if not out or ends:
+            out.append([[], "", line])
+        out[-1][0].append(m[1])
+        out[-1][1] += m[0]
+        ends = "\n" in m[2] or m[1][-1] in ".!?" and m[2][:1] == " "
+        line += "\n" in m[2]
+    if out:
+        out[0][1] = text[:len(text) - len(text.lstrip(" \t\n\v\f\r"))] + out[0][1]
+    cut = []
+    for words, body, line in out:
+        if len(words) <= 24:
+            cut.append((words, body, line))
             continue
-        parts = []
-        for i, w in enumerate(words):
-            if i == 0 or xxhash.xxh64(w.strip(" \t\n\v\f\r").encode(), seed=42).intdigest() % 4 == 0:
-                parts.append("")
-            parts[-1] += w
-        out += parts
-    return out
+        parts, rest = [], body
+        for i, m in enumerate(re.finditer(r"(?:\A[\x20\x09-\x0D]+)?([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*", rest)):
+            if i == 0 or hashed(m[1]) % 4 == 0:
+                parts.append(([], [], line))
+            parts[-1][0].append(m[1])
+            parts[-1][1].append(m[0])
+        cut += [(w, "".join(b), line) for w, b, line in parts]
+    return cut
 
 
 def template(tokens, short):
@@ -46,24 +60,29 @@ def template(tokens, short):
 def records(text):
     """(first unit, last unit, template) of every record of a text."""
     u = units(text)
-    plain = [(i, WORD.findall(x)) for i, x in enumerate(u) if WORD.search(x)]
-    for j, (i, tokens) in enumerate(plain):
-        if len(tokens) >= 8:
-            yield i, i, template(tokens, False)
+    size = lambda a, b: sum(len(x[0]) for x in u[a:b + 1])
+    made = lambda a, b, short=False: (a, b, template([w for x in u[a:b + 1] for w in x[0]], short))
+
+    def ahead(j, end):
+        return next((b for b in range(j, end + 1) if size(j, b) >= 8), None)
+
+    def behind(j, begin):
+        return next((a for a in range(j, begin - 1, -1) if size(a, j) >= 8), None)
+
+    for j, (words, _, line) in enumerate(u):
+        mates = [k for k, x in enumerate(u) if x[2] == line]
+        first, last = mates[0], mates[-1]
+        if size(first, last) >= 8:
+            b, a = ahead(j, last), behind(j, first)
+            yield made(j, b) if b is not None else made(a, j) if a is not None else made(first, last)
             continue
-        for step in (1, -1):
-            span, k = [], j
-            while 0 <= k < len(plain) and sum(len(t) for _, t in span) < 8:
-                span.append(plain[k])
-                k += step
-            if sum(len(t) for _, t in span) >= 8:
-                if step < 0 and sum(len(t) for _, t in span[1:]) < 8:
-                    continue
-                span.sort()
-                yield span[0][0], span[-1][0], template([t for _, ts in span for t in ts], False)
-        begins = i == 0 or u[i - 1].endswith("\n")
-        if begins and (u[i].endswith("\n") or i == len(u) - 1) and 3 <= len(tokens):
-            yield i, i, template(tokens, True)
+        b, a = ahead(j, len(u) - 1), behind(j, 0)
+        if b is not None:
+            yield made(j, b)
+        if a is not None:
+            yield made(a, j)
+        if first == last and len(words) >= 3:
+            yield made(j, j, True)
 
 
 def brute(texts):
@@ -78,7 +97,7 @@ def brute(texts):
         for at, last, key in records(t or ""):
             if min(ids[key]) < d and (not key[1] or times[key] >= 10):
                 gone.update(range(at, last + 1))
-        out[d] = "".join(u for i, u in enumerate(units(t or "")) if i not in gone)
+        out[d] = "".join(u[1] for i, u in enumerate(units(t or "")) if i not in gone) if gone else t or ""
     return out
 
 
@@ -154,7 +173,7 @@ def test_short_records(spark):
              for i in range(1, 6)}
     got = left(spark, texts)
     assert got[1] == texts[1]
-    assert all(got[i] == texts[i].replace(verse, "") for i in range(2, 6))
+    assert all(got[i] == texts[i].replace(verse + "\n", "") for i in range(2, 6))
     texts |= {i: f"{sentence(i, 30)}\nAll rights reserved.\n{sentence(i + 40, 20)}\nThanks.\n{sentence(i + 80, 20)}" for i in range(6, 13)}
     got = left(spark, texts)
     assert [i for i in texts if "All rights" in got[i]] == [1] and all("Thanks." in got[i] for i in range(6, 13))
