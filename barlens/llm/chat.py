@@ -7,22 +7,25 @@ in the template's markers, and the assistant's texts are marked for the loss.
 
     <|im_start|>role\ntext<|im_end|>\n
 
-Escapes are two characters: `\b` for a backslash, `\p` for the bar of `<|`, and in
+Escapes are two characters: `\b` for a backslash, `\p` for the bar of `<|`, `\l` for a `<`
+that ends a part before another part, so that two parts make no marker either, and in
 roles `\n` for a line end. Every backslash of an escaped text starts an escape, so plain
-replacements in the opposite order give the text back, and no text can hold a marker.
+replacements in the opposite order give the text back, and no text can hold a marker or a
+placeholder: `read_parts` gives the typed parts back with their attachments.
 
-Everything is DataFrame functions. A conversation becomes one string, so its turns are
-collected into one row; nothing else is gathered.
+Everything is DataFrame functions. Places in a conversation are running sums of a window over
+its turns. A conversation becomes one string, so its turns are collected into one row;
+nothing else is gathered.
 
 Defined results: a null text or role is empty; turns with equal numbers go by role, then
-text; a null turn comes first; rows without conv_id make one conversation without id;
+text; a null turn comes first; each row without conv_id is a conversation of its own, without id;
 repeated rows are repeated turns; a null part list is an empty text, a part of unknown
 type counts as text; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.llm.common import table
@@ -39,7 +42,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\p"), F.lit("|")), F.lit("\\b"), F.lit("\\"))
+    return F.replace(F.replace(F.replace(text, F.lit("\\p"), F.lit("|")), F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
 def escape_role(role: Column) -> Column:
@@ -63,8 +66,15 @@ def _is_attachment(part: Column) -> Column:
 
 def visit(parts: Column) -> Column:
     """Parts as one string: escaped texts and `<|type|>` placeholders, in order."""
-    each = F.transform(parts, lambda p: F.when(_is_attachment(p), F.concat(F.lit("<|"), p["type"], F.lit("|>")))
-                       .otherwise(escape(F.coalesce(p["text"], F.lit("")))))
+    last = F.size(parts) - 1
+
+    def text_of(p, i):
+        body = escape(F.coalesce(p["text"], F.lit("")))
+        return F.when(F.endswith(body, F.lit("<")) & (i < last), F.concat(F.substr(body, F.lit(1), F.length(body) - 1), F.lit("\\l"))) \
+            .otherwise(body)
+
+    each = F.transform(parts, lambda p, i: F.when(_is_attachment(p), F.concat(F.lit("<|"), p["type"], F.lit("|>")))
+                       .otherwise(text_of(p, i)))
     return F.coalesce(F.array_join(each, ""), F.lit(""))
 
 
@@ -83,26 +93,22 @@ def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
     rows = turns.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), visit(F.col(parts)).alias("body"),
-        attachments(F.col(parts)).alias("attached"))
-    rows = rows.select("conv_id", "attached", F.struct(
-        "turn", "role", "body", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head")).alias("t"),
-    )
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("t", "attached"))).alias("turns"))
+        attachments(F.col(parts)).alias("attached"),
+        F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id()).alias("_alone"))
+    head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
+    rows = rows.select("*", head.alias("head"))
     tail = END + "\n"
-    strings = F.transform("turns", lambda x: F.concat(x["t"]["head"], x["t"]["body"], F.lit(tail)))
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"),
-                     F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["t"]["head"])
-        size = F.length(x["t"]["body"]).cast("bigint")
-        span = F.struct(start.alias("start"), size.alias("length"))
-        marked = F.when(x["t"]["role"] == LOSS_ROLE, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct((start + size + len(tail)).alias("at"), marked.alias("out"))
-
-    return chats.select("conv_id", F.array_join(strings, "").alias("formatted"),
-                        F.aggregate("turns", empty, step, lambda acc: acc["out"]).alias("loss_spans"),
-                        F.flatten(F.transform("turns", lambda x: x["attached"])).alias("attachments"))
+    order = Window.partitionBy("conv_id", "_alone").orderBy("turn", "role", "body", "attached")
+    size = F.length("body").cast("bigint")
+    after = F.sum(F.length("head") + size + len(tail)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.select("conv_id", "_alone", F.struct(
+        F.row_number().over(order).alias("nth"), F.concat("head", "body", F.lit(tail)).alias("string"), "attached",
+        F.when(F.col("role") == LOSS_ROLE, F.struct((after - size - len(tail)).alias("start"), size.alias("length"))).alias("span")).alias("t"))
+    # Dealt by the same key as the window: no second shuffle.
+    chats = placed.groupBy("conv_id", "_alone").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return chats.select("conv_id", F.array_join(F.col("t")["string"], "").alias("formatted"),
+                        F.filter(F.col("t")["span"], lambda x: x.isNotNull()).alias("loss_spans"),
+                        F.flatten(F.col("t")["attached"]).alias("attachments"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -116,6 +122,31 @@ def read_back(formatted: Column) -> Column:
         unescape(F.substr(b, F.length(role(b)) + 2, F.length(b))).alias("text")))
 
 
+def read_parts(chats: DataFrame) -> DataFrame:
+    """Typed turns of `format_chats` rows: conv_id, nth (from 0), role, parts (type, text, ref, tokens).
+
+    Texts hold no placeholder, so the placeholders alone cut a body into its parts; empty text parts are not
+    told from none, and neighbouring text parts are one. The attachments of a conversation are taken in order."""
+    mark = r"<\|(%s)\|>" % "|".join(UNIT_TOKENS)
+    chats = chats.withColumn("_chat", F.monotonically_increasing_id())
+    blocks = F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda b: b != "")
+    turns = chats.select("_chat", "conv_id", "attachments", F.posexplode(blocks).alias("nth", "block"))
+    body = F.substr("block", F.lit(1), F.length("block") - F.lit(len(END) + 1))
+    turns = turns.withColumn("block", body).withColumn("_role", F.substring_index("block", "\n", 1))
+    turns = turns.withColumn("body", F.substr("block", F.length("_role") + 2, F.length("block")))
+    turns = turns.withColumns({"texts": F.split("body", mark, -1), "kinds": F.regexp_extract_all("body", F.lit(mark), F.lit(1))})
+    earlier = Window.partitionBy("_chat").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("before", F.coalesce(F.sum(F.size("kinds")).over(earlier), F.lit(0)))
+    none = F.lit(None).cast("string")
+    parts = F.flatten(F.transform("texts", lambda t, i: F.array(
+        F.struct(F.lit("text").alias("type"), unescape(t).alias("text"), none.alias("ref"), F.lit(None).cast("bigint").alias("tokens")),
+        F.struct(F.get("kinds", i).alias("type"), none.alias("text"),
+                 F.get("attachments", (F.col("before") + i).cast("int"))["ref"].alias("ref"),
+                 F.get("attachments", (F.col("before") + i).cast("int"))["tokens"].alias("tokens")))))
+    real = F.filter(parts, lambda p: p["type"].isNotNull() & ((p["type"] != "text") | (p["text"] != "")))
+    return turns.select("conv_id", "nth", unescape_role(F.col("_role")).alias("role"), real.alias("parts"))
+
+
 def read_loss(formatted: Column, loss_spans: Column) -> Column:
     """Texts under the loss mask, unescaped, in order."""
     return F.transform(loss_spans, lambda s: unescape(
@@ -157,5 +188,5 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(size) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM e) GROUP BY conv_id, alone
 """

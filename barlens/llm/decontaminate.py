@@ -1,7 +1,9 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The items' normalised words form one automaton (in blocks of bounded size, so a
-broadcast never grows past `MAX_BLOCK_WORDS` words). Each document's words run
+The items' normalised words form one automaton, or more where they have over `MAX_BLOCK_WORDS`
+words: items are dealt to blocks of about that size, and a task builds a block's automaton and
+writes it. Blocks then take turns: one is broadcast, the documents pass it, what it
+hits is written, and it is released before the next. Each document's words run
 through it; the length of the longest match that ends at each word shows which
 windows of the items occur. A window is `window` consecutive words of an item; an
 item with fewer words, but not none, is one window.
@@ -22,11 +24,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlens.llm.common import Shared, add_columns, fresh, table
+from barlens.llm.common import add_columns, as_bytes, fresh, materialize, table
 
 # Words of the items in one broadcast automaton: about 100 MB of Python objects.
 MAX_BLOCK_WORDS = 200_000
@@ -188,22 +191,45 @@ def match_texts(texts: list[bytes | None], automata: list[SuffixAutomaton]):
 
 
 def automata_of(benchmark: DataFrame, id_col: str, text_col: str, window: int,
-                block_words: int = MAX_BLOCK_WORDS):
-    """One automaton after the other over the items, each of at most `block_words` words or one item.
+                block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
+    """block, automaton (pickled): the items in blocks of about `block_words` words, each built in a task of its own.
 
-    The items are the stated query set; they stream to the driver block by block.
+    Items are dealt by hash, equal ones once; a single longer item makes its block longer.
     """
-    block, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
-    for item, text in rows.toLocalIterator():
-        words = words_of((text or "").encode())
-        if block and size + len(words) > block_words:
-            yield SuffixAutomaton(block, window)
-            block, size = [], 0
-        block.append((item, words))
-        size += len(words)
-    if block:
-        yield SuffixAutomaton(block, window)
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
+    rows = rows.where("text is not null")
+    words = rows.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+", -1)))).first()[0] or 0
+    blocks = max(1, -(-words // block_words))
+    dealt = rows.distinct().withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+
+    def build(group: pa.Table) -> pa.Table:
+        items = sorted(zip(group.column("item").to_pylist(), group.column("text").to_pylist()))
+        made = SuffixAutomaton([(i, words_of(t.encode())) for i, t in items], window)
+        return pa.table({"block": group.column("block")[:1], "automaton": [cloudpickle.dumps(made)]})
+
+    return dealt.groupBy("block").applyInArrow(build, "block long, automaton binary")
+
+
+FOUND = T.StructType([
+    T.StructField("n_words", T.LongType()),
+    T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))),
+    T.StructField("items", T.ArrayType(T.StringType())),
+])
+_FOUND = pa.struct([("n_words", pa.int64()), ("hit_spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+
+
+def passed(docs: DataFrame, text: str, automaton, name: str, keep: list[str]) -> DataFrame:
+    """`keep` columns of `docs` and the struct `name` of what the broadcast `automaton` (None: no items) finds in each text."""
+    def maker():
+        automata = [] if automaton is None else [cloudpickle.loads(automaton.value)]
+
+        def work(texts):
+            rows = [{"n_words": n, "hit_spans": spans, "items": sorted(items)} for n, spans, items in match_texts(texts, automata)]
+            return [pa.array(rows, type=_FOUND)]
+
+        return work
+
+    return add_columns(docs, text, [T.StructField(name, FOUND)], maker, keep=keep)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id",
@@ -212,48 +238,43 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_i
     """`keep` columns of `docs` (default all) and a struct column, whose name is returned too:
     n_words, hit_spans (merged word ranges, end exclusive) and items (distinct ids, as strings, sorted).
 
-    Each block of items is one narrow pass over the documents; a pass adds its
-    ranges to those of the passes before.
+    With one block of items that is a narrow pass over the documents. With more, each block's pass writes
+    its hits by text, and the documents are joined with the hits of all blocks.
     """
     name = fresh("found", docs.columns)
-    kind = T.StructType([
-        T.StructField("n_words", T.LongType()),
-        T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ])
-    arrow = pa.struct([("n_words", pa.int64()), ("hit_spans", pa.list_(pa.list_(pa.int64()))),
-                       ("items", pa.list_(pa.string()))])
     spark = docs.sparkSession
     kept = list(docs.columns if keep is None else keep)
-    blocks = [Shared(spark, a) for a in automata_of(benchmark, item_id, item_text, window, block_words)]
-    blocks = blocks or [Shared(spark, SuffixAutomaton([], window))]
-    out, names = docs, []
-    for i, block in enumerate(blocks):
-        def maker(block=block):
-            automata = [block.get()]
-
-            def work(texts):
-                rows = [{"n_words": n, "hit_spans": spans, "items": sorted(items)}
-                        for n, spans, items in match_texts(texts, automata)]
-                return [pa.array(rows, type=arrow)]
-
-            return work
-
-        names.append(fresh(f"{name}_{i}", out.columns))
-        columns = (kept if i == len(blocks) - 1 else [*dict.fromkeys([*kept, text])]) + names[:-1]
-        out = add_columns(out, text, [T.StructField(names[-1], kind)], maker, keep=columns)
-    if len(names) == 1:
-        return out.withColumnRenamed(names[0], name), name
-    # Ranges of all blocks, merged: a fold over them in order.
-    spans = F.sort_array(F.flatten(F.array(*[F.col(n)["hit_spans"] for n in names])))
-    union = F.aggregate(spans, F.array().cast("array<array<bigint>>"), lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)[1] >= x[0]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1),
-                 F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1])))),
-    ).otherwise(F.concat(acc, F.array(x))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(n)["items"] for n in names]))))
-    both = F.struct(F.col(names[0])["n_words"].alias("n_words"), union.alias("hit_spans"), items.alias("items"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], both.alias(name)), name
+    stored = materialize(automata_of(benchmark, item_id, item_text, window, block_words), "automata")
+    numbers = sorted(r[0] for r in stored.select("block").collect())
+    load = lambda k: spark.sparkContext.broadcast(bytes(stored.where(F.col("block") == k).first()["automaton"]))
+    if len(numbers) <= 1:
+        return passed(docs, text, load(numbers[0]) if numbers else None, name, kept), name
+    keys = [F.xxhash64("text").alias("key"), F.hash("text").alias("check")]
+    texts = docs.select(F.col(text).alias("text")).where("text is not null")
+    hits = None
+    for k in numbers:
+        block = load(k)
+        found = passed(texts, "text", block, "found", ["text"]).where(F.size("found.items") > 0)
+        found = materialize(found.select(*keys, "found.hit_spans", "found.items").dropDuplicates(["key", "check"]), "hits")
+        block.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    # At most a row a block for each text.
+    hits = hits.groupBy("key", "check").agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"),
+                                            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    other = [c for c in docs.columns if c in kept and c != text]
+    renamed = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in other]).alias("rest"))
+    joined = renamed.withColumns({"key": F.xxhash64("text"), "check": F.hash("text")}).join(hits, ["key", "check"], "left")
+    joined = joined.select("rest", "hit_spans", "items", "text")
+    out = T.StructType([T.StructField("rest", joined.schema["rest"].dataType), T.StructField("text", T.StringType()), T.StructField(name, FOUND)])
+
+    def union(batches):
+        for batch in batches:
+            rows = [{"n_words": len(words_of(t)), "hit_spans": merged(spans or []), "items": items or []} for t, spans, items in zip(
+                as_bytes(batch.column(3)), batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(rows, type=_FOUND)], names=out.names)
+
+    found = joined.mapInArrow(union, out)
+    return found.select(*[F.col("text").alias(text) if c == text else F.col(f"rest.`{c}`") for c in kept], name), name
 
 
 def n_hit(found: str):

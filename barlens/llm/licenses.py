@@ -1,27 +1,32 @@
-"""License scans: MinHash sketches over overlapping windows, then exact shingle containment.
+"""License scans: MinHash bands over overlapping windows, then exact shingle containment.
 
-Templates are license notices. Words are lower-cased runs of letters and digits, shingles
-are five words. A template of L words is looked for in windows of a class W with
-L <= W/2; windows start every W/2 words, so an occurrence lies whole in one of them.
+Templates are license notices and whole license texts. Words are lower-cased runs of letters and
+digits, shingles are five words. A template of L words belongs to the class of the least width W, a
+power of two, with L <= W/2; windows of W words start every W/2 words, so an occurrence lies whole in one of them.
 
 A window's set is its shingles that any template of its class has (no other shingle can
-count for a match, and a window without one is no candidate). Templates are retrieved by a
-sketch of their least MinHash values: so many that a window which lacks all of them lacks
-too many shingles to match. Whatever else stands in a window, no match goes unseen.
-Candidates are then verified: a template matches where at least 80 % of its shingles
-are in the window's full set.
+count for a match, and a window without one is no candidate). Its signature is the least value of
+that set under each of a class's hash functions; each value is a band, and a template is retrieved by a window
+that shares a band with it. Of a window that holds a match of a template, at least `least` of n shingles are
+shared, and the union is at most what fits in the window and what it lacks: that bounds
+the similarity J from below, also where other templates fill the rest, and a class has so many bands b
+that (1 - J)^b, the chance that all of them differ, is at most `MISS`. Candidates are then verified:
+a template matches where at least 80 % of its shingles are in the window's full set.
 
-Everything is DataFrame functions. Windows are made inside a document's row; only those
-with a sketched shingle become rows of their own. The templates' sketches, a few hundred rows
-whose number does not depend on the documents, are broadcast.
+Everything is DataFrame functions. A document's shingles become rows and meet the table of the templates'
+shingles in a join; only those that meet any go on, to one row a window. The templates' tables, whose size does not
+depend on the documents, are left to the planner's size check.
 
 Defined results: a null or empty text, or one with fewer than five words, matches nothing;
 ids may be null or repeat (rows of one id and text share a result); a template found twice
-in a document counts once; ties go by the template's name; extra columns are ignored.
+in a document counts once; ties go by the template's name; extra columns are ignored. A template
+needs five words; none is too long.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +34,9 @@ from barlens.llm.common import table
 
 SHINGLE = 5
 CONTAINMENT = 80  # hundredths
-CLASSES = (32, 128, 512)
+NARROWEST = 16
+# Chance that no band of a window and of a template that it holds agree, at the lowest similarity that a match can have.
+MISS = 0.001
 
 # Notices as the licenses' authors give them.
 TEMPLATES = {
@@ -69,6 +76,118 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "reserved": "Copyright notice. All rights reserved. No part of this work may be reproduced without permission.",
+    # Whole texts.
+    "MIT-full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE."),
+    "MIT-0": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY "
+        "OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+        "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
+        "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "ISC-full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
+        "IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
+        "USE OR PERFORMANCE OF THIS SOFTWARE."),
+    "0BSD": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY "
+        "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA "
+        "OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+        "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+        "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF "
+        "THE POSSIBILITY OF SUCH DAMAGE."),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS "
+        "OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR "
+        "A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+        "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+        "DAMAGE."),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+        "software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject "
+        "to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim "
+        "that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+        "documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as "
+        "such, and must not be misrepresented as being the original software. 3. This notice may not be removed or "
+        "altered from any source distribution."),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, "
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties "
+        "to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software "
+        "and this entire statement, including the above license grant, this restriction and the following disclaimer, "
+        "must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+        "unless such copies or derivative works are solely in the form of machine-executable object code generated by a "
+        "source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON- "
+        "INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the "
+        "author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to "
+        "this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+        "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN "
+        "AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+        "OTHER DEALINGS IN THE SOFTWARE."),
+    "WTFPL": (
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing "
+        "it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS "
+        "FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
+    "PostgreSQL": (
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without "
+        "fee, and without a written agreement is hereby granted, provided that the above copyright notice and this "
+        "paragraph and the following two paragraphs appear in all copies. IN NO EVENT SHALL THE UNIVERSITY OF CALIFORNIA "
+        "BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT, SPECIAL, INCIDENTAL, OR CONSEQUENTIAL DAMAGES, INCLUDING LOST "
+        "PROFITS, ARISING OUT OF THE USE OF THIS SOFTWARE AND ITS DOCUMENTATION, EVEN IF THE UNIVERSITY OF CALIFORNIA HAS "
+        "BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE. THE UNIVERSITY OF CALIFORNIA SPECIFICALLY DISCLAIMS ANY "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE. THE SOFTWARE PROVIDED HEREUNDER IS ON AN \"AS IS\" BASIS, AND THE UNIVERSITY OF CALIFORNIA HAS "
+        "NO OBLIGATIONS TO PROVIDE MAINTENANCE, SUPPORT, UPDATES, ENHANCEMENTS, OR MODIFICATIONS."),
 }
 
 
@@ -84,82 +203,96 @@ def shingle_hashes(words: Column) -> Column:
         *[F.get(words, i + k) for k in range(SHINGLE)])))
 
 
+def width_of(words: int) -> int:
+    """The class of a template of so many words."""
+    return max(NARROWEST, 1 << (2 * words - 1).bit_length())
+
+
+def least_similarity(n: int, width: int, known: int, containment: int = CONTAINMENT) -> float:
+    """Lowest Jaccard similarity of a template of n shingles and a window of its class that holds a match,
+    where the window's set are shingles of the class's `known` ones."""
+    least = max(1, -(-containment * n // 100))
+    held = min(width - SHINGLE + 1, known)
+    return least / (max(held, least) + n - least)
+
+
+def bands_for(similarity: float, miss: float = MISS) -> int:
+    """Bands of one value each of which at least one agrees with a chance of 1 - miss."""
+    return 1 if similarity >= 1 else math.ceil(math.log(miss) / math.log(1 - similarity))
+
+
+def signature(shingles: Column, bands: Column) -> Column:
+    """The least value of a set under each of `bands` hash functions."""
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b))))
+
+
 class Templates:
-    """Templates of each window class: their shingle hashes and the table of their sketches."""
+    """Templates as tables: `shingles` (width, hash), `sets` (template, width, shingles) and `bands` (width, band, value, template).
+
+    `settings`: for each width the number of bands.
+    """
 
-    def __init__(self, spark: SparkSession, texts: dict[str, str] = TEMPLATES, classes=CLASSES):
+    def __init__(self, spark: SparkSession, texts: dict[str, str] = TEMPLATES, containment: int = CONTAINMENT, miss: float = MISS):
         rows = spark.createDataFrame(list(texts.items()), "template string, text string")
-        words = rows.select("template", words_of(F.col("text")).alias("words"))
-        found = words.select("template", F.size("words").alias("n"), F.array_distinct(
-            shingle_hashes(F.col("words"))).alias("shingles")).collect()
-        short = [r["template"] for r in found if r["n"] < SHINGLE or 2 * r["n"] > max(classes)]
+        rows = rows.select("template", words_of(F.col("text")).alias("words"))
+        found = rows.select("template", F.size("words").alias("n"), F.array_distinct(shingle_hashes(F.col("words"))).alias("shingles")).collect()
+        short = [r["template"] for r in found if r["n"] < SHINGLE]
         if short:
-            raise ValueError(f"templates need 5 to {max(classes) // 2} words: {short}")
-        self.spark = spark
-        self.of_class = {w: [] for w in classes}
-        for r in found:
-            self.of_class[min(w for w in classes if 2 * r["n"] <= w)].append(r)
-        self.of_class = {w: x for w, x in self.of_class.items() if x}
-
-    def known(self, width: int) -> list[int]:
-        return sorted({h for r in self.of_class[width] for h in r["shingles"]})
-
-    def sketches(self, containment: int = CONTAINMENT) -> DataFrame:
-        """A row for each shingle of a template's sketch.
-
-        Of n shingles a match has `least` or more, so n - least + 1 of them can't all be missing.
-        """
-        rows = [(w, r["template"], r["shingles"]) for w, found in self.of_class.items() for r in found]
-        table_ = self.spark.createDataFrame(rows, "width int, template string, shingles array<bigint>")
-        n = F.size("shingles")
-        least = F.greatest(F.lit(1), F.ceil(containment * n / 100).cast("int"))
-        ordered = F.array_sort(F.transform("shingles", lambda h: F.struct(F.xxhash64(h, F.lit(0)).alias("rank"), h.alias("value"))))
-        sketch = F.slice(ordered, 1, F.greatest(F.lit(0), n - least + 1))
-        return table_.select("width", "template", "shingles", F.explode(sketch["value"]).alias("value"))
-
-
-def windows(hits: Column, width: int) -> Column:
-    """Windows of `width` words that hold a known shingle: start and distinct shingles.
-
-    `hits`: structs (at, hash) of known shingles by position.
-    """
-    step = width // 2
-    number = lambda x: F.floor(x["at"] / step).cast("int")
-    inside = lambda x, w: (x["at"] >= w * step) & (x["at"] + SHINGLE <= w * step + width)
-    starts = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.array(number(x), number(x) - 1))))
-    whole = F.filter(starts, lambda w: (w >= 0) & F.exists(hits, lambda x: inside(x, w)))
-    return F.transform(whole, lambda w: F.struct(
-        F.lit(width).alias("width"), (w * step).alias("start"),
-        F.array_distinct(F.transform(F.filter(hits, lambda x: inside(x, w)), lambda x: x["hash"])).alias("found")))
+            raise ValueError(f"templates need {SHINGLE} words: {short}")
+        sets = [(r["template"], width_of(r["n"]), r["shingles"]) for r in found]
+        known: dict[int, set[int]] = {}
+        for _, width, own in sets:
+            known.setdefault(width, set()).update(own)
+        self.settings: dict[int, int] = {}
+        for _, width, own in sets:
+            b = bands_for(least_similarity(len(own), width, len(known[width]), containment), miss)
+            self.settings[width] = max(b, self.settings.get(width, 1))
+        self.containment = containment
+        # Rows of the driver's own: they stand in the plan as local tables of a known size.
+        self.shingles = spark.createDataFrame([(w, h) for w, hs in known.items() for h in sorted(hs)], "width int, hash long")
+        self.sets = spark.createDataFrame(sets, "template string, width int, shingles array<long>")
+        self.bands = banded(self.sets, self.settings).select("width", "band", "value", "template")
 
 
-def matches(docs: DataFrame, templates: Templates, *, containment: int = CONTAINMENT) -> DataFrame:
-    """doc_id, text_key, template, start (word from which its window counts) and share of its shingles."""
-    every = sorted({h for w in templates.of_class for h in templates.known(w)})
-    # Each step is a column of its own, and no filter comes between (it would be pushed down with the
-    # expressions in it): a lambda that holds an expression computes it for every element.
+def banded(rows: DataFrame, settings: dict[int, int]) -> DataFrame:
+    """`rows` (width, shingles), one for each band of their class: band, value."""
+    count = F.coalesce(*[F.when(F.col("width") == w, F.lit(b)) for w, b in settings.items()], F.lit(1))
+    return rows.select("*", F.posexplode(signature(F.col("shingles"), count)).alias("band", "value"))
+
+
+def windows(docs: DataFrame, templates: Templates) -> DataFrame:
+    """doc_id, text_key, width, window and shingles (distinct) of every window that holds a known shingle."""
+    # Each step is a column of its own: a lambda that holds an expression computes it for every element.
     rows = docs.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "text_key", shingle_hashes(F.col("words")).alias("hashes"))
-    placed = F.transform("hashes", lambda h, i: F.struct(i.alias("at"), h.alias("hash")))
-    rows = rows.select("doc_id", "text_key", F.filter(placed, lambda x: x["hash"].isin(every)).alias("hits"))
-    own = lambda width: F.filter("hits", lambda x: x["hash"].isin(templates.known(width)))
-    rows = rows.select("doc_id", "text_key", *[own(w).alias(f"hits_{w}") for w in templates.of_class])
-    each = F.concat(*[windows(F.col(f"hits_{w}"), w) for w in templates.of_class])
-    rows = rows.select("doc_id", "text_key", F.explode(each).alias("w"))
-    rows = rows.select("doc_id", "text_key", "w.width", "w.start", "w.found", F.explode("w.found").alias("value"))
-    candidates = rows.join(F.broadcast(templates.sketches(containment)), ["width", "value"])
-    share = 100 * F.size(F.array_intersect("shingles", "found"))
-    good = candidates.where(share >= containment * F.size("shingles"))
+    rows = rows.select("doc_id", "text_key", F.posexplode(shingle_hashes(F.col("words"))).alias("at", "hash"))
+    hits = rows.join(templates.shingles, "hash")
+    step = F.col("width") / 2
+    number = F.floor(F.col("at") / step).cast("int")
+    # A window that starts one step earlier holds the shingle too, if it does not reach over its end.
+    both = F.array(F.when(F.col("at") + SHINGLE <= number * step + F.col("width"), number),
+                   F.when((number > 0) & (F.col("at") + SHINGLE <= (number - 1) * step + F.col("width")), number - 1))
+    placed = hits.select("doc_id", "text_key", "width", "hash", F.explode(both).alias("window")).where("window is not null")
+    return placed.groupBy("doc_id", "text_key", "width", "window").agg(F.collect_set("hash").alias("shingles"))
+
+
+def matches(docs: DataFrame, templates: Templates) -> DataFrame:
+    """doc_id, text_key, template, start (word from which its window counts) and share of its shingles."""
+    found = banded(windows(docs, templates), templates.settings)
+    candidates = found.join(templates.bands, ["width", "band", "value"]).groupBy("doc_id", "text_key", "width", "window", "template").agg(
+        F.first("shingles").alias("found"))
+    pairs = candidates.join(templates.sets.drop("width"), "template")
+    shared = F.size(F.array_intersect("shingles", "found"))
+    good = pairs.select("*", shared.alias("shared")).where(100 * F.col("shared") >= templates.containment * F.size("shingles"))
     return good.groupBy("doc_id", "text_key", "template").agg(
-        F.min("start").alias("start"), F.max(share / F.size("shingles") / 100).alias("share"))
+        F.min(F.col("window") * (F.col("width") / 2).cast("int")).alias("start"),
+        F.max(F.col("shared") / F.size("shingles")).alias("share"))
 
 
-def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: Templates | None = None,
-           containment: int = CONTAINMENT) -> DataFrame:
+def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: Templates | None = None) -> DataFrame:
     """One row a document: n_templates and found (template, start, share by name)."""
     templates = templates or Templates(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    found = matches(rows, templates, containment=containment).groupBy("doc_id", "text_key").agg(
+    found = matches(rows, templates).groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_list(F.struct("template", "start", "share"))).alias("found"))
     found = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "found")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))

@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -239,9 +241,16 @@ def found_spans(docs: DataFrame) -> DataFrame:
             text = (text or b"").decode()
             out = [{"kind": k, "start": lo, "stop": hi, "base": ok, "pattern": votes_and_features(text, k, lo, hi, ok)}
                    for k, lo, hi, ok in candidates(text)]
-            # A looser candidate that meets a base span is that span.
-            taken = [(x["start"], x["stop"]) for x in out if x["base"]]
-            return [x for x in out if x["kind"] < 4 or not any(a < x["stop"] and x["start"] < b for a, b in taken)]
+            # A looser candidate that meets a base span is that span. Base spans by start, with the furthest
+            # end of those up to each: one search a candidate.
+            taken = sorted((x["start"], x["stop"]) for x in out if x["base"])
+            starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+
+            def apart(x):
+                before = bisect_left(starts, x["stop"])
+                return before == 0 or reach[before - 1] <= x["start"]
+
+            return [x for x in out if x["kind"] < 4 or apart(x)]
 
         return lambda texts: [pa.array([spans(t) for t in texts], type=kind)]
 

@@ -7,8 +7,10 @@ document stays. Two base rules reject a document before that: fewer than
 `min_words` words, or over half of the words in repeated 3-word windows.
 
 The CRF is trained on at most `MAX_TRAIN_DOCS` labelled documents (those with the
-smallest hash of the id): lines of documents of quality 1 count as content, of
-quality 0 as boilerplate. Only counts and weights reach the driver.
+smallest hash of the id), `MAX_SEGMENTS` segments of each: lines of documents of quality 1
+count as content, of quality 0 as boilerplate. Half of the training sequences change their
+label once, the start of a segment of one kind before the end of one of the other, so that the weights of changes are learnt from changes.
+One task fits the model on that bounded sample; only its weights reach the driver.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null id is kept as it is and never used for training; labels that are null or
@@ -23,6 +25,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +37,8 @@ MIN_WORDS = 50
 MIN_CONTENT_SHARE = 0.5
 # A training sequence; longer documents give several.
 SEGMENT_LINES = 16
+# Segments of a document that are trained on, spread evenly over it.
+MAX_SEGMENTS = 8
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
@@ -158,7 +163,7 @@ def content_share(m: Measured, model: dict | None) -> float:
 def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 100, ridge: float = 1.0) -> dict | None:
     """CRF weights by full-batch gradient ascent on the log-likelihood (Adam), all sequences at once.
 
-    `sequences`: (line features, line labels) of at most SEGMENT_LINES lines each.
+    `sequences`: (line features, line labels) of at most 2 * SEGMENT_LINES lines each.
     """
     if len({int(y) for _, labels in sequences for y in labels}) < 2:
         return None
@@ -172,7 +177,7 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 100, ridge:
     truth = np.eye(2)[labels] * mask[..., None]
     # Both kinds weigh alike, however rare one is among the labelled lines.
     share = truth.sum(axis=(0, 1)) / mask.sum()
-    weight = (0.5 / share)[labels[:, 0]]
+    weight = ((0.5 / share)[labels] * mask).sum(axis=1) / mask.sum(axis=1)
     emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (emit, move)]
     total, flat = (mask * weight[:, None]).sum(), features.ravel()
@@ -214,22 +219,53 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     each = [bounded_sample(wanted.where(F.col("sample_label") == y), "sample_id", max_docs // 2) for y in (0, 1)]
     sample = F.broadcast(each[0].unionByName(each[1]))
     rows = docs.select(F.col(doc_id).alias("sample_id"), F.col(text).alias("sample_text")).join(sample, "sample_id")
-    kind = pa.list_(pa.list_(pa.int16()))
+    kind = pa.list_(pa.list_(pa.list_(pa.int16())))
 
     def maker():
-        return lambda texts: [pa.array([measure(t).features.tolist() for t in texts], type=kind)]
+        return lambda texts: [pa.array([[p.tolist() for p in segments(measure(t).features)] for t in texts], type=kind)]
 
-    field = T.StructField("line_features", T.ArrayType(T.ArrayType(T.ShortType())))
+    field = T.StructField("segments", T.ArrayType(T.ArrayType(T.ArrayType(T.ShortType()))))
     found = add_columns(rows, "sample_text", [field], maker, keep=["sample_id", "sample_label"])
-    # An id that several rows share must not widen the sample.
-    found = found.dropDuplicates(["sample_id"]).orderBy("sample_id").limit(max_docs)
-    sequences = []
-    for _, label, lines in found.collect():
-        x = np.array(lines, dtype=np.int64).reshape(len(lines), len(BINS))
-        for lo in range(0, len(x), SEGMENT_LINES):
-            part = x[lo:lo + SEGMENT_LINES]
-            sequences.append((part, np.full(len(part), label)))
-    return fit(sequences)
+    # An id that several rows share must not widen the sample: of its rows the one with the least segments counts.
+    found = found.groupBy("sample_id").agg(F.min(F.struct("segments", "sample_label")).alias("x"))
+    found = found.orderBy("sample_id").limit(max_docs).select("x.segments", "x.sample_label")
+
+    def fitted(batches):
+        parts = [(np.array(lines, dtype=np.int64).reshape(len(lines), len(BINS)), label) for batch in batches
+                 for own, label in zip(*(c.to_pylist() for c in batch.columns)) for lines in own]
+        yield pa.RecordBatch.from_pydict({"model": [cloudpickle.dumps(fit(training_sequences(parts)))]})
+
+    model = found.coalesce(1).mapInArrow(fitted, "model binary").first()
+    return None if model is None else cloudpickle.loads(model[0])
+
+
+def segments(features: np.ndarray) -> list[np.ndarray]:
+    """At most `MAX_SEGMENTS` runs of at most `SEGMENT_LINES` lines of a document, spread evenly."""
+    starts = range(0, len(features), SEGMENT_LINES)
+    chosen = sorted({round(k * (len(starts) - 1) / max(1, MAX_SEGMENTS - 1)) for k in range(MAX_SEGMENTS)}) if len(starts) > MAX_SEGMENTS \
+        else range(len(starts))
+    return [features[starts[k]:starts[k] + SEGMENT_LINES] for k in chosen]
+
+
+def training_sequences(parts: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) of every segment, and as many that change their label once, either way in turn.
+
+    A changing one is the start of a segment and the end of one of the other label, cut at every share of it in turn."""
+    out = [(x, np.full(len(x), label)) for x, label in parts]
+    of = {y: [x for x, label in parts if label == y] for y in (0, 1)}
+    if not of[0] or not of[1]:
+        return out
+    seen = [0, 0]
+    for x, label in parts:
+        i = seen[label]
+        seen[label] += 1
+        others = of[1 - label]
+        other = others[i * 7919 % len(others)]
+        a, b = 1 + i % max(1, len(x)), 1 + (i // 2) % max(1, len(other))
+        first, last = (x[:a], other[-b:]) if i % 2 else (other[:b], x[-a:])
+        kinds = (label, 1 - label) if i % 2 else (1 - label, label)
+        out.append((np.concatenate([first, last])[:2 * SEGMENT_LINES], np.repeat(kinds, (len(first), len(last)))))
+    return out
 
 
 FIELDS = [
