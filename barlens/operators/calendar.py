@@ -132,10 +132,12 @@ def q36_monthly_consistency(bars: DataFrame) -> DataFrame:
     m = bars.groupBy(F.col("IndexName").alias("Index"), year_of().alias("TradingYear"),
                      month_of().alias("MonthNumber")).agg(exact_avg("ClosePrice").alias("AvgMonthlyClose"))
     w = Window.partitionBy("Index").orderBy("TradingYear", "MonthNumber")
-    m = m.withColumn("_prev", F.lag("AvgMonthlyClose").over(w))
+    # Months come in order, so an index's years are counted where the year changes: no distinct count.
+    starts = F.col("TradingYear").isNotNull() & ~F.lag("TradingYear").over(w).eqNullSafe(F.col("TradingYear"))
+    m = m.withColumns({"_prev": F.lag("AvgMonthlyClose").over(w), "_starts": starts.cast("bigint")})
     ret = (F.col("AvgMonthlyClose") - F.col("_prev")) * F.lit(100.0) / F.nullif(F.col("_prev"), F.lit(0.0))
     return (m.groupBy("Index")
-            .agg(F.countDistinct("TradingYear").alias("Number_of_Years"),
+            .agg(F.sum("_starts").alias("Number_of_Years"),
                  F.count("AvgMonthlyClose").alias("Total_Months"),
                  F.avg(ret).alias("Average_Monthly_Return"),
                  F.max("AvgMonthlyClose").alias("Highest_Monthly_Average"),

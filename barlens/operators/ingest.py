@@ -6,10 +6,11 @@ one DataFrame over all tickers:
 
 e01 high-water mark per ticker (one grouped max), e02 next start date, e03
 conform the feed (rename, label by the market dimension; rows that cannot be
-loaded come out of ``e03_rejects`` with the reason), e04 keep feed rows on or
-after each ticker's start, e05 stack them under the loaded rows, e06 profile
-(rows, columns, NULLs, repeated rows, in one shuffle), e07 append only unknown
-(TradeDate, Ticker) keys with a dense surrogate key. Running the load twice adds
+loaded come out of ``e03_rejects`` with the reason; ``e03_flatten`` for the vendor's
+two-level columns), e04 keep feed rows on or after each ticker's start, e05 stack them
+under the loaded rows, e06 profile (rows, columns, types, NULLs, repeated rows by their
+hashes), e07 append only unknown (TradeDate, Ticker) keys with a dense surrogate key
+(``append.append_checked`` fails the whole batch instead). Running the load twice adds
 nothing, so a retried or restarted job cannot double rows.
 """
 
@@ -19,9 +20,11 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlens.operators.ranking import with_cumulative
 from barlens.schema import BAR_COLUMNS, FEED_RENAMES
+from barlens.sources.files import write_once
 
 KEY = ["TradeDate", "Ticker"]
 
@@ -67,6 +70,29 @@ def e03_rejects(feed: DataFrame, markets: DataFrame) -> DataFrame:
     return _labelled(feed, markets).filter(F.col("Reason").isNotNull()).select(*BAR_COLUMNS, "Reason")
 
 
+def e03_flatten(wide: DataFrame, date: str = "Date") -> DataFrame:
+    """The vendor's two-level columns (field, then ticker) as feed rows.
+
+    ``wide`` has the date and a struct column a field, with one member a ticker. Each row
+    becomes one row a ticker in one pass, whatever the number of tickers; a ticker that has
+    no value on a date has no row. A ticker that a field lacks has NULL there."""
+    fields = [f for f in wide.schema.fields if isinstance(f.dataType, T.StructType)]
+    members = {f.name: set(f.dataType.names) for f in fields}
+    tickers = sorted(set().union(*members.values()))
+    kinds = {f.name: f.dataType.fields[0].dataType for f in fields}
+    if not tickers:
+        raise ValueError("no two-level column")
+
+    def value(field: str, ticker: str):
+        if ticker not in members[field]:
+            return F.lit(None).cast(kinds[field])
+        return F.col(f"`{field}`").getField(ticker)
+
+    rows = F.array(*[F.struct(F.lit(t).alias("Ticker"), *[value(f, t).alias(f) for f in members]) for t in tickers])
+    out = wide.select(F.col(f"`{date}`").alias(date), F.inline(rows))
+    return out.filter(F.coalesce(*[F.col(f"`{f}`").cast("string") for f in members]).isNotNull())
+
+
 def e04_incremental_rows(feed: DataFrame, loaded: DataFrame, markets: DataFrame,
                          default_start: _dt.date, marks: DataFrame | None = None) -> DataFrame:
     """Conformed feed rows on or after each ticker's start date.
@@ -91,19 +117,29 @@ def e05_union(*frames: DataFrame) -> DataFrame:
     return out
 
 
+SQL_TYPES = {"string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "int": "INTEGER"}
+
+
 def e06_profile(df: DataFrame) -> DataFrame:
-    """Rows, columns, NULLs per column and repeated full rows (all but the first).
+    """Rows, columns, the type of each column, NULLs per column and repeated full rows (all but the first).
 
-    One shuffle: rows are grouped by all columns with a map-side partial count
-    (a heavily repeated row collapses before the shuffle), then one global sum.
+    Repeated rows are looked for by a hash of the whole row: only the hashes (8 bytes a row) are
+    shuffled, those met twice are written, and the rows that have one of them are grouped by all
+    columns, which makes the count exact. Where few rows repeat, the hashes' table is small
+    enough for the planner to broadcast, and no other row leaves its task.
     """
     cols = df.columns
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
-    return g.agg(F.sum("_c").alias("Total_Rows"),
-                 F.lit(len(cols)).alias("Total_Columns"),
-                 *[F.sum(F.when(F.col(c).isNull(), F.col("_c")).otherwise(F.lit(0))).alias(f"null_{c}")
-                   for c in cols],
-                 F.sum(F.col("_c") - 1).alias("Duplicated_Rows"))
+    mark = F.xxhash64(*cols)
+    hashes = df.select(mark.alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_c"))
+    met = write_once(hashes.filter(F.col("_c") > 1).select("_hash"), "repeated")
+    again = df.withColumn("_hash", mark).join(met, "_hash", "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    repeated = F.coalesce(again.agg(F.sum(F.col("_c") - 1)).scalar(), F.lit(0))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    counts = df.agg(F.count(F.lit(1)).alias("Total_Rows"),
+                    *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cols])
+    return counts.select("Total_Rows", F.lit(len(cols)).alias("Total_Columns"),
+                         *[F.lit(SQL_TYPES.get(k, k.upper())).alias(f"type_{c}") for c, k in kinds.items()],
+                         *[f"null_{c}" for c in cols], repeated.alias("Duplicated_Rows"))
 
 
 def with_price_id(df: DataFrame, start: int = 0) -> DataFrame:
@@ -116,8 +152,8 @@ def with_price_id(df: DataFrame, start: int = 0) -> DataFrame:
     """
     block = F.struct("Ticker", F.year("TradeDate").alias("y"))
     rows = df.withColumn("_block", block)
-    blocks = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = with_cumulative(blocks, "_block", "_n", "_off").select("_block", "_off")
+    blocks = write_once(rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")), "blocks")
+    offsets = with_cumulative(blocks, "_block", "_n", "_off")[0].select("_block", "_off")
     inner = Window.partitionBy("_block").orderBy("TradeDate")
     return (rows.join(offsets, "_block")
             .withColumn("PriceID", (F.lit(start) + F.col("_off") + F.row_number().over(inner)).cast("bigint"))

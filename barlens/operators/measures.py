@@ -8,8 +8,10 @@ ticker's last trading date.
 Most measures read one per-market table (``market_table``): the per-row returns,
 20-row volatility and year-to-date return are computed once with series windows,
 then one grouped aggregate (partial + final, so a large ticker collapses map-side)
-gives one row per market. Rankings over markets (percent_rank, ntile, rank) run
-over that table, dealt to value ranges (``ranking``): no task gets all markets.
+gives one row per market. Measures that rank markets (d03, d10, d14, d16-d18) write
+that table once, when they are built, and read it from there; the rankings
+(percent_rank, ntile, rank) are dealt to value ranges (``ranking``): no task gets
+all markets.
 
 Measures of the market table take the slicers of d21 (``slicer=``): tickers and
 countries cut before the series windows, dates after them, so the first return of
@@ -27,8 +29,9 @@ from barlens.functions.dates import month_of, quarter_of, year_of
 from barlens.functions.numeric import exact_avg, safe_div, to_double
 from barlens.operators.procedures import between_dates
 from barlens.operators.ranking import with_percent_ranks, with_rank, with_row_number
-from barlens.operators.windows import with_frames, with_frames_between, with_lag
+from barlens.operators.windows import with_block_stddev, with_frames, with_frames_between, with_lag
 from barlens.sources.bars import date_columns
+from barlens.sources.files import write_once
 
 # Fixed default weights of the composite score: returns, (low) volatility,
 # liquidity, trading activity.
@@ -107,18 +110,24 @@ def slice_bars(bars: DataFrame, markets: DataFrame | None = None, tickers: list[
 def d01_kpis(bars: DataFrame, markets: DataFrame) -> DataFrame:
     """Total Countries, Trading Days, Highest/Lowest/Average Index Level, Total Volume.
 
-    Rows are aggregated to (date, country) first; the distinct counts run over that
-    small table."""
+    Rows are aggregated to (country, month) first, with the days that have a row as bits of one
+    number: masks of the countries merge by OR, and a month's distinct days are its bits. No
+    date is shuffled or expanded for the distinct count."""
     b = bars.join(markets.select("Ticker", "Country"), "Ticker", "left")
-    days = b.groupBy("TradeDate", "Country").agg(
+    months = b.groupBy("Country", year_of().alias("_y"), month_of().alias("_m")).agg(
+        F.bit_or(F.expr("shiftleft(1L, day(TradeDate))")).alias("_days"),
         F.max("ClosePrice").alias("_high"), F.min("ClosePrice").alias("_low"), F.sum("ClosePrice").alias("_sum"),
         F.count("ClosePrice").alias("_n"), F.sum("Volume").alias("_volume"))
-    return days.agg(F.countDistinct("Country").alias("Total_Countries"),
-                    F.countDistinct("TradeDate").alias("Trading_Days"),
-                    F.max("_high").alias("Highest_Index_Level"),
-                    F.min("_low").alias("Lowest_Index_Level"),
-                    (F.sum("_sum").cast("double") / F.nullif(F.sum("_n"), F.lit(0))).alias("Average_Index_Level"),
-                    F.sum("_volume").alias("Total_Volume"))
+    merged = months.groupBy("_y", "_m").agg(
+        F.bit_count(F.bit_or("_days")).alias("_days"), F.collect_set("Country").alias("_countries"),
+        F.max("_high").alias("_high"), F.min("_low").alias("_low"), F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"),
+        F.sum("_volume").alias("_volume"))
+    return merged.agg(F.size(F.array_distinct(F.flatten(F.collect_set("_countries")))).cast("bigint").alias("Total_Countries"),
+                      F.coalesce(F.sum("_days"), F.lit(0)).cast("bigint").alias("Trading_Days"),
+                      F.max("_high").alias("Highest_Index_Level"),
+                      F.min("_low").alias("Lowest_Index_Level"),
+                      (F.sum("_sum").cast("double") / F.nullif(F.sum("_n"), F.lit(0))).alias("Average_Index_Level"),
+                      F.sum("_volume").alias("Total_Volume"))
 
 
 def d02_market_trend(bars: DataFrame) -> DataFrame:
@@ -136,11 +145,10 @@ def _flag_rows(mt: DataFrame, flags: list[tuple[str, F.Column]]) -> DataFrame:
 def d03_best_worst(bars: DataFrame, strategy=None, **sliced) -> DataFrame:
     """Best and worst market by latest YTD return (ties kept): those equal to the
     greatest and the least, two numbers."""
-    mt = market_table(bars, strategy, **sliced)
-    ends = mt.withColumns({"_top": mt.agg(F.max("YTD_Return")).scalar(), "_low": mt.agg(F.min("YTD_Return")).scalar()})
-    ends = ends.filter((F.col("YTD_Return") == F.col("_top")) | (F.col("YTD_Return") == F.col("_low")))
-    out = _flag_rows(ends, [("Best", F.col("YTD_Return") == F.col("_top")),
-                            ("Worst", F.col("YTD_Return") == F.col("_low"))])
+    mt = write_once(market_table(bars, strategy, **sliced).select("Ticker", "IndexName", "YTD_Return"), "markets")
+    ends = mt.agg(F.max("YTD_Return"), F.min("YTD_Return")).first()
+    top, low = (F.col("YTD_Return") == F.lit(v).cast("double") for v in ends)
+    out = _flag_rows(mt.filter(top | low), [("Best", top), ("Worst", low)])
     return out.select("Category", "Ticker", "IndexName", "YTD_Return")
 
 
@@ -190,20 +198,28 @@ def d09_volume_share(bars: DataFrame) -> DataFrame:
 
 def d10_liquidity(bars: DataFrame) -> DataFrame:
     """Liquidity rating: terciles of average volume (days with volume), High to Low."""
-    v = d08_volume_kpis(bars)
-    n = v.agg(F.count(F.lit(1))).scalar()
+    v = write_once(d08_volume_kpis(bars), "volumes")
     order = [F.col("Average_Volume").isNull(), -F.col("Average_Volume"), F.col("Ticker"), F.col("IndexName")]
-    v = with_row_number(v, order, "_place")
+    v, n = with_row_number(v, order, "_place")
     # NTILE(3): the first n mod 3 tiers have one row more.
-    long = (F.floor(n / 3) + 1) * (n % 3)
-    tier = F.when(F.col("_place") <= long, F.ceil(F.col("_place") / (F.floor(n / 3) + 1))).otherwise(
-        (n % 3) + F.ceil((F.col("_place") - long) / F.greatest(F.floor(n / 3), F.lit(1))))
+    short, more = divmod(n, 3)
+    long = (short + 1) * more
+    tier = F.when(F.col("_place") <= long, F.ceil(F.col("_place") / (short + 1))).otherwise(
+        more + F.ceil((F.col("_place") - long) / max(short, 1)))
     v = v.withColumn("Liquidity_Tier", tier.cast("int"))
     label = F.when(F.col("Liquidity_Tier") == 1, LIQUIDITY_LABELS[1]) \
         .when(F.col("Liquidity_Tier") == 2, LIQUIDITY_LABELS[2]).otherwise(LIQUIDITY_LABELS[3])
     return v.select("Ticker", "IndexName", "Average_Volume", "Liquidity_Tier", label.alias("Liquidity_Rating"))
 
 
+def rolling_volatility(bars: DataFrame, rows: int) -> DataFrame:
+    """d11 for long frames: the same columns over the last ``rows`` rows, at a cost per row that they don't change."""
+    d = with_lag(bars, "Ticker", "TradeDate", "ClosePrice", "_prev")
+    d = d.withColumn("Daily_Return", safe_div("ClosePrice", "_prev") - F.lit(1.0))
+    d = with_block_stddev(d, "Ticker", "TradeDate", "Daily_Return", rows, "Rolling_Volatility")
+    return d.select("TradeDate", "Ticker", "IndexName", "Daily_Return", "Rolling_Volatility")
+
+
 def d11_rolling_vol20(bars: DataFrame, strategy=None, start=None, end=None) -> DataFrame:
     """Per row: r and the sample standard deviation of r over the last 20 rows (not annualised).
 
@@ -233,7 +249,7 @@ def d13_risk_table(bars: DataFrame, strategy=None, **sliced) -> DataFrame:
 
 def _percent_ranks(mt: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Percent ranks among markets (NULLs first) of several columns in one go."""
-    keyed = mt.withColumn("_market", F.struct("Ticker", "IndexName"))
+    keyed = write_once(mt, "markets").withColumn("_market", F.struct("Ticker", "IndexName"))
     return with_percent_ranks(keyed, "_market", columns).drop("_market")
 
 
@@ -275,7 +291,8 @@ def d16_composite(bars: DataFrame, weights: tuple = COMPOSITE_WEIGHTS, strategy=
 
 def d17_ranking(bars: DataFrame, weights: tuple = COMPOSITE_WEIGHTS, strategy=None, **sliced) -> DataFrame:
     """Rank of markets by composite score (ties share a rank)."""
-    c = d16_composite(bars, weights, strategy, **sliced).withColumn("_market", F.struct("Ticker", "IndexName"))
+    c = write_once(d16_composite(bars, weights, strategy, **sliced).select("Ticker", "IndexName", "Composite_Score"), "scores")
+    c = c.withColumn("_market", F.struct("Ticker", "IndexName"))
     return with_rank(c, "_market", "Composite_Score", "Market_Rank").select(
         "Ticker", "IndexName", "Composite_Score", "Market_Rank")
 

@@ -1,17 +1,20 @@
 """Ranks over a whole table without sending it to one task.
 
 Rows are dealt to value ranges whose bounds come from a bounded sample, counted
-per range, and numbered inside their range; the ranges' counts (at most
-``BOUNDS`` + 1 numbers) give the offsets. All of it is one declarative plan:
-bounds and offsets are scalar subqueries, nothing runs when a DataFrame is built.
+per range, and numbered inside their range. The bounds (at most ``BOUNDS`` keys) and
+the ranges' counts (at most ``BOUNDS`` + 1 numbers) are read when the DataFrame is
+built, by two small jobs, and stand in the plan as constants; so the plan holds its
+input once or twice, not once for every number it needs. Each function reads its
+input a few times: pass a stored table (``sources.write_once``).
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from barlens.operators.windows import join_null_safe
+from pyspark.sql import types as T
 
 # Bounds of the value ranges: a sample of this many keys, the same in every run.
 BOUNDS = 255
@@ -19,32 +22,31 @@ BOUNDS = 255
 
 def _with_range(keys: DataFrame, key: str) -> DataFrame:
     """Adds ``_range``: the number of the value range that a row's key lies in."""
-    sample = keys.select(key).orderBy(F.xxhash64(key), key).limit(BOUNDS)
-    bounds = sample.agg(F.array_sort(F.collect_list(key))).scalar()
-    number = F.size(F.filter("_bounds", lambda b: b < F.col(key)))
-    return keys.withColumn("_bounds", bounds).withColumn("_range", number).drop("_bounds")
+    sample = keys.select(F.struct(F.col(key).alias("k")).alias("s")).orderBy(F.xxhash64("s"), "s").limit(BOUNDS)
+    found = sample.agg(F.to_json(F.array_sort(F.collect_list("s")))).first()[0]
+    kind = T.ArrayType(T.StructType([T.StructField("k", keys.schema[key].dataType)]))
+    return keys.withColumn("_range", F.size(F.filter(F.from_json(F.lit(found), kind), lambda b: b["k"] < F.col(key))))
 
 
-def with_cumulative(keys: DataFrame, key: str, count: str, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``count`` over all rows with a smaller ``key``.
+def with_cumulative(keys: DataFrame, key: str, count: str, out: str) -> tuple[DataFrame, int]:
+    """Adds ``out``: the sum of ``count`` over all rows with a smaller ``key``; and the whole sum.
 
     ``key`` must be unique and not NULL (a struct may hold NULLs; they come first).
     """
     ranged = _with_range(keys, key)
-    per_range = ranged.groupBy("_range").agg(F.sum(count).alias("n"))
-    offsets = per_range.agg(F.collect_list(F.struct("_range", "n"))).scalar()
-    before = F.aggregate(F.filter("_offsets", lambda r: r["_range"] < F.col("_range")), F.lit(0).cast("bigint"),
-                         lambda acc, r: acc + r["n"])
+    found = dict(ranged.groupBy("_range").agg(F.sum(count)).collect())
+    sums = list(accumulate((found.get(i, 0) for i in range(BOUNDS + 1)), initial=0))
+    before = F.get(F.from_json(F.lit(str(sums)), "array<bigint>"), F.col("_range"))
     inner = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("_inner", F.coalesce(F.sum(count).over(inner), F.lit(0))).withColumn("_offsets", offsets)
-    return placed.withColumn(out, (before + F.col("_inner")).cast("bigint")).drop("_range", "_inner", "_offsets")
+    inside = F.coalesce(F.sum(count).over(inner), F.lit(0))
+    return ranged.withColumn(out, (before + inside).cast("bigint")).drop("_range"), sums[-1]
 
 
-def with_row_number(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """ROW_NUMBER() OVER (ORDER BY order) for an order that is unique for each row; NULLs first."""
+def with_row_number(df: DataFrame, order: list[Column], out: str) -> tuple[DataFrame, int]:
+    """ROW_NUMBER() OVER (ORDER BY order) for an order that is unique for each row, NULLs first; and the number of rows."""
     keyed = df.withColumn("_key", F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]))
-    placed = with_cumulative(keyed.withColumn("_one", F.lit(1).cast("bigint")), "_key", "_one", out)
-    return placed.withColumn(out, F.col(out) + 1).drop("_key", "_one")
+    placed, total = with_cumulative(keyed.withColumn("_one", F.lit(1).cast("bigint")), "_key", "_one", out)
+    return placed.withColumn(out, F.col(out) + 1).drop("_key", "_one"), total
 
 
 def with_percent_ranks(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
@@ -54,35 +56,28 @@ def with_percent_ranks(df: DataFrame, key: str, columns: dict[str, str]) -> Data
     counted by (column, value), and the count of smaller values is joined back, once for
     all, so rows of one value cost a row of the counted table however many they are.
     """
-    smaller = _smaller_counts(df, key, columns)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    joined = join_null_safe(df, smaller, [key])
-    share = [F.when(total > 1, F.col(f"_smaller_{o}") / (total - 1)).otherwise(F.lit(0.0)).alias(o) for o in columns]
+    joined, total = _with_smaller(df, key, {o: F.col(c) for o, c in columns.items()})
+    share = [(F.col(f"_smaller_{o}") / F.lit(float(max(total - 1, 1)))).alias(o) for o in columns]
     return joined.select(*df.columns, *share)
 
 
 def with_rank(df: DataFrame, key: str, column: str, out: str) -> DataFrame:
     """Adds RANK() OVER (ORDER BY column DESC); NULLs last."""
-    flipped = df.withColumn("_down", -F.col(column))
-    total_null = F.col("_down").isNull()
-    smaller = _smaller_counts(flipped, key, {out: "_down"})
-    nulls = flipped.agg(F.sum(total_null.cast("bigint"))).scalar()
-    total = flipped.agg(F.count(F.lit(1))).scalar()
-    joined = join_null_safe(flipped, smaller, [key])
-    # NULLs sort first among the flipped values: they are taken off, and come last themselves.
-    rank = F.when(total_null, total - nulls + 1).otherwise(F.col(f"_smaller_{out}") - nulls + 1)
-    return joined.select(*df.columns, rank.cast("int").alias(out))
-
-
-def _smaller_counts(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """key and, for each output, the number of rows whose value is smaller (NULLs are the smallest)."""
-    outs = list(columns)
-    stacked = df.select(key, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("c"), F.col(columns[o]).cast("double").alias("v")) for i, o in enumerate(outs)])).alias("_key"))
+    joined, _ = _with_smaller(df, key, {out: -F.col(column)}, nulls_last=True)
+    return joined.select(*df.columns, (F.col(f"_smaller_{out}") + 1).cast("int").alias(out))
+
+
+def _with_smaller(df: DataFrame, key: str, values: dict[str, Column], nulls_last: bool = False) -> tuple[DataFrame, int]:
+    """Adds for each output the number of rows whose value is smaller; and the number of rows."""
+    parts = [F.struct(F.lit(i).alias("c"), (v.isNull() & F.lit(nulls_last)).alias("z"), v.cast("double").alias("v"))
+             for i, v in enumerate(values.values())]
+    stacked = df.select(F.struct(*df.columns).alias("_row"), F.explode(F.array(*parts)).alias("_key"))
     counts = stacked.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    below = with_cumulative(counts, "_key", "_n", "_below").select("_key", "_below")
+    below, total = with_cumulative(counts, "_key", "_n", "_below")
     # Counts run over all columns, one after the other; each column has as many rows as df.
-    total = df.agg(F.count(F.lit(1))).scalar()
-    placed = stacked.join(below, "_key").withColumn("_below", F.col("_below") - F.col("_key.c") * total)
-    picks = [F.max(F.when(F.col("_key.c") == i, F.col("_below"))).alias(f"_smaller_{o}") for i, o in enumerate(outs)]
-    return placed.groupBy(key).agg(*picks)
+    total //= len(values)
+    placed = stacked.join(below.select("_key", "_below"), "_key").withColumn(
+        "_below", F.col("_below") - F.col("_key.c") * F.lit(total))
+    picks = [F.max(F.when(F.col("_key.c") == i, F.col("_below"))).alias(f"_smaller_{o}") for i, o in enumerate(values)]
+    back = placed.groupBy(F.col(f"_row.{key}").alias("_of")).agg(F.first("_row").alias("_row"), *picks)
+    return back.select("_row.*", *[f"_smaller_{o}" for o in values]), total

@@ -23,8 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from barlens.functions.numeric import exact_avg, int_avg
+from pyspark.sql import types as T
 
 BLOCK = "_blk"
 TIE_BREAK = "Ticker"
@@ -114,26 +113,71 @@ def with_running(df: DataFrame, part, order: str, specs: dict, frame: str = "row
 
 
 # ----------------------------------------------------------------------- sliding
-def _slide_expr(kind: str, col: str, w) -> Column:
-    if kind == "avg":
-        return exact_avg(col, w)
-    if kind == "int_avg":
-        return int_avg(col, w)
-    if kind == "stddev":
-        return F.stddev_samp(col).over(w)
-    if kind == "lag":
-        return F.lag(col).over(w)
-    raise ValueError(kind)
+def with_slides(df: DataFrame, outs: dict, w) -> DataFrame:
+    """The columns of ``with_sliding`` over a given window.
 
+    Exact kinds (avg, int_avg) cost the same whatever the frame's length: the running sum and
+    count of the series, less their values n rows back. Sums are decimals, so the difference
+    is exact, and all frames over one column share its running columns. ``stddev`` adds
+    up doubles, which no difference gives back exactly: its frame is the window's own.
+    """
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    exact = sorted({spec[1] for spec in outs.values() if spec[0] in ("avg", "int_avg")})
+    whole = {c for c in exact if not isinstance(df.schema[c].dataType, T.DecimalType)}
+    runs = []
+    for i, c in enumerate(exact):
+        x = F.col(c).cast(T.DecimalType(38, 0)) if c in whole else F.col(c)
+        runs += [F.coalesce(F.sum(x).over(run), F.lit(0)).alias(f"_sum_{i}"), F.count(c).over(run).alias(f"_count_{i}")]
+    d = df.select("*", *runs)
+
+    def within(name: str, n: int) -> Column:
+        return F.col(name) - F.coalesce(F.lag(name, n).over(w), F.lit(0))
 
-def with_slides(df: DataFrame, outs: dict, w) -> DataFrame:
-    """The columns of ``with_sliding`` over a given window."""
     cols = []
     for o, spec in outs.items():
-        kind, col = spec[0], spec[1]
-        n = spec[2] if len(spec) > 2 else None
-        cols.append(_slide_expr(kind, col, w if kind == "lag" else w.rowsBetween(-(n - 1), 0)).alias(o))
-    return df.select("*", *cols)
+        kind, col, n = spec[0], spec[1], spec[2] if len(spec) > 2 else None
+        if kind in ("avg", "int_avg"):
+            i = exact.index(col)
+            total, count = within(f"_sum_{i}", n), F.nullif(within(f"_count_{i}", n), F.lit(0))
+            cols.append((total.cast("double") / count if kind == "avg"
+                         else F.call_function("div", total.cast("bigint"), count)).alias(o))
+        elif kind == "stddev":
+            cols.append(F.stddev_samp(col).over(w.rowsBetween(-(n - 1), 0)).alias(o))
+        elif kind == "lag":
+            cols.append(F.lag(col).over(w).alias(o))
+        else:
+            raise ValueError(kind)
+    return d.select(*df.columns, *cols)
+
+
+def with_block_stddev(df: DataFrame, part, order: str, col: str, n: int, out: str) -> DataFrame:
+    """Adds ``out``: STDDEV_SAMP(col) over ROWS n-1 PRECEDING, at a cost that n does not change.
+
+    For doubles and long frames. A series is cut into blocks of n rows; a frame is the end of
+    one block and the start of the next, so it merges the moments (count, mean, squared deviations) of
+    the block so far with those of the rows that the block before still has in the frame. No
+    difference of large sums is taken, so no digits cancel.
+    """
+    ps = _parts(part)
+    w = _w(df, ps, order)
+    d = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_i") / n))
+
+    def moments(direction) -> Column:
+        over = Window.partitionBy(*ps, "_b").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
+        count = F.count(col).over(over)
+        return F.struct(count.alias("n"), F.avg(col).over(over).alias("m"),
+                        (F.var_pop(col).over(over) * count).alias("s"))
+
+    d = d.withColumn("_tail", moments(F.col("_i").desc())).withColumn("_head", moments(F.col("_i").asc()))
+    before = F.lag("_tail", n - 1).over(Window.partitionBy(*ps).orderBy("_i"))
+    # The last row of a block has the whole frame in its block.
+    d = d.withColumn("_tail", F.when(F.col("_i") % n != n - 1, before))
+    zero = lambda part, field: F.coalesce(F.col(f"{part}.{field}"), F.lit(0))
+    na, nb = zero("_tail", "n"), zero("_head", "n")
+    apart = zero("_head", "m") - zero("_tail", "m")
+    count = na + nb
+    squares = zero("_tail", "s") + zero("_head", "s") + F.when((na > 0) & (nb > 0), apart * apart * na * nb / count).otherwise(0.0)
+    return d.select(*df.columns, F.when(count > 1, F.sqrt(squares / F.greatest(count - 1, F.lit(1)))).alias(out))
 
 
 def with_sliding(df: DataFrame, part, order: str, outs: dict, strategy=None) -> DataFrame:

@@ -11,16 +11,18 @@ keys read ``feed``/``history``. Parameters are the fixture's sample calls.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.operators import (calendar, ingest, measures, procedures, quality, returns,
+from barlens.operators import (adjust, append, calendar, ingest, measures, month_state, procedures, quality, returns,
                                rolling, summary)
-from barlens.sources import bars, bars_dirty, bars_wide, dim_market, feed, feed_dirty, history
+from barlens.sources import (bars, bars_dirty, bars_wide, bucketed, dim_market, feed, feed_dirty, feed_wide, footers, history,
+                             price_factors, write_bars, write_once)
 from barlens.schema import BAR_COLUMNS, FEED_RENAMES
-from barlens.sources.bars import DEFAULT_START, HISTORY_BEFORE, HISTORY_MISSING_TICKER, with_planted_faults
+from barlens.sources.bars import DEFAULT_START, HISTORY_BEFORE, HISTORY_MISSING_TICKER, as_vendor, factors_of, with_planted_faults
 from barlens.session import ensure_checkpoint_dir
 from barlens.sources.files import read_bars
 
@@ -29,6 +31,8 @@ AS_OF = _dt.date(2026, 1, 1)
 P1_TICKER = "2-HIGH"
 P2_RANGE = (_dt.date(1999, 1, 1), _dt.date(1999, 12, 31))
 P4_N = 3
+S03_RANGE = (_dt.date(1996, 3, 5), _dt.date(1999, 1, 1))
+BUCKETS = 8
 P5_YEAR = 1999
 LOAD_STAMP = _dt.datetime(2026, 1, 1, 0, 0, 0)
 SLICER = {"countries": ["ASIA"], "start": _dt.date(1997, 1, 1), "end": _dt.date(1999, 12, 31)}
@@ -58,6 +62,12 @@ class RawSources:
     def feed_dirty(self) -> DataFrame:
         return feed_dirty(self.spark, self.sf_dir)
 
+    def feed_wide(self) -> DataFrame:
+        return feed_wide(self.spark, self.sf_dir)
+
+    def factors(self) -> DataFrame:
+        return price_factors(self.spark, self.sf_dir)
+
     def history(self) -> DataFrame:
         return history(self.spark, self.sf_dir)
 
@@ -93,6 +103,12 @@ class StoredSources(RawSources):
     def feed_dirty(self) -> DataFrame:
         return with_planted_faults(self.feed())
 
+    def feed_wide(self) -> DataFrame:
+        return as_vendor(self.feed(), self.markets())
+
+    def factors(self) -> DataFrame:
+        return factors_of(self.bars())
+
     def history(self) -> DataFrame:
         return self.bars().filter((F.col("TradeDate") < F.lit(HISTORY_BEFORE))
                                   & (F.col("Ticker") != F.lit(HISTORY_MISSING_TICKER)))
@@ -111,6 +127,63 @@ def _e07(s: RawSources) -> DataFrame:
     return ingest.e07_append(table, _new_rows(s).checkpoint(eager=True), created_at=LOAD_STAMP)
 
 
+def _scratch(s: RawSources, name: str) -> str:
+    return f"{ensure_checkpoint_dir(s.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored_months(s: RawSources) -> tuple[str, str]:
+    """Paths of the bars and of their month states, loaded in three appends, each with late rows of earlier months."""
+    bars_path, state_path = _scratch(s, "bars"), _scratch(s, "months")
+    rows = write_once(s.bars().select(*BAR_COLUMNS), "feed")
+    third = F.pmod(F.hash("TradeDate"), F.lit(3))
+    for k in range(3):
+        month_state.append(s.spark, rows.filter(third == k), bars_path, state_path)
+    return bars_path, state_path
+
+
+def _months(fn, **kw):
+    return lambda s: fn(month_state.read_state(s.spark, _stored_months(s)[1]), **kw)
+
+
+def _sliced_months(s: RawSources) -> DataFrame:
+    bars_path, state_path = _stored_months(s)
+    return month_state.d21_slicer(month_state.read_state(s.spark, state_path), read_bars(s.spark, bars_path, extra=["Year"]),
+                                  s.markets(), **SLICER)
+
+
+def _bucketed(s: RawSources, rows: DataFrame) -> str:
+    """The name of a table of ``rows``, bucketed by ticker."""
+    table = f"bars_{uuid.uuid4().hex}"
+    bucketed.write_bucketed(rows, table, BUCKETS, path=_scratch(s, table))
+    return table
+
+
+def _on_buckets(fn, **kw):
+    return lambda s: fn(bucketed.read_bucketed(s.spark, _bucketed(s, s.bars())), **kw)
+
+
+def _append_to_buckets(s: RawSources) -> DataFrame:
+    table = _bucketed(s, ingest.stored(write_once(s.history(), "history")))
+    bucketed.append_bucketed(s.spark, write_once(_new_rows(s), "batch"), table, BUCKETS, created_at=LOAD_STAMP)
+    return s.spark.table(table)
+
+
+def _append_checked(s: RawSources) -> DataFrame:
+    path = _scratch(s, "bars")
+    write_bars(ingest.stored(write_once(s.history(), "history")), path)
+    stored = read_bars(s.spark, path, extra=["PriceID", "CreatedAt"])
+    append.append_checked(stored, _new_rows(s), path, created_at=LOAD_STAMP)
+    return read_bars(s.spark, path, extra=["PriceID", "CreatedAt"])
+
+
+def _on_footers(fn):
+    def run(s: RawSources) -> DataFrame:
+        path = _scratch(s, "bars")
+        write_bars(s.bars(), path)
+        return fn(s.spark, path)
+    return run
+
+
 def _null_keys(s: RawSources) -> DataFrame:
     """The dirty bars with the planted faults of the feed: NULL dates and tickers too."""
     names = s.markets().select("Ticker", "IndexName")
@@ -207,6 +280,35 @@ for _name, _fn in [("d03_best_worst_sliced", measures.d03_best_worst), ("d13_ris
                    ("d17_ranking_sliced", measures.d17_ranking)]:
     _reg(_name, (lambda f: lambda s: f(s.bars(), slicer=SLICER, markets=s.markets()))(_fn), False)
 
+_reg("e03_flatten", lambda s: ingest.e03_flatten(s.feed_wide()), False)
+_reg("s03_feed_range", lambda s: adjust.bounded(s.bars(), *S03_RANGE), False)
+_reg("s03_feed_range_adjusted", lambda s: adjust.adjusted(s.bars(), s.factors(), *S03_RANGE), False)
+
+# Other plans of a key, over other stored forms: variant -> key.
+FORMS: dict[str, str] = {}
+
+
+def _form(key: str, suffix: str, fn):
+    FORMS[key + suffix] = key
+    _reg(key + suffix, fn, False)
+
+
+for _name in ["v4_monthly_performance", "v5_yearly_performance", "q27_monthly", "q28_quarterly", "q29_yearly",
+              "q30_yoy_growth", "q31_mom_growth", "d02_market_trend", "d04_volume_trend"]:
+    _form(_name, "_from_months", _months(getattr(month_state, _name)))
+_form("q30_yoy_growth_intended", "_from_months", _months(month_state.q30_yoy_growth, percent=True))
+_form("p5_monthly_performance", "_from_months", _months(month_state.p5_monthly_performance, year=P5_YEAR))
+_form("d01_kpis", "_from_months", lambda s: month_state.d01_kpis(
+    month_state.read_state(s.spark, _stored_months(s)[1]), s.markets()))
+_form("d21_slicer", "_from_months", _sliced_months)
+for _name, _fn in [("v1_daily_performance", returns.v1_daily_performance), ("v2_moving_averages", rolling.v2_moving_averages),
+                   ("v3_running_metrics", rolling.v3_running_metrics), ("p3_latest_snapshot", procedures.p3_latest_snapshot)]:
+    _form(_name, "_bucketed", _on_buckets(_fn))
+_form("e07_append", "_bucketed", _append_to_buckets)
+_form("e07_append", "_checked", _append_checked)
+_form("q01_total_records", "_footers", _on_footers(footers.q01_total_records))
+_form("q02_date_span", "_footers", _on_footers(footers.q02_date_span))
+
 WIDE_SUFFIX = "__wide"
 
 

@@ -145,6 +145,31 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(*[F.col(c).alias(back.get(c, c)) for c in BAR_COLUMNS if c != "IndexName"])
 
 
+def as_vendor(rows: DataFrame, markets: DataFrame) -> DataFrame:
+    """Feed rows as the vendor returns many tickers: a row a date, a struct a field with one member a ticker."""
+    tickers = sorted(r[0] for r in markets.select("Ticker").collect())  # one column each
+    fields = [c for c in rows.columns if c not in ("Date", "Ticker")]
+    wide = rows.groupBy("Date").pivot("Ticker", tickers).agg(F.first(F.struct(*fields)))
+    return wide.select("Date", *[F.struct(*[F.col(f"`{t}`").getField(c).alias(t) for t in tickers]).alias(c) for c in fields])
+
+
+def feed_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_vendor(feed(spark, sf_dir), dim_market(spark, sf_dir))
+
+
+def factors_of(rows: DataFrame) -> DataFrame:
+    """Planted splits and dividends of bars (keyed on the date digits)."""
+    dk = F.year("TradeDate") * 10000 + F.month("TradeDate") * 100 + F.dayofmonth("TradeDate")
+    split, cash = (dk % 101) == 0, (dk % 37) == 0
+    return rows.filter(split | cash).select(
+        "Ticker", F.col("TradeDate").alias("ExDate"), F.when(split, F.lit(0.5)).alias("SplitFactor"),
+        F.when(cash, F.lit(0.984375)).alias("DividendFactor"))
+
+
+def price_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors_of(bars(spark, sf_dir))
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows already loaded before the incremental run; one ticker has none yet."""
     b = bars(spark, sf_dir)

@@ -7,12 +7,15 @@ a time. Both are read with a fixed schema, never inferred.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlens.operators.procedures import between_dates
 from barlens.schema import BAR_COLUMNS, FEED, FEED_COLUMNS, STORED_BARS
+from barlens.session import ensure_checkpoint_dir
 
 
 # Tasks that write one year of bars, and at most as many files; tickers are dealt to them by hash.
@@ -65,3 +68,15 @@ def read_bars(spark: SparkSession, path: str, extra: list[str] | None = None, st
     and prune year folders; with ``extra=["Year"]`` the date operators do the same later."""
     df = spark.read.schema(STORED_FILE_SCHEMA).parquet(path)
     return between_dates(df, start, end).select(*(list(extra or []) + BAR_COLUMNS))
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back: what reads it several times
+    computes it once, and a lost executor costs no more than a reread. The files go when the
+    driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)

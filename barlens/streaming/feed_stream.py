@@ -34,6 +34,7 @@ from barlens.schema import BAR_COLUMNS, FEED, STORED_BARS
 from barlens.session import ensure_checkpoint_dir
 from barlens.sources.bars import DEFAULT_START
 from barlens.sources.files import by_year
+from barlens.sources.footers import last_price_id
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -63,11 +64,12 @@ def load_batch(batch: DataFrame, table_path: str, markets: DataFrame,
     """
     spark = batch.sparkSession
     table = _read(spark, table_path)
-    if table is None:
+    is_new = table is None
+    if is_new:
         table = spark.createDataFrame([], STORED_BARS).withColumn("Year", F.year("TradeDate"))
     keys = _read(spark, f"{table_path}/_keys")
-    last_id = (keys.first()[0] if keys is not None
-               else table.agg(F.max("PriceID")).first()[0]) or 0
+    # Without the side table the greatest key is read from the files' footers.
+    last_id = (keys.first()[0] if keys is not None else 0 if is_new else last_price_id(spark, table_path)) or 0
 
     rejects = ingest.e03_rejects(batch, markets)
     rows = ingest.e03_conform(batch, markets).filter(F.col("TradeDate") >= F.lit(default_start))
