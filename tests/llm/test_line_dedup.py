@@ -46,12 +46,10 @@ def records(text):
     """(first line, last line, part or -1, template) of every record of a text."""
     lines = text.split("\n")
     for i, line in enumerate(lines):
-        if len(line) < 5:
+        if len(line.strip(" ")) < 12:
             continue
         for k, part in enumerate(parts_of(line)):
-            tokens = WORD.findall(part)
-            if len(tokens) >= 3:
-                yield i, i, k, template(tokens, len(part.strip(" ")) < 48)
+            yield i, i, k, template(WORD.findall(part), len(part.strip(" ")) < 48)
     plain = [(i, WORD.findall(x)) for i, x in enumerate(lines) if WORD.search(x)]
     size = lambda t: len(" ".join(t))
     for j in range(len(plain)):
@@ -60,7 +58,7 @@ def records(text):
             while 0 <= k < len(plain) and size(plain[k][1]) < 48 and sum(size(t) + 1 for _, t in span) <= 48:
                 span.append(plain[k])
                 k += step
-            if sum(size(t) + 1 for _, t in span) > 48 and sum(len(t) for _, t in span) >= 3:
+            if sum(size(t) + 1 for _, t in span) > 48:
                 span.sort()
                 yield span[0][0], span[-1][0], -1, template([t for _, ts in span for t in ts], False)
 
