@@ -14,8 +14,8 @@ that (1 - J)^b, the chance that all of them differ, is at most `MISS`. Candidate
 a template matches where at least 80 % of its shingles are in the window's full set.
 
 Everything is DataFrame functions. A document's shingles become rows and meet the table of the templates'
-shingles in a join; only those that meet any go on, to one row a window. The templates' tables, whose size does not
-depend on the documents, are left to the planner's size check.
+shingles in a join; only those that meet any go on, to one row a window. The templates' tables come from the driver and don't
+depend on the documents; up to `BROADCAST_ROWS` rows they are broadcast, larger ones are joined by a shuffle.
 
 Defined results: a null or empty text, or one with fewer than five words, matches nothing;
 ids may be null or repeat (rows of one id and text share a result); a template found twice
@@ -37,6 +37,8 @@ CONTAINMENT = 80  # hundredths
 NARROWEST = 16
 # Chance that no band of a window and of a template that it holds agree, at the lowest similarity that a match can have.
 MISS = 0.001
+# Rows of some thirty bytes.
+BROADCAST_ROWS = 1_000_000
 
 # Notices as the licenses' authors give them.
 TEMPLATES = {
@@ -248,10 +250,17 @@ class Templates:
             b = bands_for(least_similarity(len(own), width, len(known[width]), containment), miss)
             self.settings[width] = max(b, self.settings.get(width, 1))
         self.containment = containment
-        # Rows of the driver's own: they stand in the plan as local tables of a known size.
-        self.shingles = spark.createDataFrame([(w, h) for w, hs in known.items() for h in sorted(hs)], "width int, hash long")
-        self.sets = spark.createDataFrame(sets, "template string, width int, shingles array<long>")
-        self.bands = banded(self.sets, self.settings).select("width", "band", "value", "template")
+        one = [(w, h) for w, hs in known.items() for h in sorted(hs)]
+        several = sum(self.settings[width] for _, width, _ in sets)
+        plain = spark.createDataFrame(sets, "template string, width int, shingles array<long>")
+        self.shingles = _sized(spark.createDataFrame(one, "width int, hash long"), len(one))
+        self.sets = _sized(plain, sum(len(own) for *_, own in sets))
+        self.bands = _sized(banded(plain, self.settings).select("width", "band", "value", "template"), several)
+
+
+def _sized(rows: DataFrame, number: int) -> DataFrame:
+    """`rows`, to be broadcast if their number (known to the driver) allows it."""
+    return F.broadcast(rows) if number <= BROADCAST_ROWS else rows
 
 
 def banded(rows: DataFrame, settings: dict[int, int]) -> DataFrame:
@@ -280,7 +289,7 @@ def matches(docs: DataFrame, templates: Templates) -> DataFrame:
     found = banded(windows(docs, templates), templates.settings)
     candidates = found.join(templates.bands, ["width", "band", "value"]).groupBy("doc_id", "text_key", "width", "window", "template").agg(
         F.first("shingles").alias("found"))
-    pairs = candidates.join(templates.sets.drop("width"), "template")
+    pairs = candidates.join(templates.sets, ["template", "width"])
     shared = F.size(F.array_intersect("shingles", "found"))
     good = pairs.select("*", shared.alias("shared")).where(100 * F.col("shared") >= templates.containment * F.size("shingles"))
     return good.groupBy("doc_id", "text_key", "template").agg(
