@@ -248,9 +248,8 @@ def d13_risk_table(bars: DataFrame, strategy=None, **sliced) -> DataFrame:
 
 
 def _percent_ranks(mt: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Percent ranks among markets (NULLs first) of several columns in one go."""
-    keyed = write_once(mt, "markets").withColumn("_market", F.struct("Ticker", "IndexName"))
-    return with_percent_ranks(keyed, "_market", columns).drop("_market")
+    """Ticker, IndexName and several columns, with their percent ranks among markets (NULLs first) in one go."""
+    return with_percent_ranks(write_once(mt.select("Ticker", "IndexName", *columns.values()), "markets"), columns)
 
 
 def d14_risk_score(bars: DataFrame, strategy=None, **sliced) -> DataFrame:
@@ -292,8 +291,7 @@ def d16_composite(bars: DataFrame, weights: tuple = COMPOSITE_WEIGHTS, strategy=
 def d17_ranking(bars: DataFrame, weights: tuple = COMPOSITE_WEIGHTS, strategy=None, **sliced) -> DataFrame:
     """Rank of markets by composite score (ties share a rank)."""
     c = write_once(d16_composite(bars, weights, strategy, **sliced).select("Ticker", "IndexName", "Composite_Score"), "scores")
-    c = c.withColumn("_market", F.struct("Ticker", "IndexName"))
-    return with_rank(c, "_market", "Composite_Score", "Market_Rank").select(
+    return with_rank(c, "Composite_Score", "Market_Rank").select(
         "Ticker", "IndexName", "Composite_Score", "Market_Rank")
 
 

@@ -16,16 +16,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bounds of the value ranges: a sample of this many keys, the same in every run.
-BOUNDS = 255
+# Bounds of the value ranges: a sample of this many keys, the same in every run. A key is compared with the last
+# bound of each of FAN groups, then with the bounds of one group.
+FAN = 16
+BOUNDS = FAN * FAN - 1
 
 
 def _with_range(keys: DataFrame, key: str) -> DataFrame:
     """Adds ``_range``: the number of the value range that a row's key lies in."""
     sample = keys.select(F.struct(F.col(key).alias("k")).alias("s")).orderBy(F.xxhash64("s"), "s").limit(BOUNDS)
-    found = sample.agg(F.to_json(F.array_sort(F.collect_list("s")))).first()[0]
+    ordered = F.array_sort(F.collect_list("s"))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda i: F.slice("o", i * FAN + 1, FAN))
+    found = sample.agg(ordered.alias("o")).select(
+        F.to_json(groups), F.to_json(F.transform(F.filter(groups, lambda g: F.size(g) == FAN), lambda g: F.element_at(g, -1)))).first()
     kind = T.ArrayType(T.StructType([T.StructField("k", keys.schema[key].dataType)]))
-    return keys.withColumn("_range", F.size(F.filter(F.from_json(F.lit(found), kind), lambda b: b["k"] < F.col(key))))
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b["k"] < F.col(key)))
+    return keys.withColumn("_group", below(F.from_json(F.lit(found[1]), kind))).withColumn(
+        "_range", F.col("_group") * FAN + below(F.get(F.from_json(F.lit(found[0]), T.ArrayType(kind)), F.col("_group")))).drop("_group")
 
 
 def with_cumulative(keys: DataFrame, key: str, count: str, out: str) -> tuple[DataFrame, int]:
@@ -49,29 +56,29 @@ def with_row_number(df: DataFrame, order: list[Column], out: str) -> tuple[DataF
     return placed.withColumn(out, F.col(out) + 1).drop("_key", "_one"), total
 
 
-def with_percent_ranks(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+def with_percent_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds PERCENT_RANK() OVER (ORDER BY column ASC NULLS FIRST) for each output -> column.
 
-    ``key`` is unique in ``df``. All columns share the passes: their values are stacked,
+    No two rows of ``df`` are equal. All columns share the passes: their values are stacked,
     counted by (column, value), and the count of smaller values is joined back, once for
     all, so rows of one value cost a row of the counted table however many they are.
     """
-    joined, total = _with_smaller(df, key, {o: F.col(c) for o, c in columns.items()})
+    joined, total = _with_smaller(df, {o: F.col(c) for o, c in columns.items()})
     share = [(F.col(f"_smaller_{o}") / F.lit(float(max(total - 1, 1)))).alias(o) for o in columns]
     return joined.select(*df.columns, *share)
 
 
-def with_rank(df: DataFrame, key: str, column: str, out: str) -> DataFrame:
-    """Adds RANK() OVER (ORDER BY column DESC); NULLs last."""
-    joined, _ = _with_smaller(df, key, {out: -F.col(column)}, nulls_last=True)
+def with_rank(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds RANK() OVER (ORDER BY column DESC); NULLs last. No two rows of ``df`` are equal."""
+    joined, _ = _with_smaller(df, {out: -F.col(column)}, nulls_last=True)
     return joined.select(*df.columns, (F.col(f"_smaller_{out}") + 1).cast("int").alias(out))
 
 
-def _with_smaller(df: DataFrame, key: str, values: dict[str, Column], nulls_last: bool = False) -> tuple[DataFrame, int]:
+def _with_smaller(df: DataFrame, values: dict[str, Column], nulls_last: bool = False) -> tuple[DataFrame, int]:
     """Adds for each output the number of rows whose value is smaller; and the number of rows."""
     parts = [F.struct(F.lit(i).alias("c"), (v.isNull() & F.lit(nulls_last)).alias("z"), v.cast("double").alias("v"))
              for i, v in enumerate(values.values())]
-    stacked = df.select(F.struct(*df.columns).alias("_row"), F.explode(F.array(*parts)).alias("_key"))
+    stacked = df.select(*df.columns, F.explode(F.array(*parts)).alias("_key"))
     counts = stacked.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     below, total = with_cumulative(counts, "_key", "_n", "_below")
     # Counts run over all columns, one after the other; each column has as many rows as df.
@@ -79,5 +86,5 @@ def _with_smaller(df: DataFrame, key: str, values: dict[str, Column], nulls_last
     placed = stacked.join(below.select("_key", "_below"), "_key").withColumn(
         "_below", F.col("_below") - F.col("_key.c") * F.lit(total))
     picks = [F.max(F.when(F.col("_key.c") == i, F.col("_below"))).alias(f"_smaller_{o}") for i, o in enumerate(values)]
-    back = placed.groupBy(F.col(f"_row.{key}").alias("_of")).agg(F.first("_row").alias("_row"), *picks)
-    return back.select("_row.*", *[f"_smaller_{o}" for o in values]), total
+    # Rows differ, so each is a group of its own, and its columns need no aggregate.
+    return placed.groupBy(*df.columns).agg(*picks), total
