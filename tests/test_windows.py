@@ -111,6 +111,7 @@ def test_blocked_plan_partitions_by_block(wide):
 
 
 def test_no_job_runs_at_construction(spark, wide):
+    """Of windows. Rankings write their market table once when they are built, and count its value ranges."""
     from barlens.operators import measures, rolling
     bars_ = bars_wide(spark, SF001)
     group = "construction"
@@ -120,8 +121,10 @@ def test_no_job_runs_at_construction(spark, wide):
             W.with_running(wide, "s", "d", {"x": ("sum", "v")}, strategy=s)
             W.with_ranks(wide, "s", "d", "rn", "rk", "dr", strategy=s)
         rolling.q39_ma7(bars_)
-        measures.d17_ranking(bars_)
+        measures.d13_risk_table(bars_)
         assert spark.sparkContext.statusTracker().getJobIdsForGroup(group) == []
+        measures.d14_risk_score(bars_)
+        assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 16
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
