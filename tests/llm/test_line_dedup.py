@@ -180,8 +180,11 @@ def test_confirmed_copies_stay_for_the_next_stage(spark):
     assert left(spark, texts) == {**want, 3: "", 5: "one more line"}
 
 
-def test_many_copies_of_one_source_are_dealt_to_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_many_copies_of_one_source_are_dealt_to_blocks(spark, monkeypatch, rows):
+    """Their ids broadcast, and beyond that many joined by a shuffle."""
     monkeypatch.setattr(line_dedup, "COPIES_IN_BLOCK", 3)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", rows)
     source = "\n".join(sentence(i, 20) for i in range(4))
     texts = {i: source + f"\nown line {i}" for i in range(20)}
     assert left(spark, texts, confirm=line_dedup.CONFIRM) == texts
