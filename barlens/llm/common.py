@@ -103,7 +103,8 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField],
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
-    """At most `rows` rows, those with the smallest hash of `key`: the same ones in every run.
+    """At most `rows` rows, those with the smallest hash of `key`, equal hashes by key: the same ones in
+    every run, if keys are unique.
 
     The rows are counted first, and only the share with hashes low enough to give about four times
     as many as wanted is sorted, so the one task that takes the smallest never gets the input.
@@ -111,4 +112,4 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFr
     place = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
     cells = 1 << 40
     low = min(cells, cells * 4 * rows // max(1, df.count()))
-    return df.where(F.pmod(place, F.lit(cells)) < low).orderBy(F.pmod(place, F.lit(cells)), place).limit(rows)
+    return df.where(F.pmod(place, F.lit(cells)) < low).orderBy(F.pmod(place, F.lit(cells)), place, key).limit(rows)

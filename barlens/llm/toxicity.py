@@ -8,8 +8,9 @@ exactly zero, so the model that is broadcast has a few thousand numbers.
 
 Training takes at most `MAX_TRAIN_DOCS` labelled documents, half of either label, those
 with the smallest hash of the id, and never one whose crc32(doc_id) mod 5 is 0: these are
-held out. Their features are hashed where the documents lie; the bounded sample goes
-through one task that fits the weights.
+held out. Their features are hashed where the documents lie, and of a longer text the `MAX_TRAIN_PLACES`
+lowest places train; so the sample that goes through the one task that fits the weights is bounded
+(some 500 MB at most). Scores see whole texts.
 
 Defined results: a null or empty text has no features and scores as the bias says; a null
 id is not held out and never trains; null or other labels train nothing; with labels of
@@ -31,6 +32,7 @@ from barlens.llm.decontaminate import words_of
 
 DIMENSIONS = 1 << 20
 MAX_TRAIN_DOCS = 8_000
+MAX_TRAIN_PLACES = 1 << 14
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 1.0
 STEMS = range(3, 9)
@@ -109,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     def maker():
         hashes = _WordHashes()
-        return lambda texts: [pa.array([np.unique(features(t, hashes)).tobytes() for t in texts], type=pa.binary())]
+        return lambda texts: [pa.array([np.unique(features(t, hashes))[:MAX_TRAIN_PLACES].tobytes() for t in texts], type=pa.binary())]
 
     hashed = add_columns(rows, "sample_text", [T.StructField("places", T.BinaryType())], maker,
                          keep=["sample_id", "sample_label"])
