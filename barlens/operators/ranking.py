@@ -10,6 +10,7 @@ input a few times: pass a stored table (``sources.write_once``).
 
 from __future__ import annotations
 
+import json
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,14 +36,38 @@ def _with_range(keys: DataFrame, key: str) -> DataFrame:
         "_range", F.col("_group") * FAN + below(F.get(F.from_json(F.lit(found[0]), T.ArrayType(kind)), F.col("_group")))).drop("_group")
 
 
+def _value_ranges(df: DataFrame, values: list[Column]) -> tuple[Column, int]:
+    """The number of the value range of a ``_key`` (c, z, v), column after column; and how many there are.
+
+    Bounds are approximate quantiles, at most ``BOUNDS`` a column, from one aggregate. Numbers are compared with
+    numbers: structs take ten times as long. NULLs have a range of their own, the first or (z) the last."""
+    # One text for all shares: literals cost a call each.
+    shares = F.expr(f"array({', '.join(f'{k / (BOUNDS + 1)}D' for k in range(1, BOUNDS + 1))})")
+    found = df.agg(*[F.percentile_approx(v.cast("double"), shares, 4 * BOUNDS).alias(f"q{i}") for i, v in enumerate(values)]).first()
+    bounds = [sorted(set(own or [])) for own in found]
+    groups = [[own[i:i + FAN] for i in range(0, len(own), FAN)] + [[]] for own in bounds]
+    lasts = [[g[-1] for g in own if len(g) == FAN] for own in groups]
+    known = lambda x, kind: F.get(F.from_json(F.lit(json.dumps(x)), kind), F.col("_key.c"))
+    below = lambda x: F.size(F.filter(x, lambda b: b < F.col("_key.v")))
+    width = max(map(len, bounds)) + 3
+    group = below(known(lasts, "array<array<double>>"))
+    place = group * FAN + below(F.get(known(groups, "array<array<array<double>>>"), group)) + 1
+    own = F.when(F.col("_key.v").isNotNull(), place).when(F.col("_key.z"), F.lit(width - 1)).otherwise(F.lit(0))
+    return F.col("_key.c") * width + own, width * len(values)
+
+
 def with_cumulative(keys: DataFrame, key: str, count: str, out: str) -> tuple[DataFrame, int]:
     """Adds ``out``: the sum of ``count`` over all rows with a smaller ``key``; and the whole sum.
 
     ``key`` must be unique and not NULL (a struct may hold NULLs; they come first).
     """
     ranged = _with_range(keys, key)
-    found = dict(ranged.groupBy("_range").agg(F.sum(count)).collect())
-    sums = list(accumulate((found.get(i, 0) for i in range(BOUNDS + 1)), initial=0))
+    return _cumulative(ranged, dict(ranged.groupBy("_range").agg(F.sum(count)).collect()), BOUNDS + 1, key, count, out)
+
+
+def _cumulative(ranged: DataFrame, found: dict, ranges: int, key: str, count: str, out: str) -> tuple[DataFrame, int]:
+    """``with_cumulative`` of rows with their ``_range``, where ``found`` has the ranges' sums."""
+    sums = list(accumulate((found.get(i, 0) for i in range(ranges)), initial=0))
     before = F.get(F.from_json(F.lit(str(sums)), "array<bigint>"), F.col("_range"))
     inner = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(count).over(inner), F.lit(0))
@@ -80,7 +105,10 @@ def _with_smaller(df: DataFrame, values: dict[str, Column], nulls_last: bool = F
              for i, v in enumerate(values.values())]
     stacked = df.select(*df.columns, F.explode(F.array(*parts)).alias("_key"))
     counts = stacked.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    below, total = with_cumulative(counts, "_key", "_n", "_below")
+    place, ranges = _value_ranges(df, list(values.values()))
+    # Rows are counted without their values: nothing but the ranges' numbers is shuffled.
+    found = dict(stacked.select(place.alias("_range")).groupBy("_range").count().collect())
+    below, total = _cumulative(counts.withColumn("_range", place), found, ranges, "_key", "_n", "_below")
     # Counts run over all columns, one after the other; each column has as many rows as df.
     total //= len(values)
     placed = stacked.join(below.select("_key", "_below"), "_key").withColumn(

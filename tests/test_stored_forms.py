@@ -329,3 +329,21 @@ def test_rankings_plan_their_input_once(spark):
         p = executed(fn(b))
         scans, exchanges = p.count("FileScan"), len(re.findall(r"(?<!Reused)Exchange (?!SinglePartition, REUSED)", p))
         assert scans <= 3 and exchanges <= 8, (fn.__name__, scans, exchanges)
+
+
+def test_ranks_equal_plain_windows_on_odd_values(spark):
+    """NULLs, NaN, infinities, both zeros and many ties; no rows, one row, NULLs only."""
+    rnd = random.Random(1)
+    odd = [None, 0.0, -0.0, 1.5, float("nan"), float("inf"), -float("inf")]
+    rows = [(i, rnd.choice([*odd, float(rnd.randint(0, 5000))]), rnd.choice([None, 7.0])) for i in range(3000)]
+    d = write_once(spark.createDataFrame(rows, "id int, a double, b double"), "values")
+    from barlens.operators.ranking import with_percent_ranks, with_rank
+
+    for part in (d, d.where("a is null"), d.limit(1), d.limit(0)):
+        part = write_once(part, "part")
+        got = with_percent_ranks(part, {"pa": "a", "pb": "b"}).select("id", "pa", "pb")
+        want = part.select("id", F.percent_rank().over(Window.orderBy("a")).alias("pa"), F.percent_rank().over(Window.orderBy("b")).alias("pb"))
+        assert_df_equal(got, want)
+    plain = write_once(d.where("a is null or not isnan(a)"), "plain")
+    assert_df_equal(with_rank(plain, "a", "r").select("id", "r"),
+                    plain.select("id", F.rank().over(Window.orderBy(F.col("a").desc_nulls_last())).alias("r")))
