@@ -1,8 +1,8 @@
 """Ranks over a whole table without sending it to one task.
 
-Rows are dealt to value ranges whose bounds come from a bounded sample, counted
-per range, and numbered inside their range. The bounds (at most ``BOUNDS`` keys) and
-the ranges' counts (at most ``BOUNDS`` + 1 numbers) are read when the DataFrame is
+Rows are dealt to value ranges whose bounds are approximate quantiles, or a bounded sample of keys
+where an order has several columns, counted per range, and numbered inside their range. The bounds (at
+most ``BOUNDS`` a column) and the ranges' counts are read when the DataFrame is
 built, by two small jobs, and stand in the plan as constants; so the plan holds its
 input once or twice, not once for every number it needs. Each function reads its
 input a few times: pass a stored table (``sources.write_once``).
@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bounds of the value ranges: a sample of this many keys, the same in every run. A key is compared with the last
-# bound of each of FAN groups, then with the bounds of one group.
+# Bounds of the value ranges, the same in every run. A key is compared with the last bound of each of FAN groups, then
+# with the bounds of one group.
 FAN = 16
 BOUNDS = FAN * FAN - 1
 
