@@ -28,12 +28,15 @@ def bounded(bars: DataFrame, start: _dt.date | None = None, end: _dt.date | None
     return out.select(*BAR_COLUMNS)
 
 
-def adjusted(bars: DataFrame, factors: DataFrame, start: _dt.date | None = None, end: _dt.date | None = None) -> DataFrame:
+def adjusted(bars: DataFrame, factors: DataFrame, start: _dt.date | None = None, end: _dt.date | None = None, *,
+             volume: str = "bigint") -> DataFrame:
     """``bounded`` bars, adjusted by all factors after each bar, those after the range too.
 
     ``factors``: Ticker, ExDate, SplitFactor (0.5 for two new shares an old one) and
     DividendFactor (1 less the dividend's share of the close before); NULL means 1. Prices are
-    rounded to the stored type, volumes to whole shares."""
+    rounded to the stored type, volumes to whole shares of type ``volume``. Some fifty halvings after a
+    bar make its volume more than a bigint holds: the row stays with its prices, and its volume
+    is NULL; "double" holds it."""
     rows = bounded(bars, start, end).withColumns({"_split": F.lit(1.0), "_cash": F.lit(1.0), "_bar": F.lit(0)})
     events = factors if start is None else factors.filter(F.col("ExDate") > F.lit(start))
     events = events.select(
@@ -47,4 +50,4 @@ def adjusted(bars: DataFrame, factors: DataFrame, start: _dt.date | None = None,
     out = both.withColumns({"_split": split, "_cash": cash}).filter(F.col("_bar") == 0)
     price = lambda c: F.round(F.col(c).cast("double") * F.col("_split") * F.col("_cash"), 4).cast(PRICE).alias(c)
     return out.select("TradeDate", "Ticker", "IndexName", *[price(c) for c in PRICES],
-                      F.round(F.col("Volume") / F.col("_split")).cast("bigint").alias("Volume"))
+                      F.round(F.try_divide(F.col("Volume").cast("double"), F.col("_split"))).try_cast(volume).alias("Volume"))

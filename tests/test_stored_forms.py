@@ -321,6 +321,19 @@ def test_adjusted_prices(spark):
     assert_df_equal(adjust.adjusted(b, f.limit(0)), adjust.bounded(b))
 
 
+def test_adjusted_volume_beyond_the_stored_type(spark):
+    """Many splits make an early volume more than a bigint holds: that volume alone is NULL, and "double" holds it."""
+    D = __import__("decimal").Decimal
+    b = spark.createDataFrame([(day(k), "A", "I", D(8), D(8), D(8), D(8), 60_000) for k in (0, 30, 70, 2000)], BAR)
+    f = spark.createDataFrame([("A", day(k), 0.5, None) for k in range(1, 71)], "Ticker string, ExDate date, SplitFactor double, DividendFactor double")
+    want = {day(0): None, day(30): 60_000 << 40, day(70): 60_000, day(2000): 60_000}
+    assert {r.TradeDate: r.Volume for r in adjust.adjusted(b, f).collect()} == want
+    assert {r.TradeDate: r.Volume for r in adjust.adjusted(b, f, volume="double").collect()} == {**want, day(0): 60_000.0 * 2 ** 70}
+    # So many halvings that their product is 0.
+    f = spark.createDataFrame([("A", day(k), 0.5, None) for k in range(71, 1271)], f.schema)
+    assert {r.TradeDate: r.Volume for r in adjust.adjusted(b, f).collect()} == {d: 60_000 if d == day(2000) else None for d in want}
+
+
 # ----------------------------------------------------------------------- rankings
 def test_rankings_plan_their_input_once(spark):
     b = bars_wide(spark, SF001)
