@@ -331,16 +331,32 @@ def d18_insights(bars: DataFrame, strategy=None, **sliced) -> DataFrame:
 def d19_drilldown(bars: DataFrame) -> DataFrame:
     """Drill-down: ROLLUP(Ticker, Year, Quarter, Month) with the grouping level.
 
-    Rows are summed to months once; the rollup expands months, and averages divide last."""
+    Rows are summed to months once. Quarters and years are sums over sorted months, given out with their first month, so
+    a task holds no more groups than months; only the markets' totals are expanded. Averages divide last."""
+    keys, sums = ["Ticker", "Year", "Quarter", "MonthNumber"], ["_days", "_sum", "_n", "_volume"]
     months = bars.groupBy("Ticker", year_of().alias("Year"), quarter_of().alias("Quarter"),
                           month_of().alias("MonthNumber")).agg(
         F.count(F.lit(1)).alias("_days"), F.sum("ClosePrice").alias("_sum"), F.count("ClosePrice").alias("_n"),
         F.sum("Volume").alias("_volume"))
-    return (months.rollup("Ticker", "Year", "Quarter", "MonthNumber")
-            .agg(F.grouping_id("Ticker", "Year", "Quarter", "MonthNumber").cast("int").alias("Grouping_Level"),
-                 F.sum("_days").alias("Trading_Days"),
-                 (F.sum("_sum").cast("double") / F.nullif(F.sum("_n"), F.lit(0))).alias("Average_Close"),
-                 F.sum("_volume").alias("Total_Volume")))
+    rows = months.repartition("Ticker", "Year")
+    for name, n in (("quarter", 3), ("year", 2)):
+        # One sort serves both: the longer keys come first.
+        w = Window.partitionBy(*keys[:n]).orderBy(*keys[n:])
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumns({f"_{name}": F.row_number().over(w) == 1, **{f"{name}{c}": F.sum(c).over(whole) for c in sums}})
+    none = F.lit(None).cast("int")
+    row = lambda n, keep, of: [keep, *keys[:n], *[none] * (4 - n), F.lit(2 ** (4 - n) - 1),
+                             *[F.col(of + c).cast("double") if c == "_sum" else of + c for c in sums]]
+    parts = rows.select(F.stack(F.lit(3), *row(4, F.lit(True), ""), *row(3, F.col("_quarter"), "quarter"),
+                                *row(2, F.col("_year"), "year")).alias("_keep", *keys, "Grouping_Level", *sums)).where("_keep")
+    markets = months.groupBy("Ticker").agg(*[F.sum(c).alias(c) for c in sums])
+    totals = markets.rollup("Ticker").agg((F.grouping("Ticker").cast("int") * 8 + 7).alias("Grouping_Level"),
+                                          *[F.sum(c).alias(c) for c in sums])
+    totals = totals.withColumns({"_sum": F.col("_sum").cast("double"), **{c: none for c in keys[1:]}})
+    both = parts.drop("_keep").unionByName(totals)
+    return both.select(*keys, "Grouping_Level", F.col("_days").alias("Trading_Days"),
+                       (F.col("_sum") / F.nullif(F.col("_n"), F.lit(0))).alias("Average_Close"),
+                       F.col("_volume").alias("Total_Volume"))
 
 
 def d20_star(bars: DataFrame, markets: DataFrame) -> DataFrame:

@@ -74,6 +74,13 @@ def test_kpis_and_drilldown_expand_small_tables(spark):
         assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_drilldown_expands_no_months(spark):
+    """A task that expands months by every level holds several times its input as groups."""
+    p = measures.d19_drilldown(bars_wide(spark, SF001))._jdf.queryExecution().optimizedPlan().toString()
+    expanded = [x for x in p.split("\n") if "Expand" in x]
+    assert expanded and not any("MonthNumber" in x or "_groupingexpression" in x for x in expanded)
+
+
 def test_latest_snapshot_uses_group_limit(spark):
     p = procedures.p3_latest_snapshot(bars(spark, SF001))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in p
