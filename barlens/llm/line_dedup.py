@@ -8,9 +8,11 @@ a line soon after its start. Neighbouring shorter lines are joined: from every s
 to it, as few of its run as give a record.
 
 A record goes down a tree of fixed depth: token count, then the `LEADING` first tokens, where a
-token with a digit, `@` or `://` is a variable; the leaf holds templates, the constant
-tokens in their places. At most a fifth of a record's tokens are variable: one with more is its own
-template, word by word. So two records of one template agree in four fifths of their tokens at least.
+token with a digit, `@` or `://` is a variable. The leaf holds templates, each named by what the path leaves
+open: the tokens behind the leading ones up to the last constant one, the count being known. So a
+template is its leaf and its key in the leaf, neither without the other. At most a fifth of a record's tokens are
+variable: one with more is its own template, word by word. So two records of one template agree in four
+fifths of their tokens at least.
 
 A template of two or more documents recurs. The document of the least id keeps its records,
 later ones lose theirs, and a line that has no word left goes. A shorter line alone, of `SHORT_CHARS` characters or more,
@@ -87,9 +89,10 @@ def normalised(text: Column) -> Column:
 
 
 def with_template(rows: DataFrame) -> DataFrame:
-    """`rows` (body, short) with the template's key and its leaf in the tree, and size, the number of characters, in place of body.
+    """`rows` (body, short) with the template's leaf in the tree and its key in that leaf, and size, the number of characters, in place of body.
 
-    The leaf is the token count and the leading tokens; its lowest bit marks short lines.
+    The leaf is the token count and the leading tokens; its lowest bit marks short lines. The key is the
+    tokens that follow, without variables at their end, which the count gives.
     """
     rows = rows.withColumn("size", F.length("body"))
     others = [c for c in rows.columns if c not in ("body", "short")]
@@ -103,9 +106,10 @@ def with_template(rows: DataFrame) -> DataFrame:
     rows = rows.select(*others, "short", "n", F.when(VARIABLE_ONE_IN * variables <= F.col("n"), F.col("masked"))
                        .otherwise(F.col("tokens")).alias("template"))
     leading = F.call_function("substring_index", F.col("template"), F.lit(" "), F.lit(LEADING))
-    short = F.col("short").cast("int")
-    return rows.select(*others, F.xxhash64("template", short).alias("key"),
-                       F.hash("n", leading).bitwiseAND(-2).bitwiseOR(short).alias("leaf"))
+    rest = F.substr("template", F.length(leading) + 1)
+    rest = F.when(F.endswith("template", F.lit(" " + MASK)), F.regexp_replace(rest, f"(?: {MASK})+$", "")).otherwise(rest)
+    return rows.select(*others, F.xxhash64(rest).alias("key"),
+                       F.xxhash64("n", leading).bitwiseAND(-2).bitwiseOR(F.col("short").cast("bigint")).alias("leaf"))
 
 
 def line_records(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barlens.llm import line_dedup
@@ -135,6 +136,24 @@ def test_templates_with_variable_fields(spark):
     assert all(sentence(i, 60) in got[i] and sentence(i + 30, 50) in got[i] for i in range(1, 8))
 
 
+def test_leaf_and_key_tell_templates_apart_together(spark, monkeypatch):
+    """Records that differ in their leading tokens or in their count alone share a key and have leaves of their own."""
+    tail = "of the old house by the river was sold again in spring to people from town"
+    bodies = [f"The red roof {tail}", f"Our big barn {tail}", f"Our big barn {tail} 12", f"Our big barn {tail} 7 8", f"Our big barn {tail} 9",
+              f"Our big barn {tail} again"]
+    rows = spark.createDataFrame([(i, b, False) for i, b in enumerate(bodies)], "doc_id long, body string, short boolean")
+    found = {r["doc_id"]: (r["key"], r["leaf"]) for r in line_dedup.with_template(rows).collect()}
+    assert len({found[i][0] for i in range(5)}) == 1 and found[5][0] != found[0][0]
+    assert len({found[i][1] for i in range(4)}) == 4 and found[4] == found[2] and found[5][1] == found[2][1]
+    texts = dict(enumerate(bodies, 1))
+    want = {**texts, 5: ""}
+    assert left(spark, texts) == want == brute(texts)
+    # Without the tree, text that no other document has would go.
+    plain = line_dedup.with_template
+    monkeypatch.setattr(line_dedup, "with_template", lambda rows: plain(rows).withColumn("leaf", F.lit(0).cast("bigint")))
+    assert left(spark, texts) != want
+
+
 def test_passages_inside_lines(spark):
     """A passage of 100 words inside longer lines loses most of its words wherever it starts, and no other word goes."""
     rnd = random.Random(12)
