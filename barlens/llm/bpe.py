@@ -7,8 +7,9 @@ prefix and stands next to the last token before it without the merges changing
 either. Distinct words go into a trie of symbols, and a depth-first walk finds the
 last token of every node once, whatever number of words share it.
 
-A task keeps the encodings of the words it has met, at most `MAX_WORDS`, and starts
-anew beyond that: memory is bounded, results don't change.
+A task keeps the encodings of the words it has met lately: half of `MAX_WORDS` at most and
+as many before them, of which those met again move on and the rest go. It works on as many
+characters at a time as `CHARS_A_WORD` allows. So `encode(max_words=...)` bounds its memory; results don't change.
 
 The rules come from a tokenizer file (a parameter) whose parts are: special tokens
 matched in the raw text; NFC, white space, lower case; a split into word pieces;
@@ -39,6 +40,8 @@ from barlens.llm.common import Shared, add_columns, table
 
 # Words whose encodings a task keeps.
 MAX_WORDS = 400_000
+# Characters of the texts that are cut into words together, for each word kept; a longer text stands alone.
+CHARS_A_WORD = 5
 # Pairs of neighbouring tokens whose test a task keeps.
 MAX_PAIRS = 500_000
 # More than any token id.
@@ -105,10 +108,10 @@ class Rules:
 class Encoder:
     """Encodings of word pieces, found on a trie of byte symbols."""
 
-    def __init__(self, rules: Rules):
+    def __init__(self, rules: Rules, max_words: int | None = None):
         import regex
 
-        self.rules = rules
+        self.rules, self.max_words = rules, MAX_WORDS if max_words is None else max_words
         pattern = rules.split.replace("\\s", "\\p{White_Space}")
         self.pieces = regex.compile(pattern).findall
         self.white = regex.compile(r"\p{White_Space}+").split
@@ -124,14 +127,16 @@ class Encoder:
         self.words: dict[str, list[int]] = {}
         self.chunk_ids: dict[str | int, bytes] = {}
         self.chunk_names: dict[str | int, str] = {}
+        self.before: tuple[dict[str | int, bytes], dict[str | int, str]] = {}, {}
         self.special_at = re.compile("|".join(map(re.escape, sorted(rules.special, key=len, reverse=True)))) \
             if rules.special else None
         self._forget()
 
     def _forget(self) -> None:
+        """What was met lately becomes what was met before, in whose place it comes."""
         self.words.clear()
-        self.chunk_ids.clear()
-        self.chunk_names.clear()
+        self.before = self.chunk_ids, self.chunk_names
+        self.chunk_ids, self.chunk_names = {}, {}
         for content, i in self.rules.special.items():
             self.chunk_ids[i], self.chunk_names[i] = little_endian([i]), content
 
@@ -163,6 +168,13 @@ class Encoder:
         self.fits[left * PAIR + right] = answer
         return answer
 
+    def spelled(self, piece: str) -> str:
+        """The byte symbols of a piece; printable ASCII characters but the space stand for themselves."""
+        if piece.isascii() and piece.isprintable() and " " not in piece:
+            return piece
+        symbols = self.symbols
+        return "".join([symbols[b] for b in piece.encode()])
+
     def encode_words(self, pieces) -> None:
         """Encode distinct pieces: sorted by their symbols, they are walked as a trie, depth first.
 
@@ -170,12 +182,12 @@ class Encoder:
         from the root; stepping to the next word keeps what the two words share. The last symbol of a
         word bears the end mark, so it is a leaf of its own.
         """
-        symbols, fits, whole = self.symbols, self.fits, self.whole
+        fits, whole = self.fits, self.whole
         inner, inner_reach, final, final_reach = self.inner, self.inner_reach, self.final, self.final_reach
         last: list[int] = []
         size: list[int] = []
         before = ""
-        for word, piece in sorted(("".join([symbols[b] for b in p.encode()]), p) for p in pieces):
+        for word, piece in sorted((self.spelled(p), p) for p in pieces):
             top, shared = len(word) - 1, 0
             limit = min(top, len(last))
             while shared < limit and word[shared] == before[shared]:
@@ -226,8 +238,26 @@ class Encoder:
             return [c for c in self.white(text) if c]
         return text.split()
 
+    def _unknown(self, chunks: set) -> set[str]:
+        """The chunks not met lately; those met before are taken over and not among them."""
+        ids, names = self.before
+        new = chunks.difference(self.chunk_ids)
+        again = new.intersection(ids)
+        for c in again:
+            self.chunk_ids[c], self.chunk_names[c] = ids[c], names[c]
+        return new - again
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian 32-bit integers and its decoded text."""
+        out, lo, total = [], 0, 0
+        for i, text in enumerate(texts):
+            if i > lo and total + len(text) > CHARS_A_WORD * self.max_words:
+                out += self._encode_group(texts[lo:i])
+                lo, total = i, 0
+            total += len(text)
+        return out + self._encode_group(texts[lo:])
+
+    def _encode_group(self, texts: list[str]) -> list[tuple[bytes, str]]:
         split: list[list[str | int]] = []
         for text in texts:
             parts: list[str | int] = []
@@ -239,10 +269,10 @@ class Encoder:
             parts += self.normalised(text[at:] if at else text)
             split.append(parts)
         needed = set().union(*split)
-        new = [c for c in needed if c not in self.chunk_ids]
-        if len(self.chunk_ids) + len(new) > MAX_WORDS or len(self.words) > MAX_WORDS:
+        new = self._unknown(needed)
+        if max(len(self.chunk_ids) + len(new), len(self.words)) > self.max_words // 2:
             self._forget()
-            new = [c for c in needed if c not in self.chunk_ids]
+            new = self._unknown(needed)
         self.learn(new)
         ids, names = self.chunk_ids.__getitem__, self.chunk_names.__getitem__
         return [(b"".join(map(ids, parts)), " ".join(map(names, parts))) for parts in split]
@@ -255,10 +285,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None,
-           with_ids: bool = True, keep: list[str] = ()) -> DataFrame:
+           with_ids: bool = True, keep: list[str] = (), max_words: int | None = None) -> DataFrame:
     """One row a document: n_tokens, ids_sha256, decoded_sha256 and, if wanted, the token ids.
 
-    `keep` names further columns of `docs` to carry along.
+    `keep` names further columns of `docs` to carry along; `max_words` (default `MAX_WORDS`) bounds the words a task keeps.
     """
     rules = Shared(docs.sparkSession, Rules(path or tokenizer_path()))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
@@ -267,7 +297,7 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def maker():
-        encoder = Encoder(rules.get())
+        encoder = Encoder(rules.get(), max_words)
 
         def work(texts):
             found = encoder.encode([(t or b"").decode() for t in texts])

@@ -18,6 +18,10 @@ from barlens.llm import bpe, decontaminate, line_dedup, near_dedup, quality
 from barlens.llm.common import materialize, table
 
 
+# Words whose encodings a task of the last stage keeps: the stages before have left executors large.
+KEPT_WORDS = 120_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the line labeller.
 
@@ -57,7 +61,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has no tokens and decodes to the empty text; a null id stays null.
     """
-    return bpe.encode(docs, keep=["lang", "source"])
+    return bpe.encode(docs, keep=["lang", "source"], max_words=KEPT_WORDS)
 
 
 STAGES = [

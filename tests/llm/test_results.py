@@ -523,6 +523,19 @@ def test_bpe_forgets_without_changing(small, monkeypatch):
     assert [x for i in range(0, len(texts), 7) for x in tiny.encode(texts[i:i + 7])] == whole
 
 
+def test_bpe_keeps_few_words(small):
+    """A task keeps as many words as allowed, those met again longest, and cuts few texts into words at a time."""
+    rules = bpe.Rules(bpe.tokenizer_path())
+    texts = [t or "" for t in small.values()]
+    whole, groups = bpe.Encoder(rules).encode(texts), []
+    few = bpe.Encoder(rules, max_words=6_000)
+    group = few._encode_group
+    few._encode_group = lambda texts: groups.append(sum(map(len, texts))) or group(texts)
+    assert [x for i in range(0, len(texts), 90) for x in few.encode(texts[i:i + 90])] == whole
+    assert max(groups) <= max(30_000, *map(len, texts)) and "the" in few.chunk_ids
+    assert max(len(few.chunk_ids), len(few.before[0]), len(few.words)) <= 2 * 6_000
+
+
 def test_bpe_query_and_decode(spark, small):
     out = bpe.encode(docs_of(spark, list(small.items())))
     for r in bpe.decode(out).collect():
