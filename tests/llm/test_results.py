@@ -536,6 +536,36 @@ def test_bpe_keeps_few_words(small):
     assert max(len(few.chunk_ids), len(few.before[0]), len(few.words)) <= 2 * 6_000
 
 
+def test_bpe_encodes_words_depth_by_depth(monkeypatch):
+    """Short words take one step a depth, however many they are; longer ones are walked, with the same encodings."""
+    from tokenizers import Tokenizer
+    path = bpe.tokenizer_path()
+    rules, rnd, steps, single = bpe.Rules(path), random.Random(8), [], []
+    parts = [t.replace("</w>", "") for t in rules.vocab if t.isascii() and t.replace("</w>", "").isalpha()]
+    words = list(dict.fromkeys("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 5))) for _ in range(4000)))
+    short = [w for w in words if len(w) <= bpe.LEVELS]
+    encoder, walked = bpe.Encoder(rules), bpe.Encoder(rules)
+    step, whole = encoder._step, encoder.whole
+    encoder._step = lambda *a: steps.append(a) or step(*a)
+    encoder.whole = lambda *a: single.append(a) or whole(*a)
+    encoder.encode_words(short)
+    assert len(steps) == max(map(len, short)) and not single
+    # All lengths about the border, bytes of every kind, words that begin others, blocks of few words.
+    odd = ["\0", "\0\0", "a\0", "a", "ab", "a" * 63, "a" * 64, "a" * 65, "é" * 32, "é" * 33, "한국" * 40, "😀" * 16, "😀" * 17]
+    odd += ["x" * rnd.randint(1, 200) + rnd.choice("aé\x7f日") for _ in range(100)]
+    words = list(dict.fromkeys(words + odd))
+    monkeypatch.setattr(bpe, "BLOCK", 700)
+    encoder = bpe.Encoder(rules)
+    encoder.encode_words(words)
+    walked._walk(words)
+    assert encoder.words == walked.words and len(encoder.words) == len(words)
+    library = Tokenizer.from_file(path)
+    for w in words:
+        if w.isalpha() and w == w.lower():
+            ids = library.encode(w, add_special_tokens=False).ids
+            assert encoder.words[w] == (struct.pack(f"<{len(ids)}I", *ids), library.decode(ids, skip_special_tokens=False)), w
+
+
 def test_bpe_query_and_decode(spark, small):
     out = bpe.encode(docs_of(spark, list(small.items())))
     for r in bpe.decode(out).collect():
